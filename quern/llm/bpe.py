@@ -316,7 +316,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         codec = loaded(content.value, ByteCodec)
 
         def each(batch):
-            ids = [x for block in blocks(map(pa.Scalar.as_py, batch.column(1))) for x in codec.encode(block)]
+            ids = [x for block in blocks(x.as_py() for x in batch.column(1)) for x in codec.encode(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
         return each
@@ -355,7 +355,7 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 
         def each(batch):
             n, ids, decoded = [], [], []
-            for block in blocks(map(pa.Scalar.as_py, batch.column(1))):
+            for block in blocks(x.as_py() for x in batch.column(1)):
                 for count, joined, raw in codec.texts(block):
                     n.append(count)
                     ids.append(sha(joined.encode()).hexdigest())

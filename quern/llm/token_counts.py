@@ -62,7 +62,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
         def each(batch):
             size, n = [], []
-            for block in blocks(map(pa.Scalar.as_py, batch.column(1))):
+            for block in blocks(x.as_py() for x in batch.column(1)):
                 size += [len(t.encode()) for t in block]
                 n += counter.texts(block)
             yield pa.RecordBatch.from_arrays(
