@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors once per application, through the driver's file server."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_partitions(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package's code at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` where ``work()`` runs once a task and returns the function of a batch.
+    """``map_partitions`` where ``work()`` runs once a task and returns the function of a batch.
 
     The function of a batch yields record batches (or tuples of columns in schema order). Spark
     bounds a batch by rows and bytes, so memory follows the batch and the longest text.
@@ -34,7 +59,7 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Ite
         for batch in batches:
             yield from each(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

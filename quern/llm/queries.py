@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, token_counts, url_filters
+from quern.llm import bpe, simhash, token_counts, url_filters
 from quern.llm._spark import table
 
 
@@ -23,8 +23,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
