@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, simhash, token_counts, url_filters
+from quern.llm import bpe, chat, decontaminate, simhash, token_counts, url_filters
 from quern.llm._spark import table
 
 
@@ -31,9 +32,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": "user", "content": probe}, {"role": "assistant", "content": probe}]})
+    extra = chat.canonical_turns(spark.createDataFrame([(-7, record)], "id long, record string"))
+    turns = chat.table_turns(table(spark, sf_dir, "conversations"))
+    return chat.formatted_digests(turns.union(extra.select("id", "turn", "role", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op6_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op6_decontamination, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.sql(), "op6_decontamination": decontaminate.sql()}
+    return {"op2_url_filters": url_filters.sql(), "op6_decontamination": decontaminate.sql(), "op10_chat_format": chat.sql()}
