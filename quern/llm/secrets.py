@@ -1,0 +1,192 @@
+"""Secret scans in DataFrame and SQL functions only.
+
+Three patterns give the base spans. A battery of randomness tests adds further ones: every
+run of 20 or more token characters with a digit is a candidate; its encoding is inferred, and
+chi-squared uniformity over that alphabet, a runs test and serial correlation are computed.
+
+* The three tests, combined by Fisher's method, ask whether the run is consistent with
+  random symbols; one that is not is no secret.
+* The chi-squared statistic is also compared with what text-like symbols would give at that
+  length and alphabet. That p-value is small only for long or many-symbol runs, which makes
+  the decision length-aware. Benjamini-Hochberg at rate ``FALSE_DISCOVERIES`` runs over all
+  candidates of the corpus, separately by encoding and power-of-two length class, from a
+  histogram of p-values: its size is fixed, whatever the number of candidates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quern.llm._spark import checkpointed
+
+#: Base patterns and the least length of the second group or of the match. Fixed values.
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LENGTH = 8
+#: Runs of 16 or more, and of 32 or more: a maximal run is matched whole or not at all.
+ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
+#: Letters that must occur for ``ASSIGN`` to match at all.
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+KINDS = ("assign", "access", "hex", "random")
+
+#: Candidates of the battery: maximal runs with a digit.
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Encodings in the order they are tried: pattern, alphabet, and the squared coefficient of variation of text-like symbols over it.
+ENCODINGS = (
+    ("^[0-9]+$", "0123456789", 0.0),
+    ("^[0-9a-f]+$", "0123456789abcdef", 0.6),
+    ("^[0-9A-F]+$", "0123456789ABCDEF", 0.6),
+    ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.08),
+    ("^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 1.34),
+    ("^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 1.34),
+    ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.03),
+    ("^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 3.16),
+    ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.16),
+)
+#: Share of false discoveries; least combined p-value of randomness; bins of the histogram per factor of ten, and their number.
+FALSE_DISCOVERIES, RANDOM_P, BINS, LAST_BIN = 0.05, 1e-3, 20, 400
+
+_SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _located(kind: int, name: str, keep: str) -> Column:
+    """Spans in code points from the matches ``name_m`` and the text between them, ``name_g``.
+
+    Positions are running sums over the pieces; ``keep`` is a condition on the zipped element.
+    """
+    start = f"a.p + length(x.{name}_g)"
+    span = f"named_struct('start', {start}, 'kind', {kind}, 'end', {start} + length(x.{name}_m))"
+    return F.expr(
+        f"aggregate(arrays_zip({name}_m, {name}_g, {name}_k), named_struct('p', 0, 's', cast(array() as array<{_SPAN}>)), "
+        f"(a, x) -> named_struct('p', {start} + coalesce(length(x.{name}_m), 0), 's', if({keep}, concat(a.s, array({span})), a.s)), a -> a.s)"
+    )
+
+
+def _tail(z: str) -> str:
+    """Upper tail of the normal distribution at z >= 0 (a rational approximation of Hastings)."""
+    t = f"(1 / (1 + 0.2316419 * {z}))"
+    poly = f"{t} * (0.31938153 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    return f"greatest(exp(-0.5 * {z} * {z}) * 0.3989422804014327 * {poly}, 1e-300D)"
+
+
+def _upper(z: str) -> str:
+    return f"if({z} >= 0, {_tail(z)}, 1 - {_tail(f'(-{z})')})"
+
+
+def _battery(name: str) -> str:
+    """SQL for the candidates of ``name`` (start, end, token) with encoding, length class, text bin and randomness p."""
+    which = "CASE " + " ".join(f"WHEN t.token rlike {_quoted(p)} THEN {i}" for i, (p, _, _) in enumerate(ENCODINGS) if p) + f" ELSE {len(ENCODINGS) - 1} END"
+    alphabet = "element_at(array(" + ", ".join(_quoted(a) for _, a, _ in ENCODINGS) + "), t.enc + 1)"
+    text_like = "element_at(array(" + ", ".join(f"{v}D" for _, _, v in ENCODINGS) + "), t.enc + 1)"
+    steps = [
+        f"named_struct('start', t.start, 'end', t.end, 'token', t.token, 'enc', {which})",
+        f"named_struct('start', t.start, 'end', t.end, 'token', t.token, 'enc', t.enc, 'abc', {alphabet}, 'cv', {text_like})",
+        "named_struct('start', t.start, 'end', t.end, 'enc', t.enc, 'k', length(t.abc), 'cv', t.cv, 'v', "
+        "filter(transform(sequence(1, length(t.token)), i -> instr(t.abc, substring(t.token, i, 1)) - 1), c -> c >= 0))",
+        "named_struct('start', t.start, 'end', t.end, 'enc', t.enc, 'k', t.k, 'cv', t.cv, 'v', t.v, 'n', cast(size(t.v) as double), "
+        "'mean', aggregate(t.v, 0D, (s, c) -> s + c, s -> s / greatest(size(t.v), 1)), "
+        "'squares', aggregate(transform(sequence(0, t.k - 1), a -> size(filter(t.v, c -> c = a))), 0D, (s, c) -> s + c * c), "
+        "'high', cast(size(filter(t.v, c -> 2 * c >= t.k)) as double), "
+        "'runs', aggregate(zip_with(slice(t.v, 1, greatest(size(t.v) - 1, 0)), slice(t.v, 2, greatest(size(t.v) - 1, 0)), (x, y) -> if((2 * x >= t.k) <> (2 * y >= t.k), 1D, 0D)), 1D, (s, c) -> s + c))",
+        "named_struct('start', t.start, 'end', t.end, 'enc', t.enc, 'k', t.k, 'cv', t.cv, 'n', t.n, 'x2', t.k * t.squares / greatest(t.n, 1D) - t.n, "
+        "'rm', 2 * t.high * (t.n - t.high) / greatest(t.n, 1D) + 1, 'runs', t.runs, "
+        "'var', aggregate(t.v, 0D, (s, c) -> s + (c - t.mean) * (c - t.mean)), "
+        "'cov', aggregate(zip_with(slice(t.v, 1, greatest(size(t.v) - 1, 0)), slice(t.v, 2, greatest(size(t.v) - 1, 0)), (x, y) -> (x - t.mean) * (y - t.mean)), 0D, (s, c) -> s + c))",
+        "named_struct('start', t.start, 'end', t.end, 'enc', t.enc, 'n', t.n, "
+        "'z1', (t.x2 - (t.k - 1)) / sqrt(2 * (t.k - 1) * greatest(t.n - 1, 1D) / greatest(t.n, 1D)), "
+        "'z2', abs(t.runs - t.rm) / sqrt(greatest((t.rm - 1) * (t.rm - 2) / greatest(t.n - 1, 1D), 1e-9D)), "
+        "'z3', if(t.var > 0, abs(t.cov / t.var + 1 / greatest(t.n, 1D)) * sqrt(t.n), 1e3D), "
+        "'zt', if(t.cv > 0, ((t.k - 1) + t.n * t.cv - t.x2) / sqrt(2 * (t.k - 1) + 4 * t.n * t.cv), -1e3D))",
+        "named_struct('start', t.start, 'end', t.end, 'enc', t.enc, 'n', t.n, 'zt', least(t.zt, 37D), "
+        f"'h', -ln({_upper('least(t.z1, 37D)')}) - ln(least(1D, 2 * {_tail('least(t.z2, 37D)')})) - ln(least(1D, 2 * {_tail('least(t.z3, 37D)')})))",
+        "named_struct('start', t.start, 'end', t.end, 'class', t.enc * 64 + cast(floor(log2(greatest(t.n, 1D))) as int), "
+        f"'bin', cast(least(floor({BINS} * -log10({_upper('t.zt')})), {LAST_BIN}) as int), "
+        "'random', exp(-t.h) * (1 + t.h + t.h * t.h / 2))",
+    ]
+    out = name
+    for s in steps:
+        out = f"transform({out}, t -> {s})"
+    return out
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans and candidates of every document, as arrays; one pass, no shuffle.
+
+    Documents are first tested for each pattern, so texts without any are searched once only.
+    """
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    lower = F.lower("t")
+    maybe = lower.contains(KEYWORDS[0])
+    for word in KEYWORDS[1:]:
+        maybe = maybe | lower.contains(word)
+    found = {"a": (ASSIGN, 2, maybe), "k": (ACCESS, 0, F.col("t").contains("AKIA")), "h": (HEX, 0, F.col("t").rlike(HEX)), "r": (CANDIDATE, 0, F.col("t").rlike(CANDIDATE))}
+    pieces = ["doc_id"]
+    for name, (pattern, group, test) in found.items():
+        every = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+        none = F.array().cast("array<string>")
+        pieces += [
+            F.when(test, every).otherwise(none).alias(f"{name}_m"),
+            F.when(test, F.split("t", pattern, -1)).otherwise(none).alias(f"{name}_g"),
+            F.when(test, F.regexp_extract_all("t", F.lit(pattern), F.lit(group)) if group else every).otherwise(none).alias(f"{name}_k"),
+        ]
+    located = text.select(*pieces).select(
+        "doc_id",
+        _located(0, "a", f"length(x.a_k) >= {ASSIGN_LENGTH}").alias("assign"),
+        _located(1, "k", "x.k_m is not null").alias("access"),
+        _located(2, "h", "x.h_m is not null").alias("hex"),
+        _located(3, "r", "x.r_m is not null").alias("runs"),
+        F.col("r_m").alias("tokens"),
+    )
+    base = located.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs", "tokens")
+    fresh = base.withColumn(
+        "runs",
+        F.expr("filter(zip_with(runs, tokens, (s, m) -> named_struct('start', s.start, 'end', s.end, 'token', m)), c -> not exists(base, b -> b.start < c.end and c.start < b.end))"),
+    ).drop("tokens")
+    return fresh.withColumn("runs", F.expr(_battery("runs")))
+
+
+def thresholds(found: DataFrame) -> dict[int, int]:
+    """The least bin that is a discovery, by class: Benjamini-Hochberg on the histogram of p-values.
+
+    The histogram has at most encodings x length classes x bins rows; so does what returns.
+    """
+    bins = found.select(F.explode("runs").alias("r")).groupBy("r.class", "r.bin").agg(F.count("*").alias("n")).collect()
+    out: dict[int, int] = {}
+    for kind in {r["class"] for r in bins}:
+        own = sorted(((r["bin"], r["n"]) for r in bins if r["class"] == kind), reverse=True)
+        total, so_far = sum(n for _, n in own), 0
+        for b, n in own:
+            so_far += n
+            if 10 ** (-b / BINS) * total / so_far <= FALSE_DISCOVERIES:
+                out[kind] = b
+    return out
+
+
+def secret_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base and spans (arrays of struct<start, kind, end>) of every document.
+
+    ``kind`` indexes ``KINDS``; positions are code points, ends exclusive, order by start, then
+    kind. A null or empty text has none.
+    """
+    found = checkpointed(scanned(docs))
+    least = thresholds(found)
+    pairs = [x for c, b in sorted(least.items()) for x in (F.lit(c), F.lit(b))]
+    chosen = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
+    added = F.transform(
+        F.filter("runs", lambda r: (r["random"] >= RANDOM_P) & (r["bin"] >= F.coalesce(F.try_element_at(chosen, r["class"]), F.lit(LAST_BIN + 1)))),
+        lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")),
+    )
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+
+
+def _joined(spans: str) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    return secret_spans(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
