@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, secrets, simhash, token_counts, toxicity, url_filters
+from quern.llm import bpe, chat, decontaminate, secrets, simhash, token_counts, topk, toxicity, url_filters
 from quern.llm._spark import table
 
 
@@ -28,6 +28,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +54,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op6_decontamination, op7_secrets, op8_toxicity, op10_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op5_topk, op6_decontamination, op7_secrets, op8_toxicity, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.sql(), "op6_decontamination": decontaminate.sql(), "op10_chat_format": chat.sql()}
+    return {"op2_url_filters": url_filters.sql(), "op5_topk": topk.sql(), "op6_decontamination": decontaminate.sql(), "op10_chat_format": chat.sql()}
