@@ -25,7 +25,7 @@ class Lists:
     """One shard: distinct vectors, the ids of each in order, and a sorted list per dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        order = np.lexsort((ids, *vectors.T[::-1]))
+        order = np.lexsort((ids, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(ids)
         ids, vectors = ids[order], vectors[order]
         first = np.ones(len(ids), bool)
         first[1:] = (vectors[1:] != vectors[:-1]).any(1)
@@ -36,6 +36,7 @@ class Lists:
         kind = np.float32 if largest * largest * vectors.shape[1] < 1 << 24 else np.float64
         self.ids, self.vectors, self.k = ids, np.ascontiguousarray(vectors[first], kind), k
         self.largest = largest
+        self.by_id = np.argsort(ids, kind="stable")
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
         self.values = np.take_along_axis(self.vectors.T, self.order.astype(np.int64), 1)
 
@@ -46,6 +47,9 @@ class Lists:
         query = query.astype(np.float64 if wide else self.vectors.dtype)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen, scores = np.zeros(n, bool), np.full(n, -np.inf)
+        place = np.searchsorted(self.ids, own, sorter=self.by_id)
+        here = place < len(self.ids) and self.ids[self.by_id[place]] == own
+        own_vector = int(np.searchsorted(self.starts, self.by_id[place], side="right")) - 1 if here else -1
         depth, reached = 0, min(FIRST_DEPTH, n)
         if not len(up) and not len(down):
             seen[:], scores[:], depth = True, 0.0, n
@@ -60,10 +64,10 @@ class Lists:
             if seen.all():
                 break
             bound = query[up] @ self.values[up, n - depth] + query[down] @ self.values[down, depth - 1]
-            if self._kth(scores, own) > bound:
+            if self._kth(scores, own_vector) > bound:
                 break
             reached = min(2 * depth, n)
-        least = self._kth(scores, own)
+        least = self._kth(scores, own_vector)
         found = [(int(s), i) for v in np.flatnonzero(seen & (scores >= least)).tolist() for s in (scores[v],) for i in self._rows(v, own)]
         return sorted(found, key=lambda x: (-x[0], x[1]))[: self.k]
 
@@ -71,19 +75,14 @@ class Lists:
         """The smallest k ids of a vector, without ``own``."""
         return [i for i in self.ids[self.starts[v] : min(self.ends[v], self.starts[v] + self.k + 1)].tolist() if i != own][: self.k]
 
-    def _kth(self, scores: np.ndarray, own: int) -> float:
+    def _kth(self, scores: np.ndarray, own_vector: int) -> float:
         """The k-th best row score so far; minus infinity while there are fewer rows."""
         # k + 1 vectors have at least k rows that aren't the query's own
-        top = scores if len(scores) <= self.k + 1 else scores[np.argpartition(-scores, self.k)[: self.k + 1]]
-        left = self.k
-        for v in np.unique(top)[::-1]:
-            if v == -np.inf:
-                break
-            for at in np.flatnonzero(scores == v):
-                left -= len(self._rows(int(at), own))
-                if left <= 0:
-                    return float(v)
-        return -np.inf
+        at = np.arange(len(scores)) if len(scores) <= self.k + 1 else np.argpartition(scores, len(scores) - self.k - 1)[-self.k - 1 :]
+        at = at[np.argsort(-scores[at], kind="stable")]
+        rows = np.cumsum(self.ends[at] - self.starts[at] - (at == own_vector))
+        enough = np.searchsorted(rows, self.k)
+        return float(scores[at[enough]]) if enough < len(at) else -np.inf
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
