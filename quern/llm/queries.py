@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, secrets, simhash, token_counts, topk, toxicity, url_filters
+from quern.llm import bpe, chat, decontaminate, secrets, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
 from quern.llm._spark import table
 
 
@@ -45,6 +45,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": "user", "content": probe}, {"role": "assistant", "content": probe}]})
@@ -54,8 +58,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op5_topk, op6_decontamination, op7_secrets, op8_toxicity, op10_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op5_topk, op6_decontamination, op7_secrets, op8_toxicity, op9_substring_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.sql(), "op5_topk": topk.sql(), "op6_decontamination": decontaminate.sql(), "op10_chat_format": chat.sql()}
+    return {"op2_url_filters": url_filters.sql(), "op5_topk": topk.sql(), "op6_decontamination": decontaminate.sql(), "op9_substring_dedup": substring_dedup.sql(), "op10_chat_format": chat.sql()}
