@@ -112,6 +112,24 @@ def _loaded(sent, window: int) -> Items:
     return _LOADED[key]
 
 
+class _item_blocks:
+    """The items in blocks of about ``AUTOMATON_CHARS``, measured first and fetched one block at a time."""
+
+    def __init__(self, items: DataFrame):
+        self.items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+        size = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.n = max(1, -(-int(size) // AUTOMATON_CHARS))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> list[tuple]:
+        if k >= self.n:
+            raise IndexError(k)
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n))
+        return sorted({(r[0], r[1]) for r in self.items.where(block == k).collect()}, key=repr)
+
+
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words long, hits array<struct<start, end>> in words, items array<long>) of every document.
 
@@ -122,17 +140,14 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     have no words and no hits; repeated items and windows count once.
     """
     spark = docs.sparkSession
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // AUTOMATON_CHARS))
     schema = "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<long>"
     df = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<long>").alias("items"),
     )
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for k in range(blocks):
-        own = sorted({(r[0], r[1]) for r in items.where(block == k).select(F.col("item_id").cast("long"), "text").toLocalIterator() if r[1]})
-        last = k == blocks - 1
+    blocks = _item_blocks(items)
+    for k, own in enumerate(blocks):
+        last = k == len(blocks) - 1
         sent = spark.sparkContext.broadcast(own)
         df = map_batches(df, lambda sent=sent, last=last: _scanner(sent, window, last), schema.replace("text string, ", "") if last else schema)
     return df
@@ -174,6 +189,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of ``items``, all columns as they are.
+
+    Items of up to ``AUTOMATON_CHARS`` filter the rows in place; more take one pass per block.
+    """
+    at = docs.columns.index("text")
+    for own in _item_blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(own)
+
+        def work(sent=sent):
+            found = _loaded(sent, window)
+
+            def each(batch):
+                clean = [not found.scan(normal_words(t.as_py()))[0] for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+            return each
+
+        docs = map_batches(docs, work, docs.schema)
+    return docs
+
+
 def sql(window: int = WINDOW) -> str:
     """DuckDB SQL for ``contamination``: every window of a length that items have, joined by its words."""
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -187,6 +187,27 @@ def _joined(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def redacted(docs: DataFrame, mark: str) -> DataFrame:
+    """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans get one mark.
+
+    All columns stay as they are. Rows without spans keep their text, a null one too.
+    """
+    found = secret_spans(docs).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    joined = docs.join(found, "doc_id", "left")
+    # walk the spans in order; what lies between the end so far and the next start is kept
+    pieces = F.aggregate(
+        F.array_sort("spans"),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= a["at"], F.concat(a["kept"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])))).otherwise(a["kept"]).alias("kept"),
+        ),
+        lambda a: F.concat(F.array_join(a["kept"], mark), F.lit(mark), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+    )
+    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), pieces).otherwise(F.col("text"))).select(*docs.columns)
+
+
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     return secret_spans(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -171,3 +171,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
         nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     )
     return prints.join(labels, "fp").select("doc_id", F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
+
+
+def word_fingerprints(text: str | None, seeds: tuple[int, ...], shingle: int) -> list[int]:
+    """A fingerprint of the distinct words for each seed, then that of the word shingles."""
+    words = set((text or "").encode().lower().split())
+    digest = xxhash.xxh64_intdigest
+    out = [bit_majority(np.fromiter((digest(w, s) for w in words), np.uint64, len(words))) for s in seeds]
+    return [*out, fingerprint(text, shingle)]
+
+
+def kept_documents(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = (1, 2, 3), tolerance: int = 13) -> DataFrame:
+    """doc_id, component_id by five-word similarity: documents of one group are near copies of each other.
+
+    Single-word edits change few words but five shingles each, so fingerprints of the
+    distinct words, one per seed, find the candidates: pairs that differ in at most 3 bits in
+    any of them. A candidate counts if the fingerprints of the word shingles differ in at
+    most ``tolerance`` bits; 13 of 64 stand for a similarity of 0.8. Texts without words are
+    not near copies of anything and stay as they are. Null doc_ids stay too.
+    """
+
+    def work():
+        def each(batch):
+            rows = [word_fingerprints(t.as_py(), seeds, shingle) for t in batch.column(1)]
+            values = np.array(rows, np.uint64).reshape(-1, len(seeds) + 1).view(np.int64)
+            names = [f"fp{k}" for k in range(len(seeds) + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(names)))], ["doc_id", *names])
+
+        return each
+
+    names = [f"fp{k}" for k in range(len(seeds) + 1)]
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    worded = texts.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    prints = checkpointed(map_batches(worded, work, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    nodes = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    found = None
+    for n in names[:-1]:
+        own = links(nodes.select("node", F.col(n).alias("fp"), F.col(names[-1]).alias("check")), tolerance)
+        found = own if found is None else found.unionByName(own)
+    labels = checkpointed(nodes.join(components(found), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
+    return prints.join(labels, names).select("doc_id", "component_id")

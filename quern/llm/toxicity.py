@@ -292,6 +292,20 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
+def _model(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None):
+    counts = character_counts(docs)
+    scorer = fit(checkpointed(labelled_sample(docs if corpus is None else corpus, labels)), counts)
+    return docs.sparkSession.sparkContext.broadcast((counts, scorer.bias, scorer.weights))
+
+
+def _scores(sent):
+    """The function of a batch's text column that gives its scores."""
+    counts, bias, weights = sent.value
+    restorer, scorer = Restorer(counts), Scorer(bias, weights)
+    of_token = Remembered(lambda t: [f for w in restorer.words(t) for f in word_features(w) if f in weights])
+    return lambda texts: [scorer.score(f for f in _features(restorer, of_token, t.as_py()) if f in weights) for t in texts]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
@@ -300,19 +314,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None
     score. A null or empty text has no features and so the base score; without labels all
     scores are the base rate.
     """
-    corpus = docs if corpus is None else corpus
-    counts = character_counts(docs)
-    scorer = fit(checkpointed(labelled_sample(corpus, labels)), counts)
-    sent = docs.sparkSession.sparkContext.broadcast((counts, scorer.bias, scorer.weights))
+    sent = _model(docs, labels, corpus)
 
     def work():
-        counts, bias, weights = sent.value
-        restorer, scorer = Restorer(counts), Scorer(bias, weights)
-        of_token = Remembered(lambda t: [f for w in restorer.words(t) for f in word_features(w) if f in weights])
+        scores = _scores(sent)
 
         def each(batch):
-            scores = [scorer.score(_features_in(restorer, of_token, t.as_py(), weights)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
         return each
 
@@ -320,5 +328,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None
     return scored.select("doc_id", (F.coalesce(fold("doc_id"), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _features_in(restorer, of_token, text, weights) -> set[str]:
-    return {f for f in _features(restorer, of_token, text) if f in weights}
+def toxic_filter(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5, all columns as they are, without a join."""
+    sent = _model(docs, labels, corpus)
+    at = docs.columns.index("text")
+
+    def work():
+        scores = _scores(sent)
+
+        def each(batch):
+            yield batch.filter(pa.array([x < 0.5 for x in scores(batch.column(at))], pa.bool_()))
+
+        return each
+
+    return map_batches(docs, work, docs.schema)
