@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, secrets, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
+from quern.llm import bpe, chat, decontaminate, secret_scan, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
 from quern.llm._spark import table
 
 
@@ -38,7 +38,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

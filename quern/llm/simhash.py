@@ -3,7 +3,7 @@
 Two 64-bit fingerprints that differ in at most 3 bits agree on at least 3 of 6 blocks of
 bits, so the pair meets in one of the 20 tables keyed by 3 blocks (32 bits or so). Within a
 key all pairs are compared. A key with more than ``BUCKET`` distinct fingerprints is split
-by the same argument over its remaining bits, twice if need be; by then at most 11 bits are
+by the same argument over its remaining bits, twice if need be; by then at most 9 bits are
 free, so the size of a bucket is bounded whatever the data, and no link is lost.
 """
 
@@ -23,6 +23,9 @@ from quern.llm.components import components
 DISTANCE, BLOCKS = 3, 6
 #: Distinct fingerprints of one key that are compared with each other before the key is split.
 BUCKET = 128
+#: Symbols of a sketch, and bits in which candidates by words may differ.
+SKETCH, REACH = 128, 12
+_FACTORS, _SECOND = (np.random.default_rng(n).integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1) for n in (5, 6))
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
 
@@ -75,14 +78,18 @@ def _signed(x: int) -> int:
 def _keyed(spark, rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """Each row once per mask that refines its own mask; the mask table has a fixed size."""
     pairs = spark.createDataFrame([(_signed(p), _signed(m)) for p, ms in masks.items() for m in ms], "mask long, finer long")
-    finer = rows.join(F.broadcast(pairs), "mask").select(F.col("finer").alias("mask"), "node", "fp", "check")
+    finer = rows.join(F.broadcast(pairs), "mask").select(F.col("finer").alias("mask"), "node", "fp")
     return finer.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def bucket_links(tolerance: int):
-    """Links within sorted runs of (mask, key): a spanning forest of the close pairs of each run."""
+def bucket_links(distance: int, similarity: float | None):
+    """Links within sorted runs of (mask, key): a spanning forest of the close pairs of each run.
 
-    def close(mask, key, node, fp, check):
+    Rows are (mask, key, node, fp) and, with ``similarity``, a sketch: a pair then also needs
+    that share of equal symbols at least.
+    """
+
+    def close(mask, key, node, fp, *sketch):
         n = len(node)
         run = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
         root: dict[int, int] = {}
@@ -98,7 +105,9 @@ def bucket_links(tolerance: int):
         for d in range(1, longest):
             line = line[: np.searchsorted(line, n - d)]
             line = line[run[line] == run[line + d]]
-            near = line[(np.bitwise_count(fp[line] ^ fp[line + d]) <= DISTANCE) & (np.bitwise_count(check[line] ^ check[line + d]) <= tolerance)]
+            near = line[np.bitwise_count(fp[line] ^ fp[line + d]) <= distance]
+            if similarity is not None and len(near):
+                near = near[(sketch[0][near] == sketch[0][near + d]).mean(1) >= similarity]
             for i, j in zip(near.tolist(), (near + d).tolist()):
                 x, y = find(i), find(j)
                 if x != y:
@@ -110,7 +119,9 @@ def bucket_links(tolerance: int):
     def run(batches):
         held = None
         for batch in batches:
-            columns = [np.asarray(batch.column(i)) for i in range(5)]
+            columns = [np.asarray(batch.column(i)) for i in range(4)]
+            if similarity is not None:
+                columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, SKETCH))
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
             mask, key = columns[:2]
@@ -127,26 +138,33 @@ def bucket_links(tolerance: int):
     return run
 
 
-def links(nodes: DataFrame, tolerance: int = 64) -> DataFrame:
-    """(a, b) joining nodes (node long, fp long, check long), enough to connect all close ones.
+def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+    """(a, b) joining nodes (node long, fp long), enough to connect all close ones.
 
-    Close: ``fp`` differs in at most 3 bits and ``check`` in at most ``tolerance``. Distinct
-    nodes may share an fp only if their checks differ.
+    Close: ``fp`` differs in at most ``distance`` bits, of which up to 3 are found for
+    certain and more only where three blocks agree; and, given ``sketches`` (node, sketch),
+    the share of equal symbols is at least ``similarity``. Sketches join the rows of keys with
+    two nodes or more, not all keys. A key is split until it has at most ``BUCKET`` nodes or
+    12 free bits; nodes that share a fingerprint count once each.
     """
     spark, all_bits = nodes.sparkSession, list(range(64))
     level, found = {0: _choices(all_bits)}, []
-    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "node", "fp", "check")
+    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "node", "fp")
     while True:
         masks = sorted({m for ms in level.values() for m in ms})
-        free = 64 - max(m.bit_count() for m in masks)
+        final = 64 - min(m.bit_count() for m in masks) <= 12
         keyed = _keyed(spark, rows, level)
+        if 0 not in level:
+            keyed = keyed.distinct()  # several coarser keys lead to one finer key
         many = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = checkpointed(keyed.join(many, ["mask", "key"]).select("mask", "key", "node", "fp", "check", "n"))
-        final = free <= 12
+        shared = checkpointed(keyed.join(many, ["mask", "key"]).select("mask", "key", "node", "fp", "n"))
         small = shared if final else shared.where(F.col("n") <= BUCKET)
-        dealt = small.drop("n").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
-        found.append(map_partitions(dealt, bucket_links(tolerance), "a long, b long"))
-        rows = shared.where(F.col("n") > BUCKET).select("mask", "node", "fp", "check")
+        small = small.select("mask", "key", "node", "fp")
+        if sketches is not None:
+            small = small.join(sketches, "node").select("mask", "key", "node", "fp", "sketch")
+        dealt = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
+        found.append(map_partitions(dealt, bucket_links(distance, similarity if sketches is not None else None), "a long, b long"))
+        rows = shared.where(F.col("n") > BUCKET).select("mask", "node", "fp")
         if final or rows.isEmpty():
             break
         level = {m: [m | x for x in _choices([b for b in all_bits if not m >> b & 1])] for m in masks}
@@ -166,48 +184,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     """
     prints = checkpointed(fingerprints(docs, shingle, seed))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.withColumn("check", F.lit(0).cast("long"))))
+    found = components(links(nodes))
     labels = checkpointed(
         nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     )
     return prints.join(labels, "fp").select("doc_id", F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: str | None, seeds: tuple[int, ...], shingle: int) -> list[int]:
-    """A fingerprint of the distinct words for each seed, then that of the word shingles."""
-    words = set((text or "").encode().lower().split())
-    digest = xxhash.xxh64_intdigest
-    out = [bit_majority(np.fromiter((digest(w, s) for w in words), np.uint64, len(words))) for s in seeds]
-    return [*out, fingerprint(text, shingle)]
-
-
-def kept_documents(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = (1, 2, 3), tolerance: int = 13) -> DataFrame:
-    """doc_id, component_id by five-word similarity: documents of one group are near copies of each other.
+def shingle_sketch(text: str | None, shingle: int) -> bytes:
+    """``SKETCH`` symbols of 16 bits: the least value of the distinct word shingles under each of as many hashes.
 
-    Single-word edits change few words but five shingles each, so fingerprints of the
-    distinct words, one per seed, find the candidates: pairs that differ in at most 3 bits in
-    any of them. A candidate counts if the fingerprints of the word shingles differ in at
-    most ``tolerance`` bits; 13 of 64 stand for a similarity of 0.8. Texts without words are
-    not near copies of anything and stay as they are. Null doc_ids stay too.
+    Two texts' share of equal symbols estimates the Jaccard similarity of their shingles.
+    """
+    words = (text or "").encode().lower().split()
+    joined = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    h = np.fromiter((xxhash.xxh32_intdigest(x) for x in joined), np.uint32, len(joined))
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(h), 2048):
+        mixed = h[None, i : i + 2048] * _FACTORS[:, None]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _SECOND[:, None]
+        least = np.minimum(least, mixed.min(1))
+    return (least >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
+
+    One changed word changes ``shingle`` shingles but one word, so the candidates come from
+    SimHash fingerprints of the distinct words, one per seed: pairs that agree on three blocks
+    of one of them and differ in ``REACH`` bits of it at most. They are verified by the Hamming
+    distance of their shingle sketches. Texts without words are copies of nothing; rows
+    without a doc_id are left out. component_id is the smallest doc_id of the group.
     """
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def work():
+        digest = xxhash.xxh64_intdigest
+
         def each(batch):
-            rows = [word_fingerprints(t.as_py(), seeds, shingle) for t in batch.column(1)]
-            values = np.array(rows, np.uint64).reshape(-1, len(seeds) + 1).view(np.int64)
-            names = [f"fp{k}" for k in range(len(seeds) + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(names)))], ["doc_id", *names])
+            rows, sketches = [], []
+            for t in batch.column(1):
+                text = t.as_py()
+                words = set(text.encode().lower().split())
+                rows.append([bit_majority(np.fromiter((digest(w, s) for w in words), np.uint64, len(words))) for s in seeds])
+                sketches.append(shingle_sketch(text, shingle))
+            values = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(seeds))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(sketches, pa.binary())], ["doc_id", *names, "sketch"])
 
         return each
 
-    names = [f"fp{k}" for k in range(len(seeds) + 1)]
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     worded = texts.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    prints = checkpointed(map_batches(worded, work, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    nodes = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    prints = checkpointed(map_batches(worded, work, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary"))
+    same = F.xxhash64(*names, "sketch")
+    nodes = checkpointed(prints.withColumn("same", same).groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min_by(n, "doc_id").alias(n) for n in names)))
+    sketches = nodes.select("node").join(prints.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"]), "node")
     found = None
-    for n in names[:-1]:
-        own = links(nodes.select("node", F.col(n).alias("fp"), F.col(names[-1]).alias("check")), tolerance)
+    for n in names:
+        own = links(nodes.select("node", F.col(n).alias("fp")), REACH, sketches, similarity)
         found = own if found is None else found.unionByName(own)
-    labels = checkpointed(nodes.join(components(found), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
-    return prints.join(labels, names).select("doc_id", "component_id")
+    labels = checkpointed(nodes.join(components(found), "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
+    return prints.select("doc_id", same.alias("same")).join(labels, "same").select("doc_id", "component_id")
