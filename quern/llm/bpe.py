@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._spark import map_batches
 
@@ -367,4 +367,4 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -193,11 +193,11 @@ def redacted(docs: DataFrame, mark: str) -> DataFrame:
     All columns stay as they are. Rows without spans keep their text, a null one too.
     """
     found = secret_spans(docs).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
-    found = found.groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("_secret_spans"))
     joined = docs.join(found, "doc_id", "left")
     # walk the spans in order; what lies between the end so far and the next start is kept
     pieces = F.aggregate(
-        F.array_sort("spans"),
+        F.array_sort("_secret_spans"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -205,7 +205,7 @@ def redacted(docs: DataFrame, mark: str) -> DataFrame:
         ),
         lambda a: F.concat(F.array_join(a["kept"], mark), F.lit(mark), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), pieces).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_secret_spans").isNotNull(), pieces).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def secrets(docs: DataFrame) -> DataFrame:

@@ -180,11 +180,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     Documents are linked where their fingerprints differ in at most 3 bits; component_id is
     the smallest doc_id reachable. Equal fingerprints are merged before any pair is looked
     at, so copies cost one row in a map-side minimum. Null and blank texts have fingerprint
-    zero and are linked like any other.
+    zero and are linked like any other. A row without a doc_id links nothing; its component is
+    that of its fingerprint, or null. Repeated rows are answered alike.
     """
     prints = checkpointed(fingerprints(docs, shingle, seed))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes))
+    found = components(links(nodes.where("node is not null")))
     labels = checkpointed(
         nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     )

@@ -267,7 +267,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFra
 
     A word goes if a window of ``window`` words that covers it also starts in a document of
     smaller id. A document of fewer words keeps all; a null or empty text has none. Rows that
-    repeat a doc_id are one document's and never remove each other.
+    repeat a doc_id are one document's, must have one text, and never remove each other. A row
+    without a doc_id keeps all its words and removes none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = docs.join(repeated_spans(docs, window), "doc_id", "left")

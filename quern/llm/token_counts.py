@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._spark import map_batches
 from quern.llm.bpe import CACHE_ENTRIES, SPACE, Bpe, blocks, loaded, vocabulary
@@ -72,4 +72,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

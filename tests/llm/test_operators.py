@@ -1,0 +1,317 @@
+"""Each operator against a brute-force version, on small tables with awkward rows."""
+
+import hashlib
+import json
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from quern.llm import bpe, chat, decontaminate, secret_scan, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
+
+LONG = "lorem ipsum dolor " * 4000 + "x" * 3000
+AWKWARD = [
+    None, "", " ", "\n\t", "a", "a", "Hello  world\n\n it's 12 o'clock<|endoftext|> and <|startoftext|>more", "ÀÉ ñandú ΑΣ ς İ  x\x85y\x1cz", "中文 हिन्दी 😀😀", LONG, LONG,
+]
+
+
+def frame(spark, texts, **extra):
+    """documents with further columns whose names the operators use inside, one null id and repeated rows."""
+    rows = [(i, t, 1, "f", [1], -1.0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, fp string, spans array<int>, score double")
+
+
+def empty(spark, schema):
+    return spark.createDataFrame([], schema)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def random_texts(n, seed=1):
+    rng = random.Random(seed)
+    pool = [*"ab cXYZ  \n\t'’éß12½²,.!?#-_\x1c\x85\xa0 　中क́̈İΣ😀", "'s", "'ll", " the", "\n\n", "<|endoftext|>", "<|startoftext|>", "ing"]
+    return ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_token_counts(spark):
+    texts = AWKWARD + random_texts(400)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r for r in token_counts.token_counts(frame(spark, texts), path).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048), repr(t)[:80]
+    assert token_counts.token_counts(empty(spark, "doc_id long, text string"), path).collect() == []
+
+
+def test_whole_tokens_are_single():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    whole = sorted(bpe.Bpe(open(path, "rb").read()).whole_tokens())
+    assert len(whole) > 10_000
+    for w in random.Random(1).sample(whole, 300):
+        try:
+            text = w.decode()
+        except UnicodeDecodeError:
+            continue
+        if library.normalizer.normalize_str(text) == text and len(library.pre_tokenizer.pre_tokenize_str(text)) == 1:
+            assert len(library.encode(text, add_special_tokens=False).ids) == 1
+
+
+def test_bpe(spark):
+    texts = AWKWARD + random_texts(400, 2) + ["é" * 200, "ab" * 3000, " " * 300]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in bpe.encoding_digests(docs, path).collect()}
+    encoded = bpe.encode_texts(docs, path)
+    ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    decoded = {r["doc_id"]: r["text"] for r in bpe.decode_ids(encoded, path).collect()}
+    for i, t in enumerate(texts):
+        e = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(e, skip_special_tokens=False)
+        assert ids[i] == e and decoded[i] == back, repr(t)[:80]
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(e), sha(",".join(map(str, e))), sha(back))
+
+
+def test_url_filters(spark):
+    urls = [
+        None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.NET/x?y#z", "http://example.net/en/1", "http://w.example.net/en", "http://example.com/de/1", "http://xexample.com/de/1",
+        "http://a.org/fr/", "http://a.org/fr", "http://org/fr/x", "ftp://u@casino.com/", "http://my-casino-win.com/x", "http://casinos.com/", "http://a.com/x.exe", "http://a.com/x.exe?y",
+        "http://help.x.com/responsible-gaming/casino", "http://research.com/casino/", "http://casino.research.com/", "http://a.com/popup/x/ad/", "http://a/\n.net/", "http://a.net/", "http://a.net/",
+    ]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    for limit in (url_filters.INDEX_CHARS, 40):  # one pass, and many
+        url_filters.INDEX_CHARS, kept = limit, url_filters.INDEX_CHARS
+        try:
+            got = {r["page_id"]: r for r in url_filters.judge_urls(pages).collect()}
+        finally:
+            url_filters.INDEX_CHARS = kept
+        for i, u in enumerate(urls):
+            host, path = url_filters.split_url(u)
+            fits = [r for r in url_filters.HOST_RULES if (h := r.partition("/"))[0] in (host, *(host[k + 1 :] for k in range(len(host)) if host[k] == ".")) and path.startswith("/" + h[2])]
+            rule = max(fits, key=len, default=None)
+            hit = {e: any(re.search(url_filters.pattern_regex(p), (u or "").lower(), re.S) for p in url_filters.PATTERNS if p.startswith("@@") == e) for e in (False, True)}
+            verdict = url_filters.HOST_RULES[rule] if rule else "block" if hit[False] and not hit[True] else "allow"
+            assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), u
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    joined = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in joined]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("bucket", [128, 3])
+def test_simhash(spark, monkeypatch, bucket):
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    texts = AWKWARD + ["A b", "a B"] + [" ".join(w if rng.random() > 0.004 else f"z{i}" for w in base) for i in range(150)]
+    prints = np.array([plain_fingerprint(t) for t in texts], np.uint64)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 3).tolist():
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    docs = frame(spark, texts).unionByName(frame(spark, texts).limit(3))
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(texts) + 3
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{int(p):016x}", root[i]) for i, p in enumerate(prints)}
+    assert simhash.near_duplicates(empty(spark, "doc_id long, text string")).collect() == []
+
+
+def test_near_copies(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(300)]
+    copy = list(base)
+    copy[100] = "changed"
+    other = [f"v{rng.randint(0, 900)}" for _ in range(300)]
+    half = base[:150] + other[:150]
+    texts = [" ".join(t) for t in (base, copy, other, half, base)] + [None, "", " "]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
+
+
+def test_top_k(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 2], 0) for i in range(300)]
+    rows += [(1000 + i, [1.0, 0.5, 0.0, -0.5, 1.0], 0) for i in range(60)] + [(400, None, 0), (401, [1.0, None], 0), (402, [float("nan")], 0), (403, [float("inf")], 0), (404, [], 0), (420, [0.0] * 5, 0), (None, [1.0], 0)]
+    data = spark.createDataFrame(rows + rows[:2], "vec_id long, embedding array<float>, score int")
+    monkeypatch.setattr(topk, "SHARD_ROWS", 90)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 6)
+    vectors = topk.integer_vectors(data)
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()
+    clean = {i: np.floor(64 * np.array((v + [0.0] * 5)[:5])).astype(int) for i, v, _ in rows if i is not None and i not in (400, 401, 402, 403)}
+    expected = set()
+    for q in (i for i in clean if i % 20 == 0):
+        ranked = sorted(((-int(clean[q] @ v), i) for i, v in clean.items() if i != q))[:20]
+        expected |= {(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def plain_contamination(text, items):
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    words, hit, met = re.findall(pattern, lower(text)), set(), set()
+    for i, t in items:
+        own = re.findall(pattern, lower(t))
+        n = min(10, len(own))
+        windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
+        for k in range(len(words) - n + 1) if own else ():
+            if tuple(words[k : k + n]) in windows:
+                hit |= set(range(k, k + n))
+                met.add(i)
+    return len(words), len(hit), len(met), sha(",".join(sorted(map(str, met)))), bool(hit)
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 200])
+def test_decontamination(spark, monkeypatch, chars):
+    rng = random.Random(4)
+    words = ["é", "one", "two", "3", "four"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([3, 9, 10, 11, 25, 40])] + [(10, None), (11, ""), (12, "--"), (13, "One, TWO!")]
+    texts = [None, "", "...", "ONE-two", LONG[:3000], items[4][1], "x " + items[5][1].upper().replace("É", "é") + "\x00y", *(" ".join(rng.choice(words) for _ in range(200)) for _ in range(10))]
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", chars)
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    expected = {i: plain_contamination(t, items) for i, t in enumerate(texts)}
+    assert got == expected
+    kept = decontaminate.clean_documents(frame(spark, texts), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in expected.items() if not x[4]}
+    assert not decontaminate.contamination(frame(spark, ["a"]), empty(spark, "item_id long, text string")).first()["contaminated"]
+
+
+def test_word_spans():
+    text = "Éa Bc--dé 9\x00x"
+    assert [text[a:b] for a, b in decontaminate.word_spans(text)] == ["Éa", "Bc", "dé", "9", "x"]
+
+
+def plain_secrets(text):
+    text, found = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secrets(spark):
+    rng = random.Random(6)
+    pool = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ":", " ", "'", '"', "é", "😀", "abcdefgh", "x.y/z", "AKIA", "ABCDEF0123456789", "a1" * 18, "0f", "\n"]
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60))
+    texts = AWKWARD + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(300)] + [f"🙂 {key} end", "number 20240101000000000000000000", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1zzzzzzzzzzzz"]
+    got = {r["doc_id"]: r for r in secret_scan.secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = plain_secrets(t)
+        spelled = [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x == k for _, x, _ in base) for k in range(3)], repr(t)
+        assert got[i]["base_sha256"] == sha(",".join(spelled)), repr(t)
+        assert set(spelled) <= set(got[i]["spans"].split(","))
+    assert got[len(texts) - 3]["spans"] == "random:2:62"
+    assert got[len(texts) - 2]["spans"] == got[len(texts) - 1]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(frame(spark, texts), "[X]").collect()}
+    assert clean[len(texts) - 3] == "🙂 [X] end" and clean[0] is None and clean[9] == LONG
+    for i, t in enumerate(texts):
+        if plain_secrets(t):
+            assert "[X]" in clean[i] and not any(t[a:b] in clean[i] for a, k, b in plain_secrets(t) if k)
+    assert secret_scan.secrets(empty(spark, "doc_id long, text string")).collect() == []
+
+
+def test_toxicity(spark):
+    words = ["there", "other", "another", "nation", "mother", "reason", "winter", "garden", "stone", "silver", "table", "letter", "thing", "strange"]
+    rng = random.Random(7)
+    texts, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        own = [rng.choice(words) for _ in range(30)]
+        if toxic:
+            own[rng.randint(0, 29)] = rng.choice(["idiot", "moron"])
+        texts.append(" ".join(own))
+        labels.append((i, int(toxic)))
+    hidden = ["1d10t", "m0r0n!!!", "idiooooot", "i d i o t", "m.o.r.o.n", "m*ron"]
+    texts += [f"the other {h} reason" for h in hidden] + ["the other garden reason", None, ""]
+    scored = toxicity.toxicity(frame(spark, texts), spark.createDataFrame(labels + [(3, None), (None, 1), labels[0]], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in scored.collect()}
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    held = [i for i, _ in labels if got[i]["held_out"]]
+    assert len(held) > 80 and all(got[i]["predicted"] == labels[i][1] for i in held)
+    assert [got[600 + k]["predicted"] for k in range(9)] == [1] * 6 + [0] * 3
+    none = toxicity.toxicity(frame(spark, ["a"]), empty(spark, "doc_id long, toxic int")).collect()
+    assert none[0]["predicted"] == 0
+    assert toxicity.toxicity(empty(spark, "doc_id long, text string"), empty(spark, "doc_id long, toxic int")).collect() == []
+
+
+def plain_dedup(texts, window):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    first = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    out = {}
+    for i, w in enumerate(words):
+        gone = {p for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for p in range(k, k + window)}
+        out[i] = (len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("crowd, shard", [(4000, 400_000), (0, 300), (3, 60)])
+def test_substring_dedup(spark, monkeypatch, crowd, shard):
+    rng = random.Random(8)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    shared = [draw(n) for n in (49, 50, 51, 120)]
+    texts = [*AWKWARD, *shared, *(f"{draw(rng.randint(0, 60))} {rng.choice(shared)} {draw(rng.randint(0, 60))}" for _ in range(40)), draw(300)]
+    texts += [texts[-1], " ".join(texts[-1].split()[:120]) + " é " + draw(20), "same " * 130, "same " * 90]
+    monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", crowd)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == plain_dedup(texts, 50)
+
+
+def test_chat_escapes():
+    rng = random.Random(1)
+    pool = ["\\", "!", "<", "|", ">", *chat.CONTROL, "a", "\n", "\\!"]
+    for _ in range(20_000):
+        text, role = "".join(rng.choice(pool) for _ in range(rng.randint(0, 8))), rng.choice(["user", "assistant", "<|text|>", ""])
+        formatted = chat.format_turn(role, text)
+        assert [x[:2] for x in chat.read_turns(formatted)] == [(role, text)]
+        assert not any(c in chat.escape(text) for c in chat.CONTROL)
+
+
+def test_chat_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 1},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]},
+        {"instruction": "do", "input": "it", "output": "done"}, {"instruction": "do", "input": "", "output": "done"},
+        {"prompt": "p", "completion": "c", "system": "s"}, {"prompt": "p", "response": "r"}, {"question": "q", "context": "c", "answer": "a"}, {"other": 1}, [1], None,
+    ]
+    rows = [(i, json.dumps(r) if r is not None else None) for i, r in enumerate(records)] + [(10, "not json")]
+    got = {}
+    for r in chat.canonical_turns(spark.createDataFrame(rows, "id long, record string")).orderBy("id", "turn").collect():
+        got.setdefault(r["id"], []).append((r["role"], r["text"]))
+    u, a, s = "user", "assistant", "system"
+    assert got == {
+        0: [(u, "q"), (a, "a")], 1: [(u, "q"), (a, "")], 2: [(u, "it\ndo"), (a, "done")], 3: [(u, "do"), (a, "done")], 4: [(s, "s"), (u, "p"), (a, "c")], 5: [(u, "p"), (a, "r")],
+        6: [(u, "c\nq"), (a, "a")], 7: [(None, None)], 8: [(None, None)], 9: [(None, None)], 10: [(None, None)],
+    }
+
+
+def test_chat_digests(spark):
+    rows = [(1, 1, "assistant", "</s>[INST] x"), (1, 0, "user", None), (2, 0, None, "\\<|end|>"), (3, 0, "assistant", ""), (3, 0, "assistant", "b"), (None, 0, "user", "n"), (4, None, "user", "t")] + [(5, k, "assistant", f"t{k}") for k in range(500)]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: tuple(r)[1:] for r in chat.formatted_digests(chat.table_turns(turns)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
+        learned = "".join(x for _, r, x in own if r == "assistant")
+        size = sum(len(chat.format_turn(r, x)) for _, r, x in own)
+        assert got[conv] == (len(own), sha("".join(f"{r}\n{x}\n" for _, r, x in own)), len(learned), sha(learned), size)
