@@ -13,10 +13,10 @@ from quern.sources.tables import load
 from quern.streaming.windows import sessions, sliding, tumbling
 
 Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
-_PLANS: dict[str, tuple[Plan, str]] = {}
+_PLANS: dict[str, tuple[Plan, str | None]] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
     """Registers a plan, a function of a table loader, under its own name with its SQL."""
 
     def add(f: Plan) -> Plan:
@@ -328,6 +328,30 @@ def session_windows(t):
     return sessions(t("events"), "ts", "30 minutes", "user_id")
 
 
+@query("""SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def not_in_suppliers(t):
+    return t("customer").where("c_nationkey is not null").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti").select("c_custkey")
+
+
+_RECURSIVE = "WITH RECURSIVE c(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM c WHERE n < 50) SELECT max(total) AS total FROM c"
+
+
+@query(_RECURSIVE)
+def recursive_sum(t):
+    return t("region").sparkSession.sql(_RECURSIVE)
+
+
+@query("""SELECT p_type, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY p_type""")
+def collected_sets(t):
+    return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
+
+
+@query(None)
+def approximate_distinct(t):
+    """A sketch: DuckDB's differs, so there is no SQL to compare with."""
+    return t("lineitem").groupBy("l_linestatus").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(plan: Plan):
         return lambda spark, folder: plan(lambda name: load(spark, folder, name))
@@ -336,4 +360,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _PLANS.items()}
+    return {name: sql for name, (_, sql) in _PLANS.items() if sql}
