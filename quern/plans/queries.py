@@ -341,9 +341,9 @@ def recursive_sum(t):
     return t("region").sparkSession.sql(_RECURSIVE)
 
 
-@query("""SELECT p_type, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY p_type""")
+@query("""SELECT p_type, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS sizes FROM part GROUP BY p_type""")
 def collected_sets(t):
-    return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
+    return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_size")).cast("array<string>").alias("s")).select("p_type", F.array_join("s", ",").alias("sizes"))
 
 
 @query(None)
