@@ -49,3 +49,37 @@ def test_pipeline(spark, sf_dir, tmp_path):
     for r in after:
         ids = library.encode(before[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids))))
+
+
+AWKWARD = [
+    (1, "an ordinary text about gardens and winter", "en", "s", 41, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 0, "x"), (4, " \n", "en", "s", 2, "x"),
+    (None, "password = abcdefgh12345 in a row without an id", "en", "s", 1, "x"), (5, "token: ABCDEFGHIJKL\ttwo secret=1234567890 ones", None, "s", None, "x"),
+    (6, "long words " * 30_000 + "é" * 5000, "en", "s", 1, "x"), (7, "one two three four five six seven eight nine ten eleven", "en", "s", 1, "x"),
+    (8, "an ordinary text about gardens and winter", "de", "t", 41, "y"), (1, "an ordinary text about gardens and winter", "en", "s", 41, "x"),
+]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_pipeline_with_awkward_rows(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, {} string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "Two three, four five six seven eight nine ten ELEVEN"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema.format("fp0"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        kept.append(out.collect())
+        if name != "bpe":
+            assert out.columns == corpus_pipeline.COLUMNS
+            docs = spark.createDataFrame([(*r, "clash") for r in kept[-1]], schema.format("spans"))
+    if not rows:
+        assert kept == [[]] * 5
+        return
+    ids = [sorted((r["doc_id"] for r in k), key=str) for k in kept]
+    everything = sorted((r[0] for r in rows), key=str)
+    assert ids[0] == everything  # nothing is learned from no labels
+    assert ids[1] == sorted((r[0] for r in rows if r[0] != 8), key=str)  # rows of one id stay together
+    assert ids[2] == ids[3] == ids[4] == [i for i in ids[1] if i != 7]
+    text = {r["doc_id"]: r["text"] for r in kept[3]}
+    assert text[None] == "[REDACTED] in a row without an id" and text[5] == "[REDACTED]\ttwo [REDACTED] ones"
+    assert text[2] is None and text[3] == "" and text[6] == AWKWARD[6][1]
