@@ -22,9 +22,9 @@ SCAN_PARTS = 96
 #: The rank of a pair that never merges.
 NO_RANK = np.iinfo(np.int32).max
 #: Distinct chunks that one worker remembers before it starts afresh.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 #: Characters of text whose new chunks are merged together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Bytes of a vocabulary file that may be broadcast; it does not grow with the data.
 VOCABULARY_BYTES = 64 << 20
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._spark import checkpointed, map_batches, map_partitions
+from quern.llm.bpe import blocks
 
 #: Labelled rows that the scorer is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -28,8 +29,10 @@ CANDIDATES, SEEN = 4096, 5
 ROUNDS, SHRINK = 400, 2e-4
 #: Every fifth document by CRC-32 of its id is held out.
 FOLDS = 5
+#: Features that a task adds up before it passes them on.
+COUNTED = 200_000
 #: Tokens that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 
 #: What a character may stand for, besides itself or nothing. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "*": "aeiou"}
@@ -39,6 +42,7 @@ AS_LETTER, DROPPED, BREAK, DOUBLED = 0.5, 1.5, 2.5, 1.0
 DIGIT = 6.0
 
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^=+«»“”„’…¿¡"
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*·](?:[^\W_]|[@$!|+])){2,}(?!\S)")
 
@@ -52,7 +56,7 @@ def letter_codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     plain = (points >= 97) & (points <= 122)
     latin = (points >= 0xDF) & (points <= 0xFF) & (points != 0xF7)
-    codes = np.where(plain, points - 96, np.where(latin, points - 0xDF + 27, 0)).astype(np.int64)
+    codes = np.where(plain, points - 96, np.where(latin, points - 0xDF + 27, 0)).astype(np.int32)
     codes[(points > 0xFF) & (points < 0x2000)] = _OTHER
     return codes
 
@@ -66,10 +70,10 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
-            # texts joined by three spaces share no trigram but the empty one
-            c = letter_codes("   ".join(filter(None, batch.column(0).to_pylist())))
-            c = np.concatenate([[0, 0], c, [0]])
-            total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
+            for texts in blocks(x.as_py() for x in batch.column(0)):
+                # texts joined by three spaces share no trigram but the empty one
+                c = letter_codes("   ".join(["", *texts, ""]))
+                total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
         grams = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(total[grams])], ["gram", "n"])
 
@@ -145,12 +149,13 @@ class Restorer:
         self.model = CharacterModel(counts)
 
     def words(self, token: str) -> list[str]:
-        """Restored words of one lower-case token."""
+        """Restored words of one lower-case token; one with doubled letters is also read with each once."""
         core = token.strip(_STRIP)
         if core.isalpha() and not _TRIPLE.search(core):
             # a stand-in stripped from the edges may have been a letter: $tupid
             edge = token[: token.index(core)][-1:] in LEET and len(token) > len(core)
-            return [core, *viterbi(lattice(token), self.model).split()] if edge else [core]
+            once = [_DOUBLE.sub(r"\1", core)] if _DOUBLE.search(core) else []
+            return [core, *once, *viterbi(lattice(token), self.model).split()] if edge else [core, *once]
         if not any(map(str.isalpha, token)) and not any(c in LEET for c in token):
             return []
         if token.isdigit():
@@ -236,14 +241,20 @@ def fit(sample: DataFrame, counts: np.ndarray) -> Scorer:
         restorer = Restorer(sent.value)
         of_token = Remembered(lambda t: [f for w in restorer.words(t) for f in word_features(w)])
 
+        def counts_of(n):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(n), pa.string()), *(pa.array([v[k] for v in n.values()], pa.int64()) for k in (1, 0))], ["feature", "toxic", "clean"]
+            )
+
         def each(batch):
             n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 for f in _features(restorer, of_token, text.as_py()):
                     n[f][1 if toxic else 0] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(n), pa.string()), *(pa.array([v[k] for v in n.values()], pa.int64()) for k in (1, 0))], ["feature", "toxic", "clean"]
-            )
+                if len(n) > COUNTED:
+                    yield counts_of(n)
+                    n.clear()
+            yield counts_of(n)
 
         return each
 
