@@ -112,7 +112,7 @@ def _loaded(sent, window: int) -> Items:
     return _LOADED[key]
 
 
-class _item_blocks:
+class _ItemBlocks:
     """The items in blocks of about ``AUTOMATON_CHARS``, measured first and fetched one block at a time."""
 
     def __init__(self, items: DataFrame):
@@ -145,7 +145,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<long>").alias("items"),
     )
-    blocks = _item_blocks(items)
+    blocks = _ItemBlocks(items)
     for k, own in enumerate(blocks):
         last = k == len(blocks) - 1
         sent = spark.sparkContext.broadcast(own)
@@ -195,7 +195,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
     Items of up to ``AUTOMATON_CHARS`` filter the rows in place; more take one pass per block.
     """
     at = docs.columns.index("text")
-    for own in _item_blocks(items):
+    for own in _ItemBlocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(own)
 
         def work(sent=sent):

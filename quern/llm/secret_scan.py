@@ -112,18 +112,18 @@ def _battery(name: str) -> str:
     return out
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and candidates of every document, as arrays; one pass, no shuffle.
+def scanned(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """Base spans and candidates of every row, as arrays, beside its ``key`` (doc_id); one pass, no shuffle.
 
     Documents are first tested for each pattern, so texts without any are searched once only.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    text = docs.select((F.col("doc_id") if key is None else key).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     lower = F.lower("t")
     maybe = lower.contains(KEYWORDS[0])
     for word in KEYWORDS[1:]:
         maybe = maybe | lower.contains(word)
     found = {"a": (ASSIGN, 2, maybe), "k": (ACCESS, 0, F.col("t").contains("AKIA")), "h": (HEX, 0, F.col("t").rlike(HEX)), "r": (CANDIDATE, 0, F.col("t").rlike(CANDIDATE))}
-    pieces = ["doc_id"]
+    pieces = ["row"]
     for name, (pattern, group, test) in found.items():
         every = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
         none = F.array().cast("array<string>")
@@ -133,14 +133,14 @@ def scanned(docs: DataFrame) -> DataFrame:
             F.when(test, F.regexp_extract_all("t", F.lit(pattern), F.lit(group)) if group else every).otherwise(none).alias(f"{name}_k"),
         ]
     located = text.select(*pieces).select(
-        "doc_id",
+        "row",
         _located(0, "a", f"length(x.a_k) >= {ASSIGN_LENGTH}").alias("assign"),
         _located(1, "k", "x.k_m is not null").alias("access"),
         _located(2, "h", "x.h_m is not null").alias("hex"),
         _located(3, "r", "x.r_m is not null").alias("runs"),
         F.col("r_m").alias("tokens"),
     )
-    base = located.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs", "tokens")
+    base = located.select("row", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs", "tokens")
     fresh = base.withColumn(
         "runs",
         F.expr("filter(zip_with(runs, tokens, (s, m) -> named_struct('start', s.start, 'end', s.end, 'token', m)), c -> not exists(base, b -> b.start < c.end and c.start < b.end))"),
@@ -172,14 +172,18 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     kind. A null or empty text has none.
     """
     found = checkpointed(scanned(docs))
-    least = thresholds(found)
+    return found.select(F.col("row").alias("doc_id"), "n_assign", "n_access", "n_hex", "base", _all_spans(thresholds(found)).alias("spans"))
+
+
+def _all_spans(least: dict[int, int]) -> Column:
+    """Base spans and the candidates that are discoveries and consistent with random symbols, in order."""
     pairs = [x for c, b in sorted(least.items()) for x in (F.lit(c), F.lit(b))]
     chosen = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
     added = F.transform(
         F.filter("runs", lambda r: (r["random"] >= RANDOM_P) & (r["bin"] >= F.coalesce(F.try_element_at(chosen, r["class"]), F.lit(LAST_BIN + 1)))),
         lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")),
     )
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return F.array_sort(F.concat("base", added))
 
 
 def _joined(spans: str) -> Column:
@@ -190,22 +194,24 @@ def _joined(spans: str) -> Column:
 def redacted(docs: DataFrame, mark: str) -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans get one mark.
 
-    All columns stay as they are. Rows without spans keep their text, a null one too.
+    All columns stay as they are, and so do rows without spans, a null text too. The texts are
+    scanned twice, for the thresholds and for the spans, which spares a shuffle of the texts.
     """
-    found = secret_spans(docs).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
-    found = found.groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("_secret_spans"))
-    joined = docs.join(found, "doc_id", "left")
+    least = thresholds(scanned(docs))
+    found = scanned(docs, F.struct(*docs.columns)).select("row", _all_spans(least).alias("spans"))
+    text = F.col("row.text")
     # walk the spans in order; what lies between the end so far and the next start is kept
     pieces = F.aggregate(
-        F.array_sort("_secret_spans"),
+        "spans",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["kept"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])))).otherwise(a["kept"]).alias("kept"),
+            F.when(s["start"] >= a["at"], F.concat(a["kept"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"])))).otherwise(a["kept"]).alias("kept"),
         ),
-        lambda a: F.concat(F.array_join(a["kept"], mark), F.lit(mark), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+        lambda a: F.concat(F.array_join(a["kept"], mark), F.lit(mark), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return joined.withColumn("text", F.when(F.col("_secret_spans").isNotNull(), pieces).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, pieces).otherwise(text)
+    return found.select(*((clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
