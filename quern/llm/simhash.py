@@ -23,6 +23,9 @@ from quern.llm.components import components
 DISTANCE, BLOCKS = 3, 6
 #: Distinct fingerprints of one key that are compared with each other before the key is split.
 BUCKET = 128
+#: The same where sketches are compared: word fingerprints of near copies are often equal, so that splitting keys by
+#: their bits helps little, while pairs that are joined already are skipped.
+COPIES_BUCKET = 4096
 #: Symbols of a sketch, and bits in which candidates by words may differ.
 SKETCH, REACH = 128, 12
 _FACTORS, _SECOND = (np.random.default_rng(n).integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1) for n in (5, 6))
@@ -92,11 +95,11 @@ def bucket_links(distance: int, similarity: float | None):
     def close(mask, key, node, fp, *sketch):
         n = len(node)
         run = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        root: dict[int, int] = {}
+        root = np.arange(n)  # flat for all rows that are still compared
 
         def find(x):
-            while (up := root.get(x, x)) != x:
-                root[x] = x = root.get(up, up)
+            while root[x] != x:
+                x = root[x]
             return x
 
         a, b = [], []
@@ -105,7 +108,8 @@ def bucket_links(distance: int, similarity: float | None):
         for d in range(1, longest):
             line = line[: np.searchsorted(line, n - d)]
             line = line[run[line] == run[line + d]]
-            near = line[np.bitwise_count(fp[line] ^ fp[line + d]) <= distance]
+            # pairs that are joined already need no second look
+            near = line[(root[line] != root[line + d]) & (np.bitwise_count(fp[line] ^ fp[line + d]) <= distance)]
             if similarity is not None and len(near):
                 near = near[(sketch[0][near] == sketch[0][near + d]).mean(1) >= similarity]
             for i, j in zip(near.tolist(), (near + d).tolist()):
@@ -114,6 +118,10 @@ def bucket_links(distance: int, similarity: float | None):
                     root[max(x, y)] = min(x, y)
                     a.append(node[i])
                     b.append(node[j])
+            if len(near):
+                active = np.union1d(line, line + d)
+                while (root[root[active]] != root[active]).any():
+                    root[active] = root[root[active]]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
@@ -138,15 +146,16 @@ def bucket_links(distance: int, similarity: float | None):
     return run
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None = None, similarity: float | None = None, bucket: int | None = None) -> DataFrame:
     """(a, b) joining nodes (node long, fp long), enough to connect all close ones.
 
     Close: ``fp`` differs in at most ``distance`` bits, of which up to 3 are found for
     certain and more only where three blocks agree; and, given ``sketches`` (node, sketch),
     the share of equal symbols is at least ``similarity``. Sketches join the rows of keys with
-    two nodes or more, not all keys. A key is split until it has at most ``BUCKET`` nodes or
+    two nodes or more, not all keys. A key is split until it has at most ``bucket`` (``BUCKET``) nodes or
     12 free bits; nodes that share a fingerprint count once each.
     """
+    bucket = bucket or BUCKET
     spark, all_bits = nodes.sparkSession, list(range(64))
     level, found = {0: _choices(all_bits)}, []
     rows = nodes.select(F.lit(0).cast("long").alias("mask"), "node", "fp")
@@ -158,13 +167,13 @@ def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None
             keyed = keyed.distinct()  # several coarser keys lead to one finer key
         many = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = checkpointed(keyed.join(many, ["mask", "key"]).select("mask", "key", "node", "fp", "n"))
-        small = shared if final else shared.where(F.col("n") <= BUCKET)
+        small = shared if final else shared.where(F.col("n") <= bucket)
         small = small.select("mask", "key", "node", "fp")
         if sketches is not None:
             small = small.join(sketches, "node").select("mask", "key", "node", "fp", "sketch")
         dealt = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
         found.append(map_partitions(dealt, bucket_links(distance, similarity if sketches is not None else None), "a long, b long"))
-        rows = shared.where(F.col("n") > BUCKET).select("mask", "node", "fp")
+        rows = shared.where(F.col("n") > bucket).select("mask", "node", "fp")
         if final or rows.isEmpty():
             break
         level = {m: [m | x for x in _choices([b for b in all_bits if not m >> b & 1])] for m in masks}
@@ -244,7 +253,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     sketches = nodes.select("node").join(prints.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"]), "node")
     found = None
     for n in names:
-        own = links(nodes.select("node", F.col(n).alias("fp")), REACH, sketches, similarity)
+        own = links(nodes.select("node", F.col(n).alias("fp")), REACH, sketches, similarity, COPIES_BUCKET)
         found = own if found is None else found.unionByName(own)
     labels = checkpointed(nodes.join(components(found), "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
     return prints.select("doc_id", same.alias("same")).join(labels, "same").select("doc_id", "component_id")
