@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -62,5 +62,28 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Ite
     return map_partitions(df, run, schema)
 
 
+#: Bits of a membership table. Its rows, 64 bits each, are half a million at most, whatever the number of keys.
+MEMBER_BITS = 1 << 25
+
+
+def members(keys: DataFrame, column: str) -> DataFrame:
+    """A table of fixed size that tells keys that are certainly not in ``keys`` (long) from those that may be.
+
+    The lowest bits of a key pick one bit. Consecutive ids collide only beyond
+    ``MEMBER_BITS``, hashes at random. Filled beyond that it lets everything pass, which costs
+    time and never a row.
+    """
+    place = F.col(column).bitwiseAND(F.lit(MEMBER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return checkpointed(keys.where(F.col(column).isNotNull()).groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def maybe_members(df: DataFrame, column: str, known: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows that may be in the table ``known`` (left_semi), or the others (left_anti), by a bounded broadcast."""
+    place = F.col(column).bitwiseAND(F.lit(MEMBER_BITS - 1))
+    bit = F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")))
+    return df.join(F.broadcast(known), (F.shiftright(place, 6) == F.col("_word")) & (bit != 0), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

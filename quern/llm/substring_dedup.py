@@ -17,17 +17,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import checkpointed, map_batches, map_partitions
+from quern.llm._spark import checkpointed, map_batches, map_partitions, maybe_members, members
 from quern.llm.decontaminate import merged
 from quern.llm.fm_index import FmIndex
 
 #: Words of a window, and of the grams that anchors are chosen from.
 WINDOW, GRAM = 50, 8
 #: Words of segments in one FM-index, about; distinct segments of an anchor above which it is split by window.
-SHARD_WORDS, ANCHOR_SEGMENTS = 400_000, 4_000
+SHARD_WORDS, ANCHOR_SEGMENTS = 400_000, 500
 #: Words of a document that are handled at once.
 BLOCK_WORDS = 1 << 19
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -153,16 +153,22 @@ def _windows(docs: DataFrame, segments: DataFrame, window: int) -> DataFrame:
 
         return each
 
-    return _exploded(map_batches(docs.join(wanted, "doc_id"), work, f"doc_id long, {_ARRAYS}"))
+    wanted = checkpointed(wanted)
+    texts = maybe_members(docs, "doc_id", members(wanted, "doc_id"))
+    return _exploded(map_batches(texts.join(wanted, "doc_id"), work, f"doc_id long, {_ARRAYS}"))
 
 
 def _shared(segments: DataFrame) -> DataFrame:
-    """The segments whose anchor more than one document has, with the anchor's number of distinct contents.
+    """The segments whose anchor more than one document has.
 
-    Both counts are map-side aggregates of fixed-size rows.
+    Anchors are counted by a map-side aggregate of fixed-size rows; most segments then fall to
+    a membership table of fixed size, and what passes is joined exactly.
     """
-    anchors = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    return checkpointed(segments.join(anchors, "anchor", "left_semi").select("doc_id", "anchor", "content", "start", "n"))
+    anchors = checkpointed(
+        segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    )
+    likely = maybe_members(segments, "anchor", members(anchors, "anchor"))
+    return checkpointed(likely.join(anchors, "anchor", "left_semi").select("doc_id", "anchor", "content", "start", "n"))
 
 
 def _first_places(segments: DataFrame) -> DataFrame:
@@ -190,7 +196,9 @@ def _fetched(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
         return each
 
-    return map_batches(docs.join(wanted, "doc_id"), work, "anchor long, content long, doc_id long, words binary")
+    wanted = checkpointed(wanted)
+    texts = maybe_members(docs, "doc_id", members(wanted, "doc_id"))
+    return map_batches(texts.join(wanted, "doc_id"), work, "anchor long, content long, doc_id long, words binary")
 
 
 def _first_documents(segments: list[tuple], window: int) -> pa.RecordBatch:
@@ -271,7 +279,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFra
     without a doc_id keeps all its words and removes none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.join(repeated_spans(docs, window), "doc_id", "left")
+    found = checkpointed(repeated_spans(docs, window))
+    known = members(found, "doc_id")
+    # only texts that may lose words are dealt by id; the others are digested where they are read
+    some = maybe_members(docs, "doc_id", known).join(found, "doc_id", "left")
+    none = maybe_members(docs, "doc_id", known, "left_anti").withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    joined = some.select("doc_id", "text", "spans").unionByName(none)
 
     def work():
         def each(batch):
