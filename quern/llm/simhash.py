@@ -23,11 +23,9 @@ from quern.llm.components import components
 DISTANCE, BLOCKS = 3, 6
 #: Distinct fingerprints of one key that are compared with each other before the key is split.
 BUCKET = 128
-#: The same where sketches are compared: word fingerprints of near copies are often equal, so that splitting keys by
-#: their bits helps little, while pairs that are joined already are skipped.
-COPIES_BUCKET = 4096
-#: Symbols of a sketch, and bits in which candidates by words may differ.
-SKETCH, REACH = 128, 12
+#: Symbols of a sketch, 16 bits each, and of a key: four symbols fill a long. A pair of texts whose shingles have the
+#: similarity s shares one of the 32 keys with probability 1 - (1 - s**4)**32, whatever was edited: 1 - 5e-8 at 0.8.
+SKETCH, BAND = 128, 4
 _FACTORS, _SECOND = (np.random.default_rng(n).integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1) for n in (5, 6))
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
@@ -85,14 +83,13 @@ def _keyed(spark, rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     return finer.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def bucket_links(distance: int, similarity: float | None):
+def bucket_links(distance: int):
     """Links within sorted runs of (mask, key): a spanning forest of the close pairs of each run.
 
-    Rows are (mask, key, node, fp) and, with ``similarity``, a sketch: a pair then also needs
-    that share of equal symbols at least.
+    Rows are (mask, key, node, fp).
     """
 
-    def close(mask, key, node, fp, *sketch):
+    def close(mask, key, node, fp):
         n = len(node)
         run = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
         root = np.arange(n)  # flat for all rows that are still compared
@@ -110,8 +107,6 @@ def bucket_links(distance: int, similarity: float | None):
             line = line[run[line] == run[line + d]]
             # pairs that are joined already need no second look
             near = line[(root[line] != root[line + d]) & (np.bitwise_count(fp[line] ^ fp[line + d]) <= distance)]
-            if similarity is not None and len(near):
-                near = near[(sketch[0][near] == sketch[0][near + d]).mean(1) >= similarity]
             for i, j in zip(near.tolist(), (near + d).tolist()):
                 x, y = find(i), find(j)
                 if x != y:
@@ -128,8 +123,6 @@ def bucket_links(distance: int, similarity: float | None):
         held = None
         for batch in batches:
             columns = [np.asarray(batch.column(i)) for i in range(4)]
-            if similarity is not None:
-                columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, SKETCH))
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
             mask, key = columns[:2]
@@ -146,16 +139,12 @@ def bucket_links(distance: int, similarity: float | None):
     return run
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None = None, similarity: float | None = None, bucket: int | None = None) -> DataFrame:
+def links(nodes: DataFrame) -> DataFrame:
     """(a, b) joining nodes (node long, fp long), enough to connect all close ones.
 
-    Close: ``fp`` differs in at most ``distance`` bits, of which up to 3 are found for
-    certain and more only where three blocks agree; and, given ``sketches`` (node, sketch),
-    the share of equal symbols is at least ``similarity``. Sketches join the rows of keys with
-    two nodes or more, not all keys. A key is split until it has at most ``bucket`` (``BUCKET``) nodes or
-    12 free bits; nodes that share a fingerprint count once each.
+    Close: ``fp`` differs in at most ``DISTANCE`` bits. A key is split until it has at most
+    ``BUCKET`` nodes or 12 free bits; nodes that share a fingerprint count once each.
     """
-    bucket = bucket or BUCKET
     spark, all_bits = nodes.sparkSession, list(range(64))
     level, found = {0: _choices(all_bits)}, []
     rows = nodes.select(F.lit(0).cast("long").alias("mask"), "node", "fp")
@@ -167,13 +156,11 @@ def links(nodes: DataFrame, distance: int = DISTANCE, sketches: DataFrame | None
             keyed = keyed.distinct()  # several coarser keys lead to one finer key
         many = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = checkpointed(keyed.join(many, ["mask", "key"]).select("mask", "key", "node", "fp", "n"))
-        small = shared if final else shared.where(F.col("n") <= bucket)
+        small = shared if final else shared.where(F.col("n") <= BUCKET)
         small = small.select("mask", "key", "node", "fp")
-        if sketches is not None:
-            small = small.join(sketches, "node").select("mask", "key", "node", "fp", "sketch")
         dealt = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
-        found.append(map_partitions(dealt, bucket_links(distance, similarity if sketches is not None else None), "a long, b long"))
-        rows = shared.where(F.col("n") > bucket).select("mask", "node", "fp")
+        found.append(map_partitions(dealt, bucket_links(DISTANCE), "a long, b long"))
+        rows = shared.where(F.col("n") > BUCKET).select("mask", "node", "fp")
         if final or rows.isEmpty():
             break
         level = {m: [m | x for x in _choices([b for b in all_bits if not m >> b & 1])] for m in masks}
@@ -202,9 +189,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
 
 
 def shingle_sketch(text: str | None, shingle: int) -> bytes:
-    """``SKETCH`` symbols of 16 bits: the least value of the distinct word shingles under each of as many hashes.
+    """``SKETCH`` symbols of 16 bits: the shingle of the least value under each of as many hashes, by the value's low bits.
 
-    Two texts' share of equal symbols estimates the Jaccard similarity of their shingles.
+    The high bits of a least value are near zero in long texts, and equal by chance. Two texts' share of equal symbols estimates the Jaccard similarity of their shingles.
     """
     words = (text or "").encode().lower().split()
     joined = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
@@ -215,45 +202,92 @@ def shingle_sketch(text: str | None, shingle: int) -> bytes:
         mixed ^= mixed >> np.uint32(15)
         mixed *= _SECOND[:, None]
         least = np.minimum(least, mixed.min(1))
-    return (least >> np.uint32(16)).astype(np.uint16).tobytes()
+    return least.astype(np.uint16).tobytes()
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def _cells(batches):
+    """The rows of one cell after another, as tables, from rows sorted by their first column."""
+    held = []
+    for batch in batches:
+        cell = np.asarray(batch.column(0))
+        ends = np.r_[np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)].tolist() if len(cell) else []
+        for a, b in zip([0, *ends], ends):
+            if held and held[0].column(0)[0].as_py() != cell[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cell_links(closeness):
+    """Links within sorted runs of (cell, node, ...): a spanning forest of the close pairs of each cell.
+
+    ``closeness(rows)`` gives the function of a place and an array of later places that tells which are close.
+    """
+
+    def run(batches):
+        a, b = [], []
+        for rows in _cells(batches):
+            node, root, close = rows.column(1).to_pylist(), np.arange(rows.num_rows), closeness(rows)
+            for i in range(len(node) - 1):
+                # pairs that are joined already need no second look
+                later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                for j in later[close(i, later)].tolist() if len(later) else ():
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        a.append(node[i])
+                        b.append(node[j])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def sketch_closeness(similarity: float):
+    """Close: the share of equal symbols of (cell, node, sketch) is at least ``similarity``."""
+
+    def closeness(rows):
+        sketch = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint16).reshape(-1, SKETCH)
+        return lambda i, later: (sketch[later] == sketch[i]).mean(1) >= similarity
+
+    return closeness
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
 
-    One changed word changes ``shingle`` shingles but one word, so the candidates come from
-    SimHash fingerprints of the distinct words, one per seed: pairs that agree on three blocks
-    of one of them and differ in ``REACH`` bits of it at most. They are verified by the Hamming
-    distance of their shingle sketches. Texts without words are copies of nothing; rows
+    Candidates share ``BAND`` neighbouring symbols of their shingle sketches. They are verified
+    by the share of equal symbols of their sketches. Texts without words are copies of nothing; rows
     without a doc_id are left out. component_id is the smallest doc_id of the group.
     """
-    names = [f"fp{k}" for k in range(len(seeds))]
 
     def work():
-        digest = xxhash.xxh64_intdigest
-
         def each(batch):
-            rows, sketches = [], []
-            for t in batch.column(1):
-                text = t.as_py()
-                words = set(text.encode().lower().split())
-                rows.append([bit_majority(np.fromiter((digest(w, s) for w in words), np.uint64, len(words))) for s in seeds])
-                sketches.append(shingle_sketch(text, shingle))
-            values = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(seeds))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(sketches, pa.binary())], ["doc_id", *names, "sketch"])
+            texts = [t.as_py() for t in batch.column(1)]
+            same = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
+            sketches = [shingle_sketch(t, shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "same", "sketch"])
 
         return each
 
+    def keys(batches):
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            n, bands = sketch.shape
+            columns = [np.repeat(np.asarray(batch.column(0)), bands), np.tile(np.arange(bands, dtype=np.int32), n), sketch.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "band", "key"])
+
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     worded = texts.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    prints = checkpointed(map_batches(worded, work, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary"))
-    same = F.xxhash64(*names, "sketch")
-    nodes = checkpointed(prints.withColumn("same", same).groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min_by(n, "doc_id").alias(n) for n in names)))
-    sketches = nodes.select("node").join(prints.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"]), "node")
-    found = None
-    for n in names:
-        own = links(nodes.select("node", F.col(n).alias("fp")), REACH, sketches, similarity, COPIES_BUCKET)
-        found = own if found is None else found.unionByName(own)
-    labels = checkpointed(nodes.join(components(found), "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
-    return prints.select("doc_id", same.alias("same")).join(labels, "same").select("doc_id", "component_id")
+    prints = checkpointed(map_batches(worded, work, "doc_id long, same binary, sketch binary"))
+    nodes = checkpointed(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+    keyed = map_partitions(nodes.select("node", "sketch"), keys, "node long, band int, key long")
+    many = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keyed.join(many, ["band", "key"]).select(F.xxhash64("band", "key").alias("cell"), "node")
+    dealt = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
+    found = components(map_partitions(dealt, cell_links(sketch_closeness(similarity)), "a long, b long"))
+    labels = checkpointed(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
+    return prints.select("doc_id", "same").join(labels, "same").select("doc_id", "component_id")

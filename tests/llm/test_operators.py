@@ -140,6 +140,44 @@ def test_near_copies(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def edited_pairs(edit, low, high, pairs, seed=9):
+    """Texts in pairs, the second an edited first: words appended, cut in one run, or changed here and there."""
+    rng = random.Random(seed)
+    draw = lambda n: [f"w{min(int(rng.paretovariate(0.7)), 20_000)}" for _ in range(n)]
+    texts = []
+    while len(texts) < 2 * pairs:
+        words = draw(rng.randint(100, 400))
+        n = len(words)
+        if edit == "tail":
+            other = words + draw(int(n * rng.uniform(0.05, 0.3)))
+        elif edit == "cut":
+            k = int(n * rng.uniform(0.05, 0.25))
+            at = rng.randint(0, n - k)
+            other = words[:at] + words[at + k :]
+        else:
+            other = [w if rng.random() > 0.03 else f"z{rng.randint(0, 9999)}" for w in words]
+        if low <= jaccard(shingles(" ".join(words)), shingles(" ".join(other))) < high:
+            texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("edit", ["tail", "cut", "scattered"])
+def test_near_copies_of_each_edit(spark, edit):
+    texts = edited_pairs(edit, 0.86, 0.9, 100)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 200, 2)) >= 95
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 2], 0) for i in range(300)]
