@@ -14,7 +14,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm._spark import checkpointed, map_batches, map_partitions
 from quern.llm.components import components
@@ -26,6 +26,8 @@ BUCKET = 128
 #: Symbols of a sketch, 16 bits each, and of a key: four symbols fill a long. A pair of texts whose shingles have the
 #: similarity s shares one of the 32 keys with probability 1 - (1 - s**4)**32, whatever was edited: 1 - 5e-8 at 0.8.
 SKETCH, BAND = 128, 4
+#: Rows of a block. Larger groups are compared block against block, each pair of blocks a cell of its own.
+BLOCK_ROWS = 1024
 _FACTORS, _SECOND = (np.random.default_rng(n).integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1) for n in (5, 6))
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
@@ -205,6 +207,18 @@ def shingle_sketch(text: str | None, shingle: int) -> bytes:
     return least.astype(np.uint16).tobytes()
 
 
+def dealt(rows: DataFrame, group: list[str], blocks: Column, *columns: str) -> DataFrame:
+    """``rows`` as (cell, node, columns), sorted by cell: every two rows of a group meet in a cell.
+
+    A group is cut into ``blocks`` by a hash of the nodes; a row goes once to each cell of its block and another.
+    Groups whose cells share a hash are only compared with each other too.
+    """
+    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64(*group, F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(cell.alias("cell"), "node", *columns)
+
+
 def _cells(batches):
     """The rows of one cell after another, as tables, from rows sorted by their first column."""
     held = []
@@ -286,8 +300,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     nodes = checkpointed(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     keyed = map_partitions(nodes.select("node", "sketch"), keys, "node long, band int, key long")
     many = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(many, ["band", "key"]).select(F.xxhash64("band", "key").alias("cell"), "node")
-    dealt = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
-    found = components(map_partitions(dealt, cell_links(sketch_closeness(similarity)), "a long, b long"))
+    shared = dealt(keyed.join(many, ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / BLOCK_ROWS))
+    met = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
+    found = components(map_partitions(met, cell_links(sketch_closeness(similarity)), "a long, b long"))
     labels = checkpointed(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
     return prints.select("doc_id", "same").join(labels, "same").select("doc_id", "component_id")

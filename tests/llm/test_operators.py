@@ -178,6 +178,18 @@ def test_near_copies_of_each_edit(spark, edit):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+@pytest.mark.parametrize("rows", [1024, 3])
+def test_near_copies_in_large_keys(spark, monkeypatch, rows):
+    rng = random.Random(11)
+    base, texts = [f"w{rng.randint(0, 900)}" for _ in range(200)], []
+    for k in range(40):  # groups of two that share most words, and no copies of each other
+        own = [w if i % 14 else f"x{k}_{i}" for i, w in enumerate(base)]
+        texts += [" ".join(own), " ".join(own[:-8] + [f"y{k}_{i}" for i in range(8)])]
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 2], 0) for i in range(300)]
