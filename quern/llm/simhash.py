@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm._spark import checkpointed, map_batches, map_partitions
+from quern.llm._spark import checkpointed, map_batches, map_partitions, maybe_members, members
 from quern.llm.components import components
 
 #: Bits that linked fingerprints may differ in; blocks of each split. Fixed by the pigeonhole argument above.
@@ -28,6 +28,10 @@ BUCKET = 128
 SKETCH, BAND = 128, 4
 #: Rows of a block. Larger groups are compared block against block, each pair of blocks a cell of its own.
 BLOCK_ROWS = 1024
+#: The same in characters, where texts are compared.
+BLOCK_CHARS = 8_000_000
+#: Pairs whose sketches agree by this much less than the similarity are decided by their shingles: 3.4 standard errors at 0.8.
+MARGIN = 0.12
 _FACTORS, _SECOND = (np.random.default_rng(n).integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1) for n in (5, 6))
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
@@ -190,13 +194,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     return prints.join(labels, "fp").select("doc_id", F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
 
 
+def joined_shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct word shingles of a text; one of all its words if they are fewer."""
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
 def shingle_sketch(text: str | None, shingle: int) -> bytes:
     """``SKETCH`` symbols of 16 bits: the shingle of the least value under each of as many hashes, by the value's low bits.
 
     The high bits of a least value are near zero in long texts, and equal by chance. Two texts' share of equal symbols estimates the Jaccard similarity of their shingles.
     """
-    words = (text or "").encode().lower().split()
-    joined = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    joined = joined_shingles(text, shingle)
     h = np.fromiter((xxhash.xxh32_intdigest(x) for x in joined), np.uint32, len(joined))
     least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(h), 2048):
@@ -270,11 +279,41 @@ def sketch_closeness(similarity: float):
     return closeness
 
 
+def shingle_closeness(shingle: int, similarity: float):
+    """Close: the word shingles of (cell, node, text) have the Jaccard similarity ``similarity`` at least.
+
+    Shingles are compared by 64-bit hashes.
+    """
+
+    def closeness(rows):
+        digest, sets = xxhash.xxh64_intdigest, []
+        for text in rows.column(2):
+            joined = joined_shingles(text.as_py(), shingle)
+            sets.append(np.fromiter((digest(x) for x in joined), np.uint64, len(joined)))
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        own = np.zeros(int(place.max()) + 1, bool)
+
+        def close(i, later):
+            alike = later[np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i])]
+            mine = place[start[i] : start[i] + size[i]]
+            own[mine] = True
+            common = np.array([np.count_nonzero(own[place[start[j] : start[j] + size[j]]]) for j in alike], np.int64)
+            own[mine] = False
+            return np.isin(later, alike[common >= similarity * (size[i] + size[alike] - common) - 1e-9])
+
+        return close
+
+    return closeness
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
 
-    Candidates share ``BAND`` neighbouring symbols of their shingle sketches. They are verified
-    by the share of equal symbols of their sketches. Texts without words are copies of nothing; rows
+    Candidates share ``BAND`` neighbouring symbols of their shingle sketches, and their sketches
+    agree but for ``MARGIN``. The texts of each group of linked candidates are then compared by
+    their shingles themselves, which alone decides. Texts without words are copies of nothing; rows
     without a doc_id are left out. component_id is the smallest doc_id of the group.
     """
 
@@ -302,6 +341,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     many = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = dealt(keyed.join(many, ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / BLOCK_ROWS))
     met = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
-    found = components(map_partitions(met, cell_links(sketch_closeness(similarity)), "a long, b long"))
+    groups = checkpointed(components(map_partitions(met, cell_links(sketch_closeness(similarity - MARGIN)), "a long, b long")))
+    possible = maybe_members(worded, "doc_id", members(groups, "node"))
+    firsts = checkpointed(possible.join(groups, F.col("doc_id") == F.col("node")).select("component", "node", "text").distinct())
+    sizes = firsts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))
+    met = dealt(firsts.join(sizes, "component"), ["component"], blocks, "text").repartition("cell").sortWithinPartitions("cell", "node")
+    found = components(map_partitions(met, cell_links(shingle_closeness(shingle, similarity)), "a long, b long"))
     labels = checkpointed(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
     return prints.select("doc_id", "same").join(labels, "same").select("doc_id", "component_id")

@@ -190,6 +190,23 @@ def test_near_copies_in_large_keys(spark, monkeypatch, rows):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+@pytest.mark.parametrize("rows, chars", [(1024, 8_000_000), (7, 20_000)])
+def test_near_copies_by_shingles(spark, monkeypatch, rows, chars):
+    texts = [t for edit in ("tail", "cut", "scattered") for low, high in ((0.74, 0.8), (0.8, 0.84)) for t in edited_pairs(edit, low, high, 50)]
+    texts += [texts[0].upper(), " ".join(texts[0].split()[::-1]), "a b", "a b c", "A  b"]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(simhash, "BLOCK_CHARS", chars)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 2], 0) for i in range(300)]
