@@ -35,20 +35,23 @@ _GRAM_STEPS = tuple(map(np.uint64, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 
 class _Hashes(dict):
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
 
 class Sketcher:
-    """Segments of documents: anchor, content hash, first window and number of windows."""
+    """Segments of documents: anchor, two content hashes, first window and number of windows."""
 
     def __init__(self, window: int, per_window: bool = False):
         self.window, self.per_window = window, per_window
         self.gram = min(GRAM, window)
-        self.hash = _Hashes()
+        self.hash, self.second = _Hashes(), _Hashes(1)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +60,14 @@ class Sketcher:
             self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, m)], dtype=np.uint64) for m in (_MULTIPLIER, _INVERSE))
         return self.powers[:n], self.inverses[:n]
 
-    def segments(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors, content hashes, starts and window counts; of single windows if ``per_window``."""
+    def segments(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Anchors, content hashes, second content hashes, starts and window counts; of single windows if ``per_window``."""
         found = []
         for at in range(0, max(0, len(words) - self.window + 1), BLOCK_WORDS):
-            anchor, content, start, n = self._block(words[at : at + BLOCK_WORDS + self.window - 1])
-            found.append((anchor, content, start + at, n))
+            anchor, content, second, start, n = self._block(words[at : at + BLOCK_WORDS + self.window - 1])
+            found.append((anchor, content, second, start + at, n))
         if not found:
-            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+            return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 2
         return tuple(map(np.concatenate, zip(*found)))
 
     def _block(self, words: list[bytes]):
@@ -94,10 +97,13 @@ class Sketcher:
         end = start + count + self.window - 1
         content = (prefix[end] - prefix[start]) * inverse[start] + count.astype(np.uint64) * _GRAM_STEPS[1]
         content = (content ^ content >> np.uint64(32)) * _GRAM_STEPS[2]
-        return content if self.per_window else g[chosen[start]], content, start, count
+        h = np.fromiter(map(self.second.__getitem__, words), np.uint64, n)
+        np.cumsum(h * power[:-1], out=prefix[1:])
+        second = (prefix[end] - prefix[start]) * inverse[start]
+        return content if self.per_window else g[chosen[start]], content, second, start, count
 
 
-_ARRAYS = "anchors array<long>, contents array<long>, starts array<int>, counts array<int>"
+_ARRAYS = "anchors array<long>, contents array<binary>, starts array<int>, counts array<int>"
 
 
 def _sketched(docs: DataFrame, window: int) -> DataFrame:
@@ -122,9 +128,12 @@ def _sketched(docs: DataFrame, window: int) -> DataFrame:
 
 def _arrays(ids: list, rows: list) -> pa.RecordBatch:
     offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
-    flat = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 4
-    columns = [flat[0].view(np.int64), flat[1].view(np.int64), flat[2].astype(np.int32), flat[3].astype(np.int32)]
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+    flat = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
+    # both content hashes as one key of 16 bytes
+    keys = pa.py_buffer(np.stack(flat[1:3], 1).tobytes())
+    contents = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat[1]), [None, keys]).cast(pa.binary())
+    columns = [pa.array(flat[0].view(np.int64)), contents, pa.array(flat[3].astype(np.int32)), pa.array(flat[4].astype(np.int32))]
+    lists = [pa.ListArray.from_arrays(offsets, c) for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "anchors", "contents", "starts", "counts"])
 
 
@@ -146,9 +155,9 @@ def _windows(docs: DataFrame, segments: DataFrame, window: int) -> DataFrame:
             for i, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = t.as_py().encode().split()
                 for s in spans:
-                    a, c, at, n = sketcher.segments(words[s["start"] : s["start"] + s["n"] + window - 1])
+                    a, c, second, at, n = sketcher.segments(words[s["start"] : s["start"] + s["n"] + window - 1])
                     ids.append(i)
-                    rows.append((a, c, at + s["start"], n))
+                    rows.append((a, c, second, at + s["start"], n))
             yield _arrays(ids, rows)
 
         return each
@@ -191,14 +200,14 @@ def _fetched(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
                     text = b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1])
                     for column, x in zip(columns, (s["anchor"], s["content"], i, text)):
                         column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "content", "doc_id", "words"])
 
         return each
 
     wanted = checkpointed(wanted)
     texts = maybe_members(docs, "doc_id", members(wanted, "doc_id"))
-    return map_batches(texts.join(wanted, "doc_id"), work, "anchor long, content long, doc_id long, words binary")
+    return map_batches(texts.join(wanted, "doc_id"), work, "anchor long, content binary, doc_id long, words binary")
 
 
 def _first_documents(segments: list[tuple], window: int) -> pa.RecordBatch:
@@ -216,7 +225,7 @@ def _first_documents(segments: list[tuple], window: int) -> pa.RecordBatch:
         runs.append([{"from": a, "to": b, "doc": d} for a, b, d in zip(at.tolist(), ends.tolist(), docs[at].tolist())])
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64())]))
     return pa.RecordBatch.from_arrays(
-        [pa.array([s[0] for s in segments], pa.int64()), pa.array([s[1] for s in segments], pa.int64()), pa.array(runs, kind)], ["anchor", "content", "runs"]
+        [pa.array([s[0] for s in segments], pa.int64()), pa.array([s[1] for s in segments], pa.binary()), pa.array(runs, kind)], ["anchor", "content", "runs"]
     )
 
 
@@ -238,7 +247,7 @@ def _matched(fetched: DataFrame, window: int) -> DataFrame:
             yield _first_documents(held, window)
 
     dealt = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "content")
-    return map_partitions(dealt, run, "anchor long, content long, runs array<struct<from:int,to:int,doc:long>>")
+    return map_partitions(dealt, run, "anchor long, content binary, runs array<struct<from:int,to:int,doc:long>>")
 
 
 def _repeats(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:

@@ -345,6 +345,27 @@ def test_substring_dedup(spark, monkeypatch, crowd, shard):
     assert got == plain_dedup(texts, 50)
 
 
+@pytest.mark.parametrize("crowd", [4000, 0])
+def test_substring_dedup_with_colliding_hashes(spark, monkeypatch, crowd):
+    # x and y have one first hash: only the second tells the segments apart
+    import quern.llm.substring_dedup as module
+
+    def segments(self, words, kept=module.Sketcher.segments):
+        for w in (b"x", b"y"):
+            self.hash[w] = 7
+        return kept(self, words)
+
+    monkeypatch.setattr(module.Sketcher, "segments", segments)
+    sketcher = module.Sketcher(50)
+    texts = [" ".join(w if i != 30 else z for i, w in enumerate(f"w{k}" for k in range(50))) for z in "xy"]
+    one, two = (module._arrays([1], [sketcher.segments(t.encode().split())]) for t in texts)
+    assert one.column(1) == two.column(1) and one.column(2) != two.column(2)
+    monkeypatch.undo()
+    monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", crowd)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, [*texts, texts[1]])).collect()}
+    assert got == plain_dedup([*texts, texts[1]], 50)
+
+
 def test_chat_escapes():
     rng = random.Random(1)
     pool = ["\\", "!", "<", "|", ">", *chat.CONTROL, "a", "\n", "\\!"]
