@@ -89,6 +89,11 @@ def _keyed(spark, rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     return finer.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints held in signed longs; numpy counts the bits of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def bucket_links(distance: int):
     """Links within sorted runs of (mask, key): a spanning forest of the close pairs of each run.
 
@@ -112,7 +117,7 @@ def bucket_links(distance: int):
             line = line[: np.searchsorted(line, n - d)]
             line = line[run[line] == run[line + d]]
             # pairs that are joined already need no second look
-            near = line[(root[line] != root[line + d]) & (np.bitwise_count(fp[line] ^ fp[line + d]) <= distance)]
+            near = line[(root[line] != root[line + d]) & (differing_bits(fp[line], fp[line + d]) <= distance)]
             for i, j in zip(near.tolist(), (near + d).tolist()):
                 x, y = find(i), find(j)
                 if x != y:

@@ -128,6 +128,49 @@ def test_simhash(spark, monkeypatch, bucket):
     assert simhash.near_duplicates(empty(spark, "doc_id long, text string")).collect() == []
 
 
+def plain_links(prints):
+    """The smallest node reachable over pairs of at most 3 differing bits, by comparing all pairs."""
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket", [128, 2])
+def test_simhash_links_at_every_bit(spark, monkeypatch, bucket):
+    rng = random.Random(12)
+    prints = []
+    for b in range(64):  # each bit alone, and with bit 63 and two others
+        base = rng.getrandbits(64)
+        prints += [base, base ^ 1 << b]
+        base = rng.getrandbits(64)
+        prints += [base, base ^ (1 << 63 | 1 << b % 63 | 1 << (b + 7) % 63)]
+    base = rng.getrandbits(64)
+    prints += [base, base ^ 0xF << 60, 0, 1 << 63 | 1 << 5]  # the first two differ in bits 60 to 63
+    nodes = [(i, simhash._signed(p)) for i, p in enumerate(prints)]
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    found = simhash.components(simhash.links(spark.createDataFrame(nodes, "node long, fp long"))).collect()
+    got = {r["node"]: r["component"] for r in found}
+    assert [got.get(i, i) for i in range(len(prints))] == plain_links(prints)
+
+
+def test_simhash_equals_brute_force_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    ids = sorted(got)
+    prints = np.array([got[i][0] for i in ids], np.uint64)
+    root = np.array(ids)
+    for i in range(len(ids)):
+        near = np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 3)
+        for r in set(root[near].tolist()) - {root[i]}:
+            a, b = sorted((r, root[i]))
+            root[root == b] = a
+    assert [got[i][1] for i in ids] == root.tolist()
+
+
 def test_near_copies(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 900)}" for _ in range(300)]
