@@ -22,20 +22,25 @@ FIRST_DEPTH = 64
 
 
 class Lists:
-    """One shard: distinct vectors, the ids of each in order, and a sorted list per dimension."""
+    """One shard: distinct vectors, the ids of each in order, and a sorted list per dimension.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    ``vectors`` holds longs; ``reach`` is the largest component, in absolute value, of the
+    queries to come. Scores are exact: in single or double precision where all sums fit, else in
+    whole numbers of any size, and then cut to the range of a long.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, reach: int = 0):
         order = np.lexsort((ids, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(ids)
         ids, vectors = ids[order], vectors[order]
         first = np.ones(len(ids), bool)
         first[1:] = (vectors[1:] != vectors[:-1]).any(1)
         self.starts = np.flatnonzero(first)
         self.ends = np.r_[self.starts[1:], len(ids)]
-        # single precision is exact for whole numbers below 2 to the 24th
-        largest = float(np.abs(vectors).max(initial=0))
-        kind = np.float32 if largest * largest * vectors.shape[1] < 1 << 24 else np.float64
-        self.ids, self.vectors, self.k = ids, np.ascontiguousarray(vectors[first], kind), k
-        self.largest = largest
+        # single precision is exact for whole numbers below 2 to the 24th, double precision below 2 to the 53rd
+        largest = max(reach, largest_component(vectors))
+        bound = largest * largest * vectors.shape[1]
+        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
+        self.ids, self.vectors, self.k = ids, np.ascontiguousarray(vectors[first].astype(kind)), k
         self.by_id = np.argsort(ids, kind="stable")
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
         self.values = np.take_along_axis(self.vectors.T, self.order.astype(np.int64), 1)
@@ -43,16 +48,16 @@ class Lists:
     def search(self, own: int, query: np.ndarray) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but ``own``, best first, ties to the smaller id."""
         n = len(self.vectors)
-        wide = float(np.abs(query).max(initial=0)) > self.largest
-        query = query.astype(np.float64 if wide else self.vectors.dtype)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, scores = np.zeros(n, bool), np.full(n, -np.inf)
+        query = query.astype(self.vectors.dtype)
+        exact = query.dtype == object
+        seen, scores = np.zeros(n, bool), np.full(n, -np.inf, object if exact else np.float64)
         place = np.searchsorted(self.ids, own, sorter=self.by_id)
         here = place < len(self.ids) and self.ids[self.by_id[place]] == own
         own_vector = int(np.searchsorted(self.starts, self.by_id[place], side="right")) - 1 if here else -1
         depth, reached = 0, min(FIRST_DEPTH, n)
         if not len(up) and not len(down):
-            seen[:], scores[:], depth = True, 0.0, n
+            seen[:], scores[:], depth = True, 0, n
         while depth < n:
             before = seen.copy()
             seen[self.order[up, n - reached : n - depth].ravel()] = True
@@ -60,6 +65,8 @@ class Lists:
             new = np.flatnonzero(seen > before)
             # many at once are cheaper in one sweep; only those met count
             scores[new] = (self.vectors @ query)[new] if 8 * len(new) > n else self.vectors[new] @ query
+            if exact:
+                scores[new] = np.clip(scores[new], -(1 << 63), (1 << 63) - 1)
             depth = reached
             if seen.all():
                 break
@@ -78,11 +85,17 @@ class Lists:
     def _kth(self, scores: np.ndarray, own_vector: int) -> float:
         """The k-th best row score so far; minus infinity while there are fewer rows."""
         # k + 1 vectors have at least k rows that aren't the query's own
-        at = np.arange(len(scores)) if len(scores) <= self.k + 1 else np.argpartition(scores, len(scores) - self.k - 1)[-self.k - 1 :]
+        at = np.arange(len(scores))
+        if len(scores) > self.k + 1:
+            at = np.argsort(scores)[-self.k - 1 :] if scores.dtype == object else np.argpartition(scores, len(scores) - self.k - 1)[-self.k - 1 :]
         at = at[np.argsort(-scores[at], kind="stable")]
         rows = np.cumsum(self.ends[at] - self.starts[at] - (at == own_vector))
         enough = np.searchsorted(rows, self.k)
-        return float(scores[at[enough]]) if enough < len(at) else -np.inf
+        return scores[at[enough]] if enough < len(at) else -np.inf
+
+
+def largest_component(vectors: np.ndarray) -> int:
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -101,8 +114,8 @@ def _cell(k: int):
         out: tuple[list, list, list] = ([], [], [])
         if queries.num_rows and rows.num_rows:
             width = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max()) for t in (queries, rows))
-            lists = Lists(rows["vec_id"].to_numpy(), _matrix(rows["v"], width), k)
-            vectors = _matrix(queries["v"], width).astype(np.float64)
+            vectors = _matrix(queries["v"], width)
+            lists = Lists(rows["vec_id"].to_numpy(), _matrix(rows["v"], width), k, largest_component(vectors))
             for own, q in zip(queries["vec_id"].to_pylist(), vectors):
                 for score, i in lists.search(own, q):
                     for column, x in zip(out, (own, i, score)):
@@ -113,18 +126,21 @@ def _cell(k: int):
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v array<int>) with v = floor(scale * x); rows with a null, NaN or infinite component are left out."""
+    """(vec_id, v array<long>) with v = floor(scale * x), beyond a long the nearest long.
+
+    Rows with a null, NaN or infinite component, without a vector or without an id are left out.
+    """
     bad = F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
     return embeddings.where(F.col("embedding").isNotNull() & ~bad & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products over all rows but its own.
 
-    Both sides are (vec_id, v array<int>); shorter vectors count as padded with zeros, a
-    repeated (vec_id, v) is one row. Every query meets every shard once: rows are sent to
+    Both sides are (vec_id, v array<long>); shorter vectors count as padded with zeros, a
+    repeated (vec_id, v) is one row. A score beyond a long counts as the nearest long. Every query meets every shard once: rows are sent to
     each block of queries and queries to each shard, a grid of cells of bounded size, and the
     shards' answers, k a query, are ranked with a limit before the shuffle.
     """
