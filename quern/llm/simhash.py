@@ -84,6 +84,9 @@ def _signed(x: int) -> int:
 
 def _keyed(spark, rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """Each row once per mask that refines its own mask; the mask table has a fixed size."""
+    if masks.keys() == {0}:  # the whole fingerprints
+        finer = rows.select("node", "fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks[0]))).alias("mask"))
+        return finer.select("mask", "node", "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     pairs = spark.createDataFrame([(_signed(p), _signed(m)) for p, ms in masks.items() for m in ms], "mask long, finer long")
     finer = rows.join(F.broadcast(pairs), "mask").select(F.col("finer").alias("mask"), "node", "fp")
     return finer.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
