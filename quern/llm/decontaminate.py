@@ -136,8 +136,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     ``docs`` has (doc_id, text), ``items`` (item_id, text). The items are measured first: up
     to ``AUTOMATON_CHARS`` they form one automaton that travels to the documents and nothing
     is shuffled; beyond that, blocks of that size are scanned one after the other and the
-    intervals carried along. Items without words have no window. Null and empty documents
-    have no words and no hits; repeated items and windows count once.
+    intervals carried along. Items without words have no window; an item without an id hits
+    like any other and is not among the items named. Null and empty documents have no words and
+    no hits; repeated items and windows count once.
     """
     spark = docs.sparkSession
     schema = "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<long>"
@@ -167,7 +168,7 @@ def _scanner(sent, window: int, last: bool):
                 spans = merged([*((x["start"], x["end"]) for x in before), *spans])
             n.append(len(words))
             hits.append([{"start": a, "end": b} for a, b in spans])
-            found.append(sorted(ids.union(known)))
+            found.append(sorted(ids.union(known) - {None}))
         columns = [pa.array(x, k) for x, k in zip((n, hits, found), kinds)]
         names = ["n_words", "hits", "items"]
         if last:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -267,6 +268,26 @@ def test_top_k(spark, monkeypatch):
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e9, 3e15, 1e30])
+def test_top_k_of_large_components(spark, scale):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x) * scale) for x in rng.standard_normal(6)]) for i in range(120)] + [(200, [1e300, -1e300, 0.0, 0.0, 0.0, 0.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5).collect()}
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [long(math.floor(64 * x)) for x in v] for i, v in rows}
+    expected = set()
+    for q in (i for i in whole if i % 20 == 0):
+        ranked = sorted((-long(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:5]
+        expected |= {(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)}
+    assert got == expected
+
+
+def test_top_k_of_nothing(spark):
+    none = topk.integer_vectors(empty(spark, "vec_id long, embedding array<float>"))
+    assert topk.top_k(none, none).collect() == []
+
+
 def plain_contamination(text, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -296,6 +317,19 @@ def test_decontamination(spark, monkeypatch, chars):
     kept = decontaminate.clean_documents(frame(spark, texts), bench)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, x in expected.items() if not x[4]}
     assert not decontaminate.contamination(frame(spark, ["a"]), empty(spark, "item_id long, text string")).first()["contaminated"]
+    assert decontaminate.contamination(empty(spark, "doc_id long, text string"), bench).collect() == []
+    assert decontaminate.clean_documents(empty(spark, "doc_id long, text string"), bench).collect() == []
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 20])
+def test_decontamination_with_items_without_an_id(spark, monkeypatch, chars):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", chars)
+    bench = spark.createDataFrame([(None, "one two three", 1, "x"), (7, "two three", 2, "y"), (None, "four", 3, "z")], "item_id long, text string, n_words int, hits string")
+    texts = ["one two three", "four", "two three", "five", None]
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    # hits and the verdict count every item, the list of items names those with an id
+    assert got == {0: (3, 3, 1, sha("7"), True), 1: (1, 1, 0, sha(""), True), 2: (2, 2, 1, sha("7"), True), 3: (1, 0, 0, sha(""), False), 4: (0, 0, 0, sha(""), False)}
+    assert {r["doc_id"] for r in decontaminate.clean_documents(frame(spark, texts), bench).collect()} == {3, 4}
 
 
 def test_word_spans():
