@@ -1,7 +1,8 @@
 """A compressed FM-index over word sequences: a wavelet matrix on the Burrows-Wheeler transform.
 
-Bit vectors are packed 64 to a word with one count each, and all queries run on arrays, many
-patterns side by side.
+What is kept of the suffix order are packed bit vectors with rank and select, the symbols'
+counts and one owner per distinct window; the order itself is thrown away. All queries run on
+arrays, many patterns side by side.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import numpy as np
 
 
 class Bits:
-    """A packed bit vector with rank."""
+    """A packed bit vector with rank and select."""
 
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(bits, bitorder="little")
@@ -25,6 +26,22 @@ class Bits:
         below = self.words[at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
         return self.before[at] + np.bitwise_count(below)
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the one that ``k`` ones come before."""
+        at = np.searchsorted(self.before, k, side="right") - 1
+        rest, word, place = k - self.before[at], self.words[at], at << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            upper = rest >= low
+            rest = np.where(upper, rest - low, rest)
+            word = np.where(upper, word >> np.uint64(half), word)
+            place = np.where(upper, place + half, place)
+        return place
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
 
 class WaveletMatrix:
     """Rank of any symbol in a sequence, one bit vector per bit of the symbols."""
@@ -37,7 +54,7 @@ class WaveletMatrix:
             self.levels.append((Bits(bit), int(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
         every = np.arange(size)
-        self.first = self._walk(every, np.zeros(size, np.int64))
+        self.first = self._walk(every, np.zeros(size, np.int64)).astype(np.int32)
 
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (bits, zeros) in enumerate(self.levels):
@@ -48,103 +65,112 @@ class WaveletMatrix:
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self._walk(symbol, i) - self.first[symbol]
 
+    @property
+    def nbytes(self) -> int:
+        return self.first.nbytes + sum(bits.nbytes for bits, _ in self.levels)
+
+
+def _agreeing(kept: dict[int, np.ndarray], suffixes: np.ndarray) -> np.ndarray:
+    """Whether neighbours in suffix order share their first words, by ranks of the pieces whose lengths add up to the window."""
+    n = len(suffixes)
+    same = np.ones(max(n - 1, 0), bool)
+    a, b, at = suffixes[:-1], suffixes[1:], 0
+    for span in sorted(kept, reverse=True):
+        x, y = a + at, b + at
+        inside = (x < n) & (y < n)
+        same &= inside
+        same[inside] &= kept[span][x[inside]] == kept[span][y[inside]]
+        at += span
+    return same
+
 
 class FmIndex:
-    """The index of several word sequences, for patterns that are cut to a fixed window.
+    """The index of several word sequences, each with an owner, for matches of ``window`` words.
 
     ``sequences`` holds word numbers from 0; every sequence ends in a separator of its own, so
-    no match runs over two. ``window`` is the length at which matches are cut.
+    no match runs over two.
     """
 
-    def __init__(self, sequences: list[np.ndarray], window: int):
+    def __init__(self, sequences: list[np.ndarray], owners: np.ndarray, window: int):
         m = len(sequences)
-        self.starts = np.cumsum([0, *(len(s) + 1 for s in sequences)])[:-1]
+        starts = np.cumsum([0, *(len(s) + 1 for s in sequences)])[:-1]
         lengths = np.array([len(s) for s in sequences])
         n = int(lengths.sum()) + m
         text = np.zeros(n, np.int64)  # 0: a separator; words from 1
         word = np.ones(n, bool)
-        word[self.starts + lengths] = False
+        word[starts + lengths] = False
         text[word] = np.concatenate(sequences) + 1
-        self.size, self.window, self.separators = int(text.max(initial=0)) + 1, window, m
+        self.n, self.window, self.size = n, window, int(text.max(initial=0)) + 1
         # prefix doubling; each separator is a symbol of its own, below all words
         rank = np.where(word, text + m, 0)
         rank[~word] = np.arange(m)
         _, rank = np.unique(rank, return_inverse=True)
-        kept, span = {}, 1
-        while True:
+        kept, span, apart = {}, 1, False
+        while not apart or span <= window:
             if span & window:
                 kept[span] = rank
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - span] = rank[span:] + 1
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key)
-            sorted_key = key[order]
-            new = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
+            if not apart:
+                ahead = np.zeros(n, np.int64)
+                ahead[: max(n - span, 0)] = rank[span:] + 1
+                key = rank * (n + 1) + ahead
+                order = np.argsort(key)
+                key = key[order]
+                new = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+                rank = np.empty(n, np.int64)
+                rank[order] = new
+                apart = bool(new[-1] == n - 1)
             span *= 2
-            # all pieces of the window are known, and all suffixes told apart
-            if new[-1] == n - 1 and (span > window or not any(span << b & window for b in range(window.bit_length()))):
-                break
-            if new[-1] == n - 1:
-                while span <= window:
-                    if span & window:
-                        kept[span] = rank  # told apart already at this length
-                    span *= 2
-                break
-        suffixes = order
-        self.sequence_of = np.searchsorted(self.starts, suffixes, side="right") - 1
-        # neighbours in suffix order whose first ``window`` words agree
-        same = np.ones(n - 1, bool)
-        a, b, at = suffixes[:-1], suffixes[1:], 0
-        for span in sorted(kept, reverse=True):
-            x, y = a + at, b + at
-            inside = (x < n) & (y < n)
-            same &= inside
-            same[inside] &= kept[span][x[inside]] == kept[span][y[inside]]
-            at += span
-        self.block = np.cumsum(np.r_[False, ~same])
-        self.block_start = np.flatnonzero(np.r_[True, ~same])
-        self.block_end = np.r_[self.block_start[1:], n]
-        before = text[suffixes - 1]  # the text is read as a ring
+        # a block: the suffixes that share their first words, ``window`` of them
+        fresh = np.r_[True, ~_agreeing(kept, order)]
+        self.blocks = Bits(np.r_[fresh, True])  # one more ends the last block
+        names, code = np.unique(owners, return_inverse=True)
+        owner = code[np.searchsorted(starts, order, side="right") - 1]
+        self.names, self.first = names, np.minimum.reduceat(owner, np.flatnonzero(fresh)).astype(np.min_scalar_type(len(names)))
         counts = np.bincount(text, minlength=self.size)
-        self.less = np.r_[0, np.cumsum(counts)[:-1]]
-        self.wavelet = WaveletMatrix(before, self.size)
-        self.n = n
+        self.less = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int32)
+        self.wavelet = WaveletMatrix(text[order - 1], self.size)  # the text is read as a ring
+
+    @property
+    def nbytes(self) -> int:
+        return self.wavelet.nbytes + self.blocks.nbytes + self.first.nbytes + self.less.nbytes + self.names.nbytes
 
     def step(self, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: intervals of the patterns grown by a word number on the left."""
-        c = word + 1
-        base = self.less[c]
-        return base + self.wavelet.rank(c, lo), base + self.wavelet.rank(c, hi)
-
-    def window_blocks(self, patterns: list[np.ndarray]) -> list[np.ndarray]:
-        """Matching statistics of indexed sequences: for each place where a window starts, its block.
-
-        Each pattern is streamed from right to left. The interval grows by backward steps; once
-        it is ``window`` words deep it is widened to all suffixes that agree on that many words,
-        so every further word costs one step. A block numbers one window's suffixes. A
-        pattern must be one of the index's sequences, so that no step comes out empty.
+        base = self.less[word + 1]
+        return base + self.wavelet.rank(word + 1, lo), base + self.wavelet.rank(word + 1, hi)
+
+    def first_owners(self, patterns: list[np.ndarray]) -> list[np.ndarray]:
+        """For each window of each pattern the least owner of a sequence that has it, as a place in ``names``; -1 where none does.
+
+        Patterns are any word sequences; words that the index does not know are negative. Each
+        is streamed from right to left, and what is held are its matching statistics cut at
+        ``window``: the interval of suffixes that begin with the words from here to the end of the
+        match. A step that leaves none drops the match's last word and searches what is left
+        anew. At ``window`` words the interval's block tells the owner, and the interval is widened to
+        the block, so that the next word costs one step.
         """
-        out = [np.zeros(0, np.int64)] * len(patterns)
-        order = np.array([i for i, p in enumerate(patterns) if len(p) >= self.window], np.int64)
-        if not len(order):
-            return out
-        lengths = np.array([len(patterns[i]) for i in order])
-        by_length = np.argsort(-lengths, kind="stable")
-        order, lengths = order[by_length], lengths[by_length]
-        longest = int(lengths[0])
-        table = np.zeros((longest, len(order)), np.int64)  # from the right end
-        for k, i in enumerate(order.tolist()):
-            table[: lengths[k], k] = patterns[i][::-1]
-        found = np.zeros((longest, len(order)), np.int64)
-        lo, hi = np.zeros(len(order), np.int64), np.full(len(order), self.n)
-        for t in range(longest):
-            live = int(np.searchsorted(-lengths, -t, side="left"))  # patterns longer than t
-            lo[:live], hi[:live] = self.step(lo[:live], hi[:live], table[t, :live])
-            if t >= self.window - 1:
-                block = found[t, :live] = self.block[lo[:live]]
-                lo[:live], hi[:live] = self.block_start[block], self.block_end[block]
-        for k, i in enumerate(order.tolist()):
-            out[i] = found[self.window - 1 : lengths[k], k][::-1]
-        return out
+        window, lengths = self.window, np.array([len(p) for p in patterns], np.int64)
+        flat = np.concatenate(patterns) if len(patterns) else np.zeros(0, np.int64)
+        flat = np.where(flat < self.size - 1, flat, -1)
+        base = np.cumsum(lengths) - lengths
+        found = np.full(len(flat), -1, np.int64)
+        at = base[lengths >= window]  # where each pattern starts; the match runs from place to end
+        place = end = (base + lengths)[lengths >= window]
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n)
+        while len(at):
+            word = flat[place - 1]
+            low, high = self.step(lo, hi, np.maximum(word, 0))
+            grown = (word >= 0) & (low < high)
+            # a word that matches nothing is passed over, a longer match loses its last word
+            end = np.where(grown, np.minimum(end, place - 1 + window), end - 1)
+            place = np.where(grown, place - 1, end)
+            lo, hi = np.where(grown, low, 0), np.where(grown, high, self.n)
+            whole = np.flatnonzero(grown & (end - place == window))
+            if len(whole):
+                block = self.blocks.rank(lo[whole] + 1) - 1
+                found[place[whole]] = self.first[block]
+                lo[whole], hi[whole] = self.blocks.select(block), self.blocks.select(block + 1)
+            live = (place > at) & (end - at >= window)
+            if not live.all():
+                at, place, end, lo, hi = (x[live] for x in (at, place, end, lo, hi))
+        return [found[b : b + max(0, n - window + 1)] for b, n in zip(base.tolist(), lengths.tolist())]

@@ -2,15 +2,22 @@
 
 A window goes to a shard by its anchor, the smallest hash of the 8-word grams within it, so
 equal windows meet in one shard whatever documents they are in. Consecutive windows of one
-anchor form a segment. Anchors that only one document has cannot hold a repeat; of the
-others every distinct segment is fetched once, from its first document, and a shard's
-segments make up one FM-index. Streaming the segments through it gives, for each window, all
-places it occurs at and so the first document that has it.
+anchor form a piece. Anchors that only one document has cannot hold a repeat; of the
+others every distinct piece is fetched once, from its first document, and a shard's
+pieces make up one compressed FM-index. The pieces are streamed through it, and their matching
+statistics give, for each interval of windows, the first document that has them.
+
+An anchor with many distinct pieces (a passage amid ever other words) is split: windows are told
+apart by where the anchor lies in them, in ever narrower ranges, and by the words that all
+windows of a range share around the anchor. Those that one document alone has are dropped again,
+so the rows follow the distinct pieces and not their windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +30,13 @@ from quern.llm.fm_index import FmIndex
 
 #: Words of a window, and of the grams that anchors are chosen from.
 WINDOW, GRAM = 50, 8
-#: Words of segments in one FM-index, about; distinct segments of an anchor above which it is split by window.
-SHARD_WORDS, ANCHOR_SEGMENTS = 400_000, 500
+#: Words of pieces in one FM-index, about; distinct pieces of an anchor above which it is split, and into how many ranges.
+SHARD_WORDS, ANCHOR_PIECES, RANGES = 400_000, 500, 4
 #: Words of a document that are handled at once.
 BLOCK_WORDS = 1 << 19
 CACHE_ENTRIES = 200_000
+#: Keys of 8 bytes that are broadcast; more are joined by a shuffle.
+FEW_KEYS = 100_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -45,12 +54,17 @@ class _Hashes(dict):
         return value
 
 
+def gram_words(window: int) -> int:
+    """Words of an anchor: a power of two, ``GRAM`` at most and no more than the window has."""
+    return min(GRAM, 1 << window.bit_length() - 1)
+
+
 class Sketcher:
-    """Segments of documents: anchor, two content hashes, first window and number of windows."""
+    """Pieces of documents: anchor, two content hashes, first window, number of windows, and words from there to the anchor."""
 
-    def __init__(self, window: int, per_window: bool = False):
-        self.window, self.per_window = window, per_window
-        self.gram = min(GRAM, window)
+    def __init__(self, window: int):
+        self.window = window
+        self.gram = gram_words(window)
         self.hash, self.second = _Hashes(), _Hashes(1)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
@@ -60,14 +74,14 @@ class Sketcher:
             self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, m)], dtype=np.uint64) for m in (_MULTIPLIER, _INVERSE))
         return self.powers[:n], self.inverses[:n]
 
-    def segments(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Anchors, content hashes, second content hashes, starts and window counts; of single windows if ``per_window``."""
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Anchors, content hashes, second content hashes, starts, window counts and anchor places of a text."""
         found = []
         for at in range(0, max(0, len(words) - self.window + 1), BLOCK_WORDS):
-            anchor, content, second, start, n = self._block(words[at : at + BLOCK_WORDS + self.window - 1])
-            found.append((anchor, content, second, start + at, n))
+            anchor, content, second, start, n, place = self._block(words[at : at + BLOCK_WORDS + self.window - 1])
+            found.append((anchor, content, second, start + at, n, place))
         if not found:
-            return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 2
+            return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
         return tuple(map(np.concatenate, zip(*found)))
 
     def _block(self, words: list[bytes]):
@@ -92,7 +106,7 @@ class Sketcher:
         if span < across:
             least = np.minimum(least[: len(least) - (across - span)], least[across - span :])
         chosen = (least & low).astype(np.int64)
-        start = np.arange(windows) if self.per_window else np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        start = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         count = np.diff(np.r_[start, windows])
         end = start + count + self.window - 1
         content = (prefix[end] - prefix[start]) * inverse[start] + count.astype(np.uint64) * _GRAM_STEPS[1]
@@ -100,200 +114,231 @@ class Sketcher:
         h = np.fromiter(map(self.second.__getitem__, words), np.uint64, n)
         np.cumsum(h * power[:-1], out=prefix[1:])
         second = (prefix[end] - prefix[start]) * inverse[start]
-        return content if self.per_window else g[chosen[start]], content, second, start, count
+        return g[chosen[start]], content, second, start, count, chosen[start] - start
 
 
-_ARRAYS = "anchors array<long>, contents array<binary>, starts array<int>, counts array<int>"
+_ARRAYS = "anchors array<long>, contents array<binary>, starts array<int>, counts array<int>, places array<int>"
 
 
 def _sketched(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, the arrays of its segments) of every document with at least one window."""
+    """(doc_id, row, the arrays of its pieces) of every row of ``docs`` (doc_id, row, text) with at least one window."""
 
     def work():
         sketcher = Sketcher(window)
 
         def each(batch):
-            ids, rows = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, keys, rows = [], [], []
+            for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = (t.as_py() or "").encode().split()
                 if len(words) >= window:
                     ids.append(i)
-                    rows.append(sketcher.segments(words))
-            yield _arrays(ids, rows)
+                    keys.append(k)
+                    rows.append(sketcher.pieces(words))
+            yield _arrays(ids, keys, rows)
 
         return each
 
-    return map_batches(docs, work, f"doc_id long, {_ARRAYS}")
+    return map_batches(docs.select("doc_id", "row", "text"), work, f"doc_id long, row long, {_ARRAYS}")
 
 
-def _arrays(ids: list, rows: list) -> pa.RecordBatch:
+def _arrays(ids: list, keys: list, rows: list) -> pa.RecordBatch:
     offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
-    flat = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
+    flat = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 6
     # both content hashes as one key of 16 bytes
-    keys = pa.py_buffer(np.stack(flat[1:3], 1).tobytes())
-    contents = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat[1]), [None, keys]).cast(pa.binary())
-    columns = [pa.array(flat[0].view(np.int64)), contents, pa.array(flat[3].astype(np.int32)), pa.array(flat[4].astype(np.int32))]
+    both = pa.py_buffer(np.stack(flat[1:3], 1).tobytes())
+    contents = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat[1]), [None, both]).cast(pa.binary())
+    columns = [pa.array(flat[0].view(np.int64)), contents, *(pa.array(c.astype(np.int32)) for c in flat[3:])]
     lists = [pa.ListArray.from_arrays(offsets, c) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "anchors", "contents", "starts", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *lists], ["doc_id", "row", "anchors", "contents", "starts", "counts", "places"])
 
 
 def _exploded(sketched: DataFrame) -> DataFrame:
-    return sketched.select("doc_id", F.explode(F.arrays_zip("anchors", "contents", "starts", "counts")).alias("s")).select(
-        "doc_id", F.col("s.anchors").alias("anchor"), F.col("s.contents").alias("content"), F.col("s.starts").alias("start"), F.col("s.counts").alias("n")
+    s = F.explode(F.arrays_zip("anchors", "contents", "starts", "counts", "places")).alias("s")
+    names = {"anchors": "anchor", "contents": "content", "starts": "start", "counts": "n", "places": "place"}
+    return sketched.select("doc_id", "row", s).select("doc_id", "row", *(F.col(f"s.{a}").alias(b) for a, b in names.items()))
+
+
+def _shared(pieces: DataFrame) -> DataFrame:
+    """The distinct pieces (anchor, content) of anchors that more than one document has, with a place each.
+
+    ``low`` and ``high`` are the first and last document of a piece; row, start, n and place are
+    one of its places in the first. Anchors are counted by a map-side aggregate of fixed-size rows;
+    most pieces then fall to a membership table of fixed size, and equal ones are put
+    together before the exact join, so that copies, however many, are one row there.
+    """
+    anchors = checkpointed(
+        pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     )
+    likely = maybe_members(pieces, "anchor", members(anchors, "anchor"))
+    distinct = likely.groupBy("anchor", "content").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min_by(c, "doc_id").alias(c) for c in ("row", "start", "n", "place"))
+    )
+    return checkpointed(distinct.join(anchors, "anchor", "left_semi"))
 
 
-def _windows(docs: DataFrame, segments: DataFrame, window: int) -> DataFrame:
-    """The single windows of the given segments, each its own anchor and content."""
-    wanted = segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+def _fetched(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(key, content, low, high, place, words) of distinct pieces, read from their first documents."""
+    span = F.struct("anchor", "content", "high", "start", "n", "place")
+    wanted = checkpointed(shared.groupBy(F.col("low").alias("doc_id"), "row").agg(F.collect_list(span).alias("spans")))
 
     def work():
-        sketcher = Sketcher(window, per_window=True)
-
         def each(batch):
-            ids, rows = [], []
+            columns: tuple[list, ...] = ([], [], [], [], [], [])
             for i, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = t.as_py().encode().split()
                 for s in spans:
-                    a, c, second, at, n = sketcher.segments(words[s["start"] : s["start"] + s["n"] + window - 1])
-                    ids.append(i)
-                    rows.append((a, c, second, at + s["start"], n))
-            yield _arrays(ids, rows)
+                    text = b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1])
+                    for column, x in zip(columns, (s["anchor"], s["content"], i, s["high"], s["place"], text)):
+                        column.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "content", "low", "high", "place", "words"])
 
         return each
 
-    wanted = checkpointed(wanted)
     texts = maybe_members(docs, "doc_id", members(wanted, "doc_id"))
-    return _exploded(map_batches(texts.join(wanted, "doc_id"), work, f"doc_id long, {_ARRAYS}"))
-
-
-def _shared(segments: DataFrame) -> DataFrame:
-    """The segments whose anchor more than one document has.
-
-    Anchors are counted by a map-side aggregate of fixed-size rows; most segments then fall to
-    a membership table of fixed size, and what passes is joined exactly.
-    """
-    anchors = checkpointed(
-        segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    return map_batches(
+        texts.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "spans"), work, "key long, content binary, low long, high long, place int, words binary"
     )
-    likely = maybe_members(segments, "anchor", members(anchors, "anchor"))
-    return checkpointed(likely.join(anchors, "anchor", "left_semi").select("doc_id", "anchor", "content", "start", "n"))
 
 
-def _first_places(segments: DataFrame) -> DataFrame:
-    """One row per distinct segment: its first document and a place there."""
-    return segments.groupBy("anchor", "content").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"), F.min_by("n", "doc_id").alias("n")
-    )
-
+def _split(pieces: DataFrame, window: int, width: int) -> DataFrame:
+    """Each piece cut where the anchor's offset in its windows passes a multiple of ``width``.
 
-def _fetched(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, doc_id, words) of distinct segments, read from their first documents."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("spans"))
+    A part's key is the hash of the words that all windows of its range share, so equal windows
+    keep one key; its content is a 128-bit hash of its words. ``parent`` and ``parent_content`` name
+    the piece, ``shift`` is the part's first window in it.
+    """
+    reach = window - gram_words(window)  # the largest offset
 
     def work():
         def each(batch):
-            columns: tuple[list, ...] = ([], [], [], [])
-            for i, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = t.as_py().encode().split()
-                for s in spans:
-                    text = b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1])
-                    for column, x in zip(columns, (s["anchor"], s["content"], i, text)):
+            out: tuple[list, ...] = tuple([] for _ in range(9))
+            for key, content, low, high, place, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                words = text.split(b" ")
+                last = place - (len(words) - window)  # the anchor's offset in the last window
+                for band in range(last // width, place // width + 1):
+                    least, most = band * width, min(band * width + width - 1, reach)
+                    first, n = place - min(most, place), min(most, place) - max(least, last) + 1
+                    core = b" ".join(words[place - least : place - most + window])
+                    own = b" ".join(words[first : first + n + window - 1])
+                    signed = xxhash.xxh64_intdigest(core, least * (window + 1) + width)
+                    row = (signed - (1 << 64) * (signed >> 63), xxhash.xxh3_128_digest(own), low, high, place - first, own, key, content, first)
+                    for column, x in zip(out, row):
                         column.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "content", "doc_id", "words"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
+            names = ("key", "content", "low", "high", "place", "words", "parent", "parent_content", "shift")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
         return each
 
-    wanted = checkpointed(wanted)
-    texts = maybe_members(docs, "doc_id", members(wanted, "doc_id"))
-    return map_batches(texts.join(wanted, "doc_id"), work, "anchor long, content binary, doc_id long, words binary")
+    columns = pieces.select("key", "content", "low", "high", "place", "words")
+    return map_batches(columns, work, "key long, content binary, low long, high long, place int, words binary, parent long, parent_content binary, shift int")
 
 
-def _first_documents(segments: list[tuple], window: int) -> pa.RecordBatch:
-    """For each segment of a shard the runs of its windows with the first document that has them."""
+def _shard_runs(pieces: list[tuple], window: int) -> pa.RecordBatch:
+    """For each piece (key, content, low, words) of a shard the runs of its windows with the first document that has them."""
     numbers: dict[bytes, int] = {}
-    sequences = [np.array([numbers.setdefault(w, len(numbers)) for w in s[3].split(b" ")], np.int64) for s in segments]
-    index = FmIndex(sequences, window)
-    document = np.array([s[2] for s in segments], np.int64)[index.sequence_of]
-    first = np.minimum.reduceat(document, index.block_start)
+    sequences = [np.array([numbers.setdefault(w, len(numbers)) for w in p[3].split(b" ")], np.int64) for p in pieces]
+    index = FmIndex(sequences, np.array([p[2] for p in pieces], np.int64), window)
     runs = []
-    for blocks in index.window_blocks(sequences):
-        docs = first[blocks]
-        at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        ends = np.r_[at[1:], len(docs)]
-        runs.append([{"from": a, "to": b, "doc": d} for a, b, d in zip(at.tolist(), ends.tolist(), docs[at].tolist())])
+    for owners in index.first_owners(sequences):
+        at = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        ends = np.r_[at[1:], len(owners)]
+        runs.append([{"from": a, "to": b, "doc": d} for a, b, d in zip(at.tolist(), ends.tolist(), index.names[owners[at]].tolist())])
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64())]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s[0] for s in segments], pa.int64()), pa.array([s[1] for s in segments], pa.binary()), pa.array(runs, kind)], ["anchor", "content", "runs"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], pa.binary()), pa.array(runs, kind)], ["key", "content", "runs"])
 
 
-def _matched(fetched: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, runs array<struct<from, to, doc>>), a shard at a time; shards end between anchors."""
+_RUNS = "key long, content binary, runs array<struct<from:int,to:int,doc:long>>"
+
+
+def _matched(pieces: DataFrame, window: int) -> DataFrame:
+    """(key, content, runs) of distinct pieces, a shard at a time; shards end between keys."""
 
     def run(batches):
         held: list[tuple] = []
-        words, last = 0, None
+        words, last = 0, ()
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if words >= SHARD_WORDS and row[0] != last:
-                    yield _first_documents(held, window)
+                if row[:2] == last:
+                    continue  # a repeated row of the first document
+                if words >= SHARD_WORDS and row[0] != last[0]:
+                    yield _shard_runs(held, window)
                     held, words = [], 0
                 held.append(row)
                 words += row[3].count(b" ") + 1
-                last = row[0]
+                last = row[:2]
         if held:
-            yield _first_documents(held, window)
-
-    dealt = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "content")
-    return map_partitions(dealt, run, "anchor long, content binary, runs array<struct<from:int,to:int,doc:long>>")
-
-
-def _repeats(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, stop) of the words covered by windows that an earlier document has."""
-    found = checkpointed(_matched(_fetched(docs, _first_places(shared), window), window))
-    earlier = F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))
-    hit = shared.join(found, ["anchor", "content"]).select("doc_id", "start", F.explode(earlier).alias("r"))
-    return hit.select("doc_id", (F.col("start") + F.col("r.from")).alias("start"), (F.col("start") + F.col("r.to") + window - 1).alias("stop"))
+            yield _shard_runs(held, window)
+
+    dealt = pieces.select("key", "content", "low", "words").repartition("key").sortWithinPartitions("key", "low", "content")
+    return map_partitions(dealt, run, _RUNS)
+
+
+def _all_runs(pieces: DataFrame, window: int) -> DataFrame:
+    """(key, content, runs) of distinct pieces; a piece that was split has several rows."""
+    width = window - gram_words(window) + 1
+    parts: list[DataFrame] = []  # how the pieces of each level were split
+    found: list[DataFrame] = []
+    while True:
+        sizes = pieces.groupBy("key").agg(F.count("*").alias("n"))
+        crowded = checkpointed(sizes.where(F.col("n") > (ANCHOR_PIECES if width > 1 else sys.maxsize)).select("key"))
+        n = crowded.count()
+        sent = F.broadcast(crowded) if n <= FEW_KEYS else crowded
+        runs = checkpointed(_matched(pieces.join(sent, "key", "left_anti") if n else pieces, window))
+        for part in reversed(parts):  # back to the pieces of the first level
+            shifted = F.transform("runs", lambda r: F.struct((r["from"] + F.col("shift")).alias("from"), (r["to"] + F.col("shift")).alias("to"), r["doc"].alias("doc")))
+            runs = part.join(runs, ["key", "content"]).select(F.col("parent").alias("key"), F.col("parent_content").alias("content"), shifted.alias("runs"))
+        found.append(runs)
+        if not n:
+            return reduce(DataFrame.unionByName, found)
+        width = -(-width // RANGES)
+        split = checkpointed(_split(pieces.join(sent, "key", "left_semi"), window, width))
+        parts.append(split.select("key", "content", "parent", "parent_content", "shift"))
+        # equal parts are put together where they were made; keys of one document alone are dropped
+        distinct = split.groupBy("key", "content").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("place").alias("place"), F.first("words").alias("words"))
+        kept = split.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
+        pieces = checkpointed(checkpointed(distinct).join(kept, "key", "left_semi"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text); ``row`` tells rows of one doc_id apart by their texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans array<struct<start, stop>>) in words, for documents that repeat a window of an earlier one.
+    """(doc_id, row, spans array<struct<start, stop>>) in words, for rows that repeat a window of a smaller doc_id.
 
-    Anchors with more than ``ANCHOR_SEGMENTS`` distinct segments (a passage amid ever other
-    words) would make a shard that grows with the data. Their windows are dealt anew, each by
-    its own hash: then all segments of an anchor are equal, and one of them is fetched.
+    ``docs`` has (doc_id, text); ``row`` is the text's xxhash64, as rows of one doc_id may have several texts.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = _shared(_exploded(checkpointed(_sketched(docs, window))))
-    crowded = checkpointed(
-        _first_places(shared).groupBy("anchor").agg(F.count("*").alias("distinct")).where(F.col("distinct") > ANCHOR_SEGMENTS).select("anchor")
-    )
-    if crowded.isEmpty():
-        spans = _repeats(docs, shared, window)
-    else:
-        usual = shared.join(crowded, "anchor", "left_anti").select(*shared.columns)
-        many = shared.join(crowded, "anchor", "left_semi").select(*shared.columns)
-        spans = _repeats(docs, usual, window).unionByName(_repeats(docs, _shared(_windows(docs, many, window)), window))
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    docs = _keyed(docs).where("doc_id is not null")
+    pieces = _exploded(checkpointed(_sketched(docs, window)))
+    known = checkpointed(_fetched(docs, _shared(pieces), window))
+    runs = checkpointed(_all_runs(known, window)).withColumnRenamed("key", "anchor")
+    places = pieces.select("doc_id", "row", "anchor", "content", "start", F.xxhash64("anchor", "content").alias("both"))
+    met = maybe_members(places, "both", members(runs.select(F.xxhash64("anchor", "content").alias("both")), "both")).drop("both")
+    earlier = F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))
+    hit = met.join(runs, ["anchor", "content"]).select("doc_id", "row", "start", F.explode(earlier).alias("r"))
+    span = F.struct((F.col("start") + F.col("r.from")).alias("start"), (F.col("start") + F.col("r.to") + window - 1).alias("stop"))
+    return hit.groupBy("doc_id", "row").agg(F.collect_set(span).alias("spans"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document (and ``kept``, the text, if ``texts``).
+    """doc_id, n_words, n_removed, kept_sha256 of every row (and ``kept``, the text, if ``texts``).
 
     A word goes if a window of ``window`` words that covers it also starts in a document of
     smaller id. A document of fewer words keeps all; a null or empty text has none. Rows that
-    repeat a doc_id are one document's, must have one text, and never remove each other. A row
-    without a doc_id keeps all its words and removes none.
+    repeat a doc_id are texts of one document, the same or several: each is judged by itself
+    against the documents of smaller ids, and they never remove each other. A row without a doc_id
+    keeps all its words and removes none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(docs)
     found = checkpointed(repeated_spans(docs, window))
     known = members(found, "doc_id")
     # only texts that may lose words are dealt by id; the others are digested where they are read
-    some = maybe_members(docs, "doc_id", known).join(found, "doc_id", "left")
+    some = maybe_members(docs, "doc_id", known).join(found, ["doc_id", "row"], "left")
     none = maybe_members(docs, "doc_id", known, "left_anti").withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
-    joined = some.select("doc_id", "text", "spans").unionByName(none)
+    joined = some.select("doc_id", "text", "spans").unionByName(none.select("doc_id", "text", "spans"))
 
     def work():
         def each(batch):

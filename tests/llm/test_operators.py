@@ -416,29 +416,86 @@ def test_substring_dedup(spark, monkeypatch, crowd, shard):
     shared = [draw(n) for n in (49, 50, 51, 120)]
     texts = [*AWKWARD, *shared, *(f"{draw(rng.randint(0, 60))} {rng.choice(shared)} {draw(rng.randint(0, 60))}" for _ in range(40)), draw(300)]
     texts += [texts[-1], " ".join(texts[-1].split()[:120]) + " é " + draw(20), "same " * 130, "same " * 90]
-    monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", crowd)
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", crowd)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, texts)).collect()}
     assert got == plain_dedup(texts, 50)
 
 
+@pytest.mark.parametrize("window", [1, 3, 7, 8, 12])
+@pytest.mark.parametrize("crowd", [4000, 1])
+def test_substring_dedup_of_any_window(spark, monkeypatch, window, crowd):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", crowd)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, texts), window).collect()}
+    assert got == plain_dedup(texts, window)
+
+
+def test_substring_dedup_splits_crowded_anchors_by_their_pieces(spark, monkeypatch):
+    # one passage amid ever other words: 43 offsets of its anchors in a window, and rows that follow the pieces
+    rng = random.Random(3)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = draw(70)
+    texts = [f"{draw(60)} {passage} {draw(60)}" for _ in range(300)]
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", 20)
+    made = []
+    split = substring_dedup._split
+
+    def counted(pieces, window, width):
+        out = split(pieces, window, width)
+        made.append((width, pieces.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_split", counted)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == plain_dedup(texts, 50)
+    assert [w for w, _, _ in made][0] == 11 and all(out <= 5 * pieces for _, pieces, out in made)
+
+
+@pytest.mark.parametrize("crowd", [4000, 0])
+def test_substring_dedup_of_repeated_ids(spark, monkeypatch, crowd):
+    rng = random.Random(4)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    a, b = draw(60), draw(70)
+    rows = [(1, a), (1, b), (1, a), (2, f"x {a} y {b}"), (2, None), (3, b), (None, a), (0, "short"), (4, f"{b} {a}"), (4, f"{a} z"), (4, f"{b} {a}")]
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", crowd)
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
+    kept = sorted((str(r["doc_id"]), r["kept"], r["n_removed"]) for r in got)
+    assert kept == sorted([("1", a, 0), ("1", b, 0), ("1", a, 0), ("2", "x y", 130), ("2", "", 0), ("3", "", 70), ("None", a, 0), ("0", "short", 0), ("4", "", 130), ("4", "z", 60), ("4", "", 130)])
+    assert substring_dedup.dedup(empty(spark, "doc_id long, text string")).collect() == []
+
+
+def test_equal_pieces_have_equal_words(spark):
+    # pieces are merged by 128 bits; every merged one of a whole table is compared here, word by word
+    sketcher, words_of = substring_dedup.Sketcher(50), {}
+    merged = 0
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        words = text.encode().split()
+        for anchor, content, second, start, n, place in zip(*(x.tolist() for x in sketcher.pieces(words))):
+            own = words[start : start + n + 49]
+            merged += (content, second) in words_of
+            assert words_of.setdefault((content, second), (own, place)) == (own, place)
+    assert merged > 100
+
+
 @pytest.mark.parametrize("crowd", [4000, 0])
 def test_substring_dedup_with_colliding_hashes(spark, monkeypatch, crowd):
-    # x and y have one first hash: only the second tells the segments apart
+    # x and y have one first hash: only the second tells the pieces apart
     import quern.llm.substring_dedup as module
 
-    def segments(self, words, kept=module.Sketcher.segments):
+    def pieces(self, words, kept=module.Sketcher.pieces):
         for w in (b"x", b"y"):
             self.hash[w] = 7
         return kept(self, words)
 
-    monkeypatch.setattr(module.Sketcher, "segments", segments)
+    monkeypatch.setattr(module.Sketcher, "pieces", pieces)
     sketcher = module.Sketcher(50)
     texts = [" ".join(w if i != 30 else z for i, w in enumerate(f"w{k}" for k in range(50))) for z in "xy"]
-    one, two = (module._arrays([1], [sketcher.segments(t.encode().split())]) for t in texts)
-    assert one.column(1) == two.column(1) and one.column(2) != two.column(2)
+    one, two = (sketcher.pieces(t.encode().split()) for t in texts)
+    assert one[1] == two[1] and one[2] != two[2]
     monkeypatch.undo()
-    monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", crowd)
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", crowd)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, [*texts, texts[1]])).collect()}
     assert got == plain_dedup([*texts, texts[1]], 50)
 

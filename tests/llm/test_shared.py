@@ -4,7 +4,7 @@ import random
 
 from quern.llm import _spark
 from quern.llm.components import components
-from quern.llm.fm_index import FmIndex
+from quern.llm.fm_index import Bits, FmIndex
 
 import numpy as np
 
@@ -31,16 +31,35 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_index_blocks_are_the_windows_occurrences():
+def test_select_is_the_inverse_of_rank():
+    rng = np.random.default_rng(3)
+    for share in (0, 0.01, 0.5, 1):
+        for n in (1, 63, 64, 65, 400):
+            bits = rng.random(n) < share
+            ones, packed = np.flatnonzero(bits), Bits(bits)
+            assert packed.select(np.arange(len(ones))).tolist() == ones.tolist()
+            assert packed.rank(np.arange(n)).tolist() == [int(bits[:i].sum()) for i in range(n)]
+
+
+def test_index_finds_the_first_owner_of_every_window():
     rng = np.random.default_rng(0)
     for w in (1, 2, 3, 5, 6, 50):
-        for _ in range(15):
-            texts = [rng.integers(0, rng.choice([1, 2, 4]), rng.integers(1, 12 if w < 50 else 120)) for _ in range(rng.integers(1, 8))]
-            index = FmIndex(texts, w)
-            places: dict = {}
-            for s, x in enumerate(texts):
+        for _ in range(40):
+            kinds, longest = rng.choice([1, 2, 4]), 12 if w < 50 else 120
+            texts = [rng.integers(0, kinds, rng.integers(1, longest)) for _ in range(rng.integers(1, 8))]
+            owners = rng.integers(-5, 100, len(texts))
+            index, first = FmIndex(texts, owners, w), {}
+            for o, x in zip(owners.tolist(), texts):
                 for i in range(len(x) - w + 1):
-                    places.setdefault(tuple(x[i : i + w]), []).append(s)
-            for x, blocks in zip(texts, index.window_blocks(texts)):
-                for i, b in enumerate(blocks):
-                    assert sorted(index.sequence_of[index.block_start[b] : index.block_end[b]]) == sorted(places[tuple(x[i : i + w])])
+                    first[tuple(x[i : i + w])] = min(first.get(tuple(x[i : i + w]), 1000), o)
+            # the sequences themselves, unlike ones, unknown words, and parts of two sequences together
+            others = [rng.integers(-1, kinds + 2, rng.integers(0, 2 * longest)) for _ in range(4)] + [np.r_[texts[0], texts[-1][:60], [9], texts[0]]]
+            for x, found in zip([*texts, *others], index.first_owners([*texts, *others])):
+                assert [index.names[f] if f >= 0 else None for f in found] == [first.get(tuple(x[i : i + w])) for i in range(max(0, len(x) - w + 1))]
+
+
+def test_index_is_smaller_than_its_suffix_order():
+    texts = [np.random.default_rng(k).integers(0, 1000, 70) for k in range(200)] * 3
+    index = FmIndex(texts, np.arange(len(texts)), 50)
+    assert index.nbytes < 4 * index.n
+    assert not any(isinstance(v, np.ndarray) and len(v) >= index.n for v in vars(index).values())
