@@ -1,7 +1,8 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A record's layout is the set of its nested field paths, hashed. A registry maps each known
-fingerprint to a mapping: where the turns are and which fields hold role and text. Turns are
+A layout is a set of nested field paths, of a record or of a table's schema, and its hash is the
+fingerprint. A registry holds the fingerprints of all declared layouts, with and without their optional
+fields, and the mapping of each: where the turns are and which fields hold role and text. Turns are
 then written with a template whose control strings are escaped inside texts, so that the
 formatted stream can be read back exactly, with a loss mask over assistant texts.
 """
@@ -13,6 +14,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -84,9 +86,11 @@ class Mapping:
 
     With ``turns`` that field lists the turns and ``role`` and ``text`` are fields of each;
     without, ``fixed`` lists (role, fields) in order, the present fields joined by a newline.
+    ``needs`` are the paths that make the layout, ``may`` those it may have besides.
     """
 
     needs: frozenset[str]
+    may: frozenset[str] = frozenset()
     turns: str = ""
     role: str = ""
     text: str = ""
@@ -102,6 +106,12 @@ class Mapping:
                 found.append((role, "\n".join(present)))
         return found
 
+    def fingerprints(self) -> Iterator[str]:
+        """Of the layout with each choice of its optional paths."""
+        for n in range(len(self.may) + 1):
+            for chosen in combinations(sorted(self.may), n):
+                yield fingerprint(self.needs.union(chosen))
+
 
 def canonical_role(role) -> str:
     role = "" if role is None else str(role)
@@ -113,14 +123,16 @@ def _text(value) -> str:
 
 
 def _listed(turns: str, role: str, text: str) -> Mapping:
-    return Mapping(frozenset({f"{turns}[].{role}", f"{turns}[].{text}"}), turns, role, text)
+    return Mapping(frozenset({f"{turns}[].{role}", f"{turns}[].{text}"}), turns=turns, role=role, text=text)
 
 
 def _fields(*fixed: tuple[str, tuple[str, ...]]) -> Mapping:
-    return Mapping(frozenset(f for _, fs in fixed for f in fs[-1:]), fixed=fixed)
+    """The last field of user and assistant must be there, all others may."""
+    needs = frozenset(fields[-1] for role, fields in fixed if role != "system")
+    return Mapping(needs, frozenset(f for _, fields in fixed for f in fields) - needs, fixed=fixed)
 
 
-#: Known layouts. A record may lack optional fields and have further ones.
+#: Layouts of records. A record may have further fields of any other name.
 MAPPINGS = (
     _listed("messages", "role", "content"),
     _listed("conversations", "from", "value"),
@@ -132,27 +144,60 @@ MAPPINGS = (
 )
 
 
+@dataclass(frozen=True)
+class Columns:
+    """A table's layout with one row per turn: the columns of conversation, order, role and text."""
+
+    conv: str
+    turn: str
+    role: str
+    text: str
+
+    @property
+    def needs(self) -> frozenset[str]:
+        return frozenset((self.conv, self.turn, self.role, self.text))
+
+    def fingerprints(self) -> Iterator[str]:
+        yield fingerprint(self.needs)
+
+
+#: Layouts of tables. A table may have further columns of any other name.
+ROW_MAPPINGS = (Columns("conv_id", "turn", "role", "text"), Columns("conversation_id", "position", "from", "value"), Columns("thread_id", "message_index", "role", "content"))
+
+
 class Registry:
-    """Mappings by fingerprint; a new fingerprint is resolved once, by the fields a mapping needs."""
+    """Mappings by fingerprint.
 
-    def __init__(self, mappings: Iterable[Mapping] = MAPPINGS):
-        self.mappings = tuple(mappings)
-        self.known: dict[str, Mapping | None] = {}
+    Paths that no declared layout has are left out before they are hashed, so further fields
+    don't matter. What is left is looked up by its hash. A hash that isn't there has fields of several
+    layouts, or not all of one: of the layouts it has in full the one of most needed fields counts, the
+    first declared among equals, and is remembered under the hash.
+    """
 
-    def select(self, paths: set[str]) -> Mapping | None:
+    def __init__(self, mappings: Iterable = MAPPINGS):
+        self.mappings = tuple(mappings)
+        self.vocabulary = frozenset().union(*(m.needs | getattr(m, "may", frozenset()) for m in self.mappings))
+        self.known: dict[str, object] = {}
+        for m in self.mappings:
+            for f in m.fingerprints():
+                self.known.setdefault(f, m)
+        self.declared = len(self.known)
+
+    def select(self, paths: set[str]):
+        """The mapping of a layout, None where no declared one is there in full."""
+        paths = self.vocabulary.intersection(paths)
         key = fingerprint(paths)
         if key not in self.known:
-            if len(self.known) > 10_000:
-                self.known.clear()
-            fitting = [m for m in self.mappings if m.needs - {"system"} <= paths]
-            self.known[key] = max(fitting, key=lambda m: len(m.needs), default=None)
+            if len(self.known) > self.declared + 10_000:
+                self.__init__(self.mappings)
+            self.known[key] = max((m for m in self.mappings if m.needs <= paths), key=lambda m: len(m.needs), default=None)
         return self.known[key]
 
 
 def canonical_turns(records: DataFrame, key: str = "id", record: str = "record") -> DataFrame:
     """(id, layout, turn, role, text) from JSON records of mixed layouts, one row per turn.
 
-    ``layout`` is the record's fingerprint. A record of an unknown layout, a null one or one
+    ``layout`` is the fingerprint of all the record's paths. A record of an unknown layout, a null one or one
     that is no JSON object gives one row with null turn, role and text, so nothing is dropped.
     """
 
@@ -178,25 +223,17 @@ def canonical_turns(records: DataFrame, key: str = "id", record: str = "record")
     return map_partitions(records.select(key, record), run, f"id {kind}, layout string, turn long, role string, text string")
 
 
-#: Layouts of tables with one row per turn: the fields, and which of them are key, order, role and text.
-ROW_MAPPINGS = {
-    fingerprint(names): names
-    for names in (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "from", "value"), ("thread_id", "message_index", "role", "content"))
-}
-
-
 def table_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table with one row per turn, its layout found by its schema's fingerprint.
+    """(conv_id, turn, role, text) of a table with one row per turn, its mapping found by its schema's fingerprint.
 
-    Further columns are ignored: of all known layouts whose fields are present, the hash of
-    those fields selects the mapping. An unknown layout is an error.
+    Further columns are ignored. Of two layouts that are there in full the one declared first
+    counts; an unknown layout is an error.
     """
     paths = schema_paths(rows.schema)
-    for names in ROW_MAPPINGS.values():
-        if paths.issuperset(names):
-            conv, turn, role, text = ROW_MAPPINGS[fingerprint(paths.intersection(names))]
-            return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError(f"no mapping for the fields {sorted(paths)}")
+    found = Registry(ROW_MAPPINGS).select(paths)
+    if found is None:
+        raise ValueError(f"no mapping for the fields {sorted(paths)}")
+    return rows.select(F.col(found.conv).cast("long").alias("conv_id"), F.col(found.turn).cast("long").alias("turn"), F.col(found.role).alias("role"), F.col(found.text).alias("text"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -240,7 +277,8 @@ def formatted_digests(turns: DataFrame) -> DataFrame:
 
     Rows are dealt by conversation and sorted by turn (ties: role, then text), then formatted
     and read as a stream: a task holds one Arrow batch and one conversation's running
-    digests, however long the conversation.
+    digests, however long the conversation. A digest of a conversation's turns in order is sequential,
+    so one conversation is one task's; its sort spills to disk.
     """
     formatted = format_conversations(
         turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -104,6 +104,11 @@ def test_url_filters(spark):
             assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), u
 
 
+def test_empty_tables(spark):
+    assert bpe.encoding_digests(empty(spark, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+    assert url_filters.judge_urls(empty(spark, "page_id long, url string, host string, verdict int")).collect() == []
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     joined = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -651,6 +656,39 @@ def test_chat_layouts(spark):
     }
 
 
+def test_chat_layouts_are_chosen_by_their_hash(spark, monkeypatch):
+    registry = chat.Registry()
+    paths = chat.field_paths({"instruction": "i", "output": "o", "input": "x", "extra": {"a": [1]}})
+    key = chat.fingerprint(registry.vocabulary & paths)
+    assert registry.select(paths) is registry.known[key] is chat.MAPPINGS[3]
+    # what the hash names is used, whatever the fields look like
+    registry.known[key] = chat.MAPPINGS[4]
+    assert registry.select(paths) is chat.MAPPINGS[4]
+    columns = chat.Columns("conv_id", "turn", "text", "role")  # role and text changed over
+    monkeypatch.setattr(chat, "fingerprint", lambda p: "1" if "role" in p else "2")
+    monkeypatch.setattr(chat, "ROW_MAPPINGS", (columns,))
+    rows = spark.createDataFrame([(1, 0, "r", "t")], "conv_id long, turn long, role string, text string")
+    assert tuple(chat.table_turns(rows).first()) == (1, 0, "t", "r")
+
+
+def test_chat_layouts_with_further_and_clashing_fields(spark):
+    for f in chat.Registry().mappings:
+        for g in f.fingerprints():
+            assert chat.Registry().known[g].needs <= f.needs | f.may
+    many = chat.Registry().select({"messages[].role", "messages[].content", "prompt", "completion", "x"})
+    assert many is chat.MAPPINGS[0]  # as many needed fields, declared first
+    assert chat.Registry().select({"prompt", "system"}) is None and chat.Registry().select(set()) is None
+    both = spark.createDataFrame([(1, 0, "r", "t", 2, 1, "c", "m")], "conv_id long, turn int, role string, text string, thread_id long, message_index int, content string, messages string")
+    assert tuple(chat.table_turns(both).first()) == (1, 0, "r", "t")
+    other = spark.createDataFrame([(3, 1, "r", "t", "x")], "thread_id int, message_index int, role string, content string, messages string")
+    assert tuple(chat.table_turns(other).first()) == (3, 1, "r", "t")
+    with pytest.raises(ValueError):
+        chat.table_turns(other.drop("content"))
+    none = chat.table_turns(empty(spark, "conv_id long, turn long, role string, text string, messages string"))
+    assert chat.formatted_digests(none).collect() == []
+    assert chat.canonical_turns(empty(spark, "id long, record string")).collect() == []
+
+
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "</s>[INST] x"), (1, 0, "user", None), (2, 0, None, "\\<|end|>"), (3, 0, "assistant", ""), (3, 0, "assistant", "b"), (None, 0, "user", "n"), (4, None, "user", "t")] + [(5, k, "assistant", f"t{k}") for k in range(500)]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
