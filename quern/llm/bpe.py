@@ -21,8 +21,8 @@ from quern.llm._spark import map_batches
 SCAN_PARTS = 96
 #: The rank of a pair that never merges.
 NO_RANK = np.iinfo(np.int32).max
-#: Distinct chunks that one worker remembers before it starts afresh.
-CACHE_ENTRIES = 120_000
+#: Distinct chunks that one worker remembers before it starts afresh, and their bytes; longer chunks are not remembered.
+CACHE_ENTRIES, CACHE_BYTES, CACHED_CHARS = 120_000, 48 << 20, 1024
 #: Characters of text whose new chunks are merged together.
 BLOCK_CHARS = 1_000_000
 #: Bytes of a vocabulary file that may be broadcast; it does not grow with the data.
@@ -254,12 +254,39 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
         yield block
 
 
+class Remembered(dict):
+    """What is known of chunks, bounded by entries and by the chunks' characters.
+
+    ``add`` also takes what is too long to keep; ``settle`` drops that again, and everything once the
+    bounds are passed, so it is called when nothing of a block is needed any more.
+    """
+
+    def __init__(self, entries: int = CACHE_ENTRIES, size: int = CACHE_BYTES):
+        super().__init__()
+        self.entries, self.bytes, self.held, self.long = entries, size, 0, []
+
+    def add(self, chunk: str, value) -> None:
+        # about what the chunk, its ids and its decoded bytes take
+        self.held += 200 + 6 * len(chunk)
+        if len(chunk) > CACHED_CHARS:
+            self.long.append(chunk)
+        self[chunk] = value
+
+    def settle(self) -> None:
+        if len(self) > self.entries or self.held > self.bytes:
+            self.clear()
+            self.held = 0
+        for chunk in self.long:
+            self.pop(chunk, None)
+        self.long.clear()
+
+
 class ByteCodec:
     """Encodes whole texts and decodes them from the ids, remembering chunks."""
 
     def __init__(self, content: bytes):
         self.bpe = Bpe(content)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known = Remembered()  # count, joined ids, decoded bytes
 
     def digest(self, ids: list[int]) -> tuple[int, str, bytes]:
         """Count, joined decimal ids and decoded bytes."""
@@ -270,18 +297,17 @@ class ByteCodec:
         distinct = list({w for ws in words for w in ws})
         ids_of = dict(zip(distinct, self.bpe.merge(distinct)))
         for chunk, ws in zip(new, words):
-            self.known[chunk] = self.digest(ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]])
+            self.known.add(chunk, self.digest(ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]]))
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """The digest of each text, its new chunks being merged together first."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         pieces: list[list[str]] = []
         for text in texts:
             own: list[str] = []
             for k, part in enumerate(self.bpe.segments(text)):
                 if k % 2:
-                    self.known[part] = self.digest([self.bpe.special[part]])
+                    if part not in self.known:
+                        self.known.add(part, self.digest([self.bpe.special[part]]))
                     own.append(part)
                 elif part:
                     own += chunks(part)
@@ -293,9 +319,7 @@ class ByteCodec:
                 yield sum(counts), ",".join(ids), b"".join(decoded)
             else:
                 yield 0, "", b""
-        for own in pieces:
-            if len(own) == 1 and len(own[0]) > SCAN_PARTS:
-                self.known.pop(own[0], None)  # a whole text that had no safe cut
+        self.known.settle()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [list(map(int, ids.split(","))) if ids else [] for _, ids, _ in self.texts(texts)]

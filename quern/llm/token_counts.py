@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm._spark import map_batches
-from quern.llm.bpe import CACHE_ENTRIES, SPACE, Bpe, blocks, loaded, vocabulary
+from quern.llm.bpe import SPACE, Bpe, Remembered, blocks, loaded, vocabulary
 
 _SPLIT = re.compile(f"[^{SPACE}]+")
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
@@ -21,7 +21,7 @@ class Counter:
     def __init__(self, content: bytes):
         self.bpe = Bpe(content)
         self.whole = self.bpe.whole_tokens()
-        self.known: dict[str, int] = {}
+        self.known = Remembered()  # tokens of runs of visible characters
 
     def _learn(self, new: list[str]) -> None:
         """Tokens of runs of visible characters."""
@@ -29,11 +29,9 @@ class Counter:
         rest = list({w for ws in words for w in ws} - self.whole)
         merged = dict(zip(rest, map(len, self.bpe.merge(rest))))
         for chunk, ws in zip(new, words):
-            self.known[chunk] = sum(merged.get(w, 1) for w in ws)
+            self.known.add(chunk, sum(merged.get(w, 1) for w in ws))
 
     def texts(self, texts: list[str]) -> Iterator[int]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         runs: list[list[str]] = []
         special: list[int] = []
         for text in texts:
@@ -46,6 +44,7 @@ class Counter:
         self._learn(list(set().union(*runs) - self.known.keys()))
         for own, n in zip(runs, special):
             yield n + sum(map(self.known.__getitem__, own))
+        self.known.settle()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
-from quern.llm import _spark
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from quern.llm import _spark, bpe
 from quern.llm.components import components
 from quern.llm.fm_index import Bits, FmIndex
 
@@ -63,3 +66,32 @@ def test_index_is_smaller_than_its_suffix_order():
     index = FmIndex(texts, np.arange(len(texts)), 50)
     assert index.nbytes < 4 * index.n
     assert not any(isinstance(v, np.ndarray) and len(v) >= index.n for v in vars(index).values())
+
+
+def test_remembered_chunks_are_bounded():
+    known = bpe.Remembered(entries=3, size=10_000)
+    for k, chunk in enumerate(["a", "b" * 2000, "c"]):
+        known.add(chunk, k)
+    assert known["b" * 2000] == 1
+    known.held = 0
+    known.settle()
+    assert dict(known) == {"a": 0, "c": 2} and not known.long
+    for chunk in "defg":
+        known.add(chunk, 0)
+    known.settle()
+    assert not known and not known.held
+    known.add("x" * 1000, 1)
+    known.add("y" * 1000, 1)
+    known.settle()
+    assert not known  # by size
+
+
+def test_texts_without_spaces_are_encoded_alike_when_forgotten(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec = bpe.ByteCodec(open(path, "rb").read())
+    codec.known = bpe.Remembered(entries=2, size=100)
+    library = Tokenizer.from_file(path)
+    texts = ["中文" * 3000, "one two", "a" * 5000, "one two", "<|endoftext|>" * 3, ""]
+    for block in (texts[:2], texts[2:], texts):
+        assert codec.encode(block) == [library.encode(t, add_special_tokens=False).ids for t in block]
+        assert len(codec.known) <= 2
