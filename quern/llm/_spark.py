@@ -10,18 +10,22 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quern.sources.shared import checkpoint_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local
-    test session) is a temporary folder used.
-    """
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    stored = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if stored.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(stored.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import checkpointed
+from quern.llm._spark import checkpointed, forget
 
 #: Rounds after which the computation is given up as faulty; n nodes need about log2(n) squared at worst.
 MAX_ROUNDS = 200
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat and run either way; self links are ignored. Each round replaces a
     node's links by links to its smallest neighbour (groupBy with map-side minimum, then a
     join whose large side adaptive execution may split) and is written to the checkpoint
-    folder, so a lost executor costs one round at most. Nothing but two sums reaches the driver.
+    folder, so a lost executor costs one round at most; the round before is deleted then. Nothing but two sums reaches the driver.
     """
     edges = checkpointed(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        last, edges = edges, checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        forget(last)
         before, state = state, _state(edges)
         if state == before:
             break

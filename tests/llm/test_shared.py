@@ -95,3 +95,13 @@ def test_texts_without_spaces_are_encoded_alike_when_forgotten(monkeypatch):
     for block in (texts[:2], texts[2:], texts):
         assert codec.encode(block) == [library.encode(t, add_special_tokens=False).ids for t in block]
         assert len(codec.known) <= 2
+
+
+def test_forgotten_checkpoints_are_deleted(spark):
+    from pathlib import Path
+
+    before = set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()) if spark.sparkContext.getCheckpointDir() else set()
+    kept, gone = _spark.checkpointed(spark.range(5)), _spark.checkpointed(spark.range(7))
+    _spark.forget(gone)
+    assert kept.count() == 5
+    assert len(set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()) - before) == 1
