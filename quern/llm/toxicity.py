@@ -38,8 +38,8 @@ CACHE_ENTRIES = 120_000
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "*": "aeiou"}
 #: Costs in nats: a stand-in read as its letter, a sign dropped, a sign kept as a word break, a repetition read as two letters.
 AS_LETTER, DROPPED, BREAK, DOUBLED = 0.5, 1.5, 2.5, 1.0
-#: Further cost of dropping a digit or breaking at one.
-DIGIT = 6.0
+#: Further cost of dropping a digit or breaking at one; cost of each digit where a token of digits alone is read as a number.
+DIGIT, NUMERAL = 6.0, 4.0
 
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^=+«»“”„’…¿¡"
 _DOUBLE = re.compile(r"(.)\1")
@@ -111,14 +111,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [("", DROPPED + rare), (" ", BREAK + rare)]
             for x in LEET.get(c, ""):
                 options.append((x, AS_LETTER))
-                if run == 2:
-                    options.append((x * 2, AS_LETTER))
+                if run > 1:
+                    options.append((x * 2, AS_LETTER + DOUBLED * (run > 2)))
         out.append(options)
     return out
 
 
-def viterbi(options: list[list[tuple[str, float]]], model: CharacterModel) -> str:
-    """The cheapest reading of a lattice under the character model, from one word edge to the other."""
+def viterbi(options: list[list[tuple[str, float]]], model: CharacterModel) -> tuple[float, str]:
+    """Cost and text of the cheapest reading of a lattice under the character model, from one word edge to the other."""
     cost, code = model.nested, model.code
     # state: the last two codes; value: cost and text so far
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -134,7 +134,7 @@ def viterbi(options: list[list[tuple[str, float]]], model: CharacterModel) -> st
                 if (x, y) not in step or total < step[x, y][0]:
                     step[x, y] = (total, text + out)
         best = step
-    return min((paid + cost[a][b][0], text) for (a, b), (paid, text) in best.items())[1] if best else ""
+    return min((paid + cost[a][b][0], text) for (a, b), (paid, text) in best.items())
 
 
 def word_features(word: str) -> list[str]:
@@ -155,12 +155,17 @@ class Restorer:
             # a stand-in stripped from the edges may have been a letter: $tupid
             edge = token[: token.index(core)][-1:] in LEET and len(token) > len(core)
             once = [_DOUBLE.sub(r"\1", core)] if _DOUBLE.search(core) else []
-            return [core, *once, *viterbi(lattice(token), self.model).split()] if edge else [core, *once]
+            return [core, *once, *self.read(lattice(token))] if edge else [core, *once]
         if not any(map(str.isalpha, token)) and not any(c in LEET for c in token):
             return []
-        if token.isdigit():
-            return []
-        return list(dict.fromkeys(viterbi(lattice(token), self.model).split()))
+        if token.isdecimal():
+            # a number, unless its letters make a likelier word; all of its digits are stand-ins then
+            price, text = viterbi([[x for x in choices if x[0].isalpha()] for choices in lattice(token)], self.model) if token.isascii() else (math.inf, "")
+            return [text] if price < NUMERAL * len(token) else []
+        return list(dict.fromkeys(self.read(lattice(token))))
+
+    def read(self, options: list[list[tuple[str, float]]]) -> list[str]:
+        return viterbi(options, self.model)[1].split()
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of runs of single characters with a gap between each two."""
@@ -169,7 +174,7 @@ class Restorer:
             options: list[list[tuple[str, float]]] = []
             for k, c in enumerate(m[0]):
                 options += [[("", 0.0), (" ", BREAK)]] if k % 2 else lattice(c)
-            found += viterbi(options, self.model).split()
+            found += self.read(options)
         return found
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with awkward rows."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -9,6 +10,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -524,6 +526,83 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark, "doc_id long, text string"), empty(spark, "doc_id long, toxic int")).collect() == []
 
 
+def plain_reading(options, model):
+    """The cheapest of all readings of a lattice, each spelled out and priced."""
+    def price(choice):
+        text, codes = "".join(x for x, _ in choice), [0, 0]
+        codes += [model.code(c) for c in text] + [0]
+        return sum(p for _, p in choice) + sum(model.nested[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:])), text
+
+    return min(map(price, itertools.product(*options)))
+
+
+def character_model():
+    text = "the other reason in a winter garden of stone and silver letters, moron idiot " * 50
+    codes = toxicity.letter_codes(f"   {text}   ")
+    size = toxicity._SIZE
+    return np.bincount((codes[:-2] * size + codes[1:-1]) * size + codes[2:], minlength=size**3)
+
+
+def test_viterbi_finds_the_cheapest_of_all_readings():
+    model = toxicity.CharacterModel(character_model())
+    rng = random.Random(4)
+    tokens = ["1d10t", "m0r0n", "b000k", "455", "m*r*n", "st0ne!", "$1lver", "2024", "@@@", "ii1|", "l3tt3r5", "ééé"]
+    tokens += ["".join(rng.choice("aeiorst013457@$!|*-é") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    for t in tokens:
+        options = toxicity.lattice(t)
+        cost, text = toxicity.viterbi(options, model)
+        best, _ = plain_reading(options, model)
+        assert abs(cost - best) < 1e-9, t
+        assert text in {"".join(x for x, _ in c) for c in itertools.product(*options)}, t
+    assert toxicity.viterbi([], model)[1] == ""
+
+
+def test_digits_alone_may_be_words():
+    counts = character_model()
+    restorer = toxicity.Restorer(counts)
+    assert restorer.words("5t0n3") == ["stone"] and restorer.words("1994") == restorer.words("20240115") == restorer.words("٣٤٥") == []
+    assert restorer.words("570") in ([], ["sto"]) and ("oo", 1.5) in toxicity.lattice("b000k")[1]
+
+
+def test_scores_equal_a_plain_count_of_features(spark):
+    words = ["there", "other", "winter", "garden", "stone", "silver", "letter", "reason"]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) for _ in range(12)) + (" " + rng.choice(["idiot", "moron", "1d10t"]) if i % 3 == 0 else "") for i in range(300)]
+    docs = frame(spark, texts)
+    sent = toxicity._model(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"), None)
+    counts, bias, weights = sent.value
+    plain = np.zeros(toxicity._SIZE**3)
+    model = toxicity.CharacterModel(counts)
+    for t in texts:  # the model: every trigram of every text, one by one
+        codes = [0, 0, 0, *(model.code(c) for c in t.lower()), 0, 0, 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            plain[(a * toxicity._SIZE + b) * toxicity._SIZE + c] += 1
+    assert (plain[1:] == counts[1:]).all() and weights
+
+    def features(text):
+        found = set()
+        for token in set((text or "").lower().split()):
+            core = token.strip(toxicity._STRIP)
+            words = [core] if core.isalpha() else plain_reading(toxicity.lattice(token), model)[1].split()
+            for w in words:
+                found |= {w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) > n)}
+        return found
+
+    asked = [*texts, "the 1d10t there", "st0ne gard3n", "m0ron", "", None, "winter " * 1000]
+    got = toxicity._scores(sent)(pa.array(asked))
+    for t, score in zip(asked, got):
+        z = bias + sum(weights.get(f, 0) for f in features(t))
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9, t
+
+
+def test_toxicity_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"idiot there {chr(97 + i % 26)}{chr(97 + i % 7)}" if i % 2 else f"winter garden {chr(97 + i % 26)}{chr(97 + i % 7)}", 5, "x", 0.5) for i in range(60)], "doc_id long, text string, toxic int, label string, score double")
+    labels = spark.createDataFrame([(i, i % 2, 9, "secret") for i in range(60)], "doc_id long, toxic int, quality int, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+    assert {r["doc_id"] for r in toxicity.toxic_filter(docs, labels).collect()} == set(range(0, 60, 2))
+
+
 def plain_dedup(texts, window):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     first = {}
