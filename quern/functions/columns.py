@@ -16,8 +16,3 @@ def seconds(time: str) -> Column:
 
 def json_text(column: str, field: str) -> Column:
     return F.get_json_object(column, f"$.{field}")
-
-
-def share(part: Column, whole: Column) -> Column:
-    """part / whole, null where whole is zero."""
-    return F.try_divide(part, whole)

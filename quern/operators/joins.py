@@ -2,50 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], period: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of its key at or before its time; null where none is.
 
     Both sides are put together and walked once per key in time order, so the work is a sort
     of left plus right; a range join would make all pairs first. Right rows with equal times
     are ordered by their values, the largest winning.
+
+    With ``period`` (a coarsening of time, such as its day) a key's rows are walked period by period,
+    in as many tasks, and what a period starts with comes from the last right row of each earlier one: for
+    keys that hold a large part of all rows.
     """
     names = [c for c in left.columns if c not in by]
     l = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*names).alias("_left"), F.lit(None).alias("_right"))
     r = right.select(*by, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), F.struct(*values).alias("_right"))
-    so_far = Window.partitionBy(*by).orderBy("_time", "_side", "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r).withColumn("_found", F.last("_right", ignorenulls=True).over(so_far))
-    return both.where("_side = 1").select(*by, "_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
+    both, parts = l.unionByName(r), list(by)
+    if period:
+        both, parts = both.withColumn("_period", period(F.col("_time"))), [*by, "_period"]
+    so_far = Window.partitionBy(*parts).orderBy("_time", "_side", "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_found", F.last("_right", ignorenulls=True).over(so_far)).where("_side = 1")
+    if period:
+        before = Window.partitionBy(*by).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+        ends = both.groupBy(*parts).agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_right"))).alias("_last"))
+        ends = ends.withColumn("_earlier", F.last("_last", ignorenulls=True).over(before)).select(*parts, "_earlier")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in parts]
+        found = found.alias("a").join(ends.alias("b"), reduce(Column.__and__, same), "left").select(*(F.col(f"a.{c}") for c in by), "_left", F.coalesce("_found", "_earlier._right").alias("_found"))
+    return found.select(*by, "_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], time: str, start: str, stop: str, width: int) -> DataFrame:
-    """Pairs of equal key with start <= time < stop, all in seconds.
+    """Pairs of equal key with start <= time < stop, all numbers; without ``by`` pairs of any rows.
 
     Intervals are cut at multiples of ``width`` and joined on (key, slice), so each point
     meets only the intervals of its slice. ``width`` near the usual interval length is best.
     """
-    cut = intervals.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width)))).where(F.col(start) < F.col(stop))
+    cut = intervals.where(F.col(start) < F.col(stop)).withColumn("_slice", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
     sliced = points.withColumn("_slice", F.floor(F.col(time) / width))
     return sliced.join(cut, [*by, "_slice"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(stop))).drop("_slice")
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
-    """Equi-join in which each key of ``large`` is spread over ``salts`` tasks and ``small`` is repeated as often.
+    """Equi-join in which each hot key of ``large`` is spread over ``salts`` tasks, the rows of ``small`` for it being repeated.
 
-    For keys so hot that adaptive splitting of one side isn't possible (an aggregate follows on
-    the same key, or the join is planned without statistics). ``how``: inner, left, left_semi, left_anti.
+    Hot is a key with more than one row in ``salts``: fewer than ``salts`` keys, whatever the data, so
+    they are broadcast. For joins that adaptive splitting can't help (an aggregate follows on the same
+    key). Rows are spread by position, equal ones too; ``large`` must come in an order that a lost
+    task's second run repeats, as files and checkpoints do. ``how``: inner, left, left_semi, left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat rows")
-    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    total = large.agg(F.count("*").alias("_total"))
+    hot = large.groupBy(*on).agg(F.count("*").alias("_n")).join(F.broadcast(total)).where(F.col("_n") * salts > F.col("_total")).select(*on, F.lit(salts).alias("_salts"))
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    dealt = large.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_salts")
+    repeated = small.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of ``left`` whose ``key`` is NOT IN the column ``other`` of ``right``, by SQL's rules for null.
+
+    A null in ``right`` leaves nothing, a null key only stays if ``right`` is empty. Two counts of
+    ``right`` decide that, and an anti join the rest, so neither side is broadcast as a null-aware
+    anti join must be.
+    """
+    facts = right.agg(F.count("*").alias("_rows"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    keys = right.where(F.col(other).isNotNull()).select(F.col(other).alias("_other")).distinct()
+    kept = left.join(keys, F.col(key) == F.col("_other"), "left_anti").join(F.broadcast(facts))
+    return kept.where((F.col("_rows") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())).drop("_rows", "_nulls")
+
+
 def salted_aggregate(df: DataFrame, by: Sequence[str], salts: int, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
     """Two-step aggregate for functions without a map-side step: by key and salt, then by key."""
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))

@@ -29,6 +29,11 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
     out.write.format(kind).options(**options).mode(mode).partitionBy(*partition_by).save(path)
 
 
+def upsert(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` with the rows of equal keys replaced by those of ``changes``, and the new ones added."""
+    return old.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
+
+
 def save_bucketed(df: DataFrame, table: str, keys: tuple[str, ...], buckets: int, mode: str = "error") -> None:
     """A catalog table bucketed and sorted by keys: later joins and aggregates on them need no shuffle."""
     df.write.format("parquet").mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)

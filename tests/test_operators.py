@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.joins import as_of_join, interval_join, salted_aggregate, salted_join
+from quern.operators.joins import as_of_join, interval_join, not_in, salted_aggregate, salted_join
 from quern.operators.ranking import top_k_per_group
 from quern.sources import tables
 
@@ -25,15 +25,90 @@ def test_interval_join(spark, width):
     assert got == sorted((k, t, a) for k, t in points for j, a, b in spans if k == j and a <= t < b)
 
 
+@pytest.mark.parametrize("period", [1, 7, 1000])
+def test_as_of_join_by_periods_equals_the_plain_one(spark, period):
+    import random
+
+    rng = random.Random(period)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 60), i) for i in range(200)], "k int, t int, x int")
+    right = spark.createDataFrame([(rng.choice([1, 1, 2, 3, None]), rng.randint(0, 60), rng.choice([None, 1, 2, 3])) for _ in range(60)], "k int, t int, v int")
+    plain = as_of_join(left, right, ["k"], "t", "t", ["v"])
+    cut = as_of_join(left, right, ["k"], "t", "t", ["v"], lambda t: F.floor(t / period))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, cut.collect())) == sorted(map(key, plain.collect())) and cut.count() == 200
+
+
+def test_interval_join_without_a_key(spark):
+    points = spark.createDataFrame([(x / 4,) for x in range(-40, 40)], "x double")
+    spans = spark.createDataFrame([(0, -3.5, 2.25), (1, 1.0, 1.0), (2, 9.0, 30.0), (3, 5.0, 4.0)], "i int, a double, b double")
+    got = rows(interval_join(points, spans, [], "x", "a", "b", 3).select("x", "i"))
+    assert got == sorted((x / 4, i) for x in range(-40, 40) for i, a, b in [(0, -3.5, 2.25), (2, 9.0, 30.0)] if a <= x / 4 < b)
+
+
+@pytest.mark.parametrize("left, right, kept", [
+    ([1, 2, None], [2, 3], [1]), ([1, 2, None], [2, None], []), ([1, None], [], [1, None]), ([1, None], [None], []), ([], [1], []), ([1, 1, 4], [2, 2], [1, 1, 4]),
+])
+def test_not_in_follows_sql(spark, left, right, kept):
+    a, b = (spark.createDataFrame([(x,) for x in v], f"{c} int") for v, c in ((left, "a"), (right, "b")))
+    got = [r[0] for r in not_in(a, "a", b, "b").collect()]
+    assert sorted(got, key=str) == sorted(kept, key=str)
+    assert sorted((r[0] for r in spark.sql("SELECT a FROM {l} WHERE a NOT IN (SELECT b FROM {r})", l=a, r=b).collect()), key=str) == sorted(kept, key=str)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain(spark, how):
-    large = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, x int")
-    small = spark.createDataFrame([(0, "a"), (2, "b"), (2, "c")], "k int, y string")
-    assert rows(salted_join(large, small, ["k"], 5, how)) == rows(large.join(small, ["k"], how))
+    large = spark.createDataFrame([(i % 3 if i % 4 else 0, i // 9) for i in range(90)] + [(None, 1), (7, 1)], "k int, x int")
+    small = spark.createDataFrame([(0, "a"), (2, "b"), (2, "c"), (None, "d"), (9, "e")], "k int, y string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(salted_join(large, small, ["k"], 5, how)) == key(large.join(small, ["k"], how))
     with pytest.raises(ValueError):
         salted_join(large, small, ["k"], 5, "full")
 
 
+def test_salted_join_spreads_equal_rows_of_hot_keys_only(spark):
+    large = spark.createDataFrame([(0, 1)] * 300 + [(k, 1) for k in range(1, 50)], "k int, x int").repartition(4)
+    small = spark.createDataFrame([(k, "y") for k in range(50)], "k int, y string")
+    joined = salted_join(large, small, ["k"], 4)
+    assert joined.count() == 349
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = {r["k"]: r["n"] for r in salted_join(large, small, ["k"], 4).withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.countDistinct("p").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts[0] > 1 and all(n == 1 for k, n in parts.items() if k)
+
+
+def test_user_aggregate_merges_partial_states(spark):
+    from quern.functions import user
+
+    df = spark.createDataFrame([(None if i % 5 == 0 else f"g{i % 3}", i % 2, float(i)) for i in range(1, 200)], "g string, h int, x double").repartition(7)
+    got = user.aggregate(
+        df, ["g", "h"], ["x"], lambda r: (len(r), r["x"].max(), (r["x"] ** 2).sum()), lambda a, b: (a[0] + b[0], max(a[1], b[1]), a[2] + b[2]), lambda s: (int(s[0]), s[1], s[2]), "n long, top double, square double"
+    )
+    plain = df.groupBy("g", "h").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.sum(F.col("x") * F.col("x")).alias("square"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert user.aggregate(df.where("x < 0"), ["g"], ["x"], lambda r: (0,), lambda a, b: a, lambda s: s, "n double").collect() == []
+
+
+def test_user_functions(spark):
+    from quern.functions import user
+
+    df = spark.createDataFrame([(1, 2.0), (3, None)], "a int, b double")
+    assert rows(df.select(user.scalar(lambda a, b: a + b.fillna(0), "double")("a", "b"))) == [(3.0,), (3.0,)]
+    with pytest.raises(ValueError):
+        user.scalar(lambda a: a, "int")("a", "a", "a")
+    spark.udtf.register("quern_test_repeat", user.table_function(lambda n: ((i, i * i) for i in range(n)), "i int, square int"))
+    assert rows(spark.sql("SELECT a, i, square FROM {df}, LATERAL quern_test_repeat(a)", df=df)) == [(1, 0, 0), (3, 0, 0), (3, 1, 1), (3, 2, 4)]
+
+
+def test_upsert(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string")
+    assert sorted(map(str, tables.upsert(old, new, ["k"]).collect())) == sorted(map(str, old.where("k = 1 or k is null").union(new).collect()))
+
+
 def test_salted_aggregate(spark):
     df = spark.createDataFrame([(i % 2, i) for i in range(100)], "k int, x int")
     got = salted_aggregate(df, ["k"], 4, {"s": F.sum("x"), "m": F.max("x")}, {"s": F.sum("s"), "m": F.max("m")})
