@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -45,10 +48,35 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: What this worker process keeps for its next task: one value, the last operator's.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """``make()`` once per worker process, until another operator keeps something there."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system, as workers wait for their next task with what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_partitions(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with this package's code at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
 
 
 def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable]], schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import map_batches
+from quern.llm._spark import kept, map_batches
 
 #: Bytes up to which a word is merged by scanning its rank array; longer words use a heap.
 SCAN_PARTS = 96
@@ -222,15 +222,9 @@ def chunks(text: str) -> list[str]:
     return [head, *pieces] if head else pieces
 
 
-_LOADED: dict[str, object] = {}
-
-
 def loaded(content: bytes, kind):
-    """One ``kind(content)`` per worker process and vocabulary."""
-    key = kind.__name__ + hashlib.sha256(content).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = kind(content)
-    return _LOADED[key]
+    """One ``kind(content)`` per worker process and vocabulary, while that is in use."""
+    return kept(kind.__name__ + hashlib.sha256(content).hexdigest(), lambda: kind(content))
 
 
 def vocabulary(spark, path: str):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import map_batches
+from quern.llm._spark import kept, map_batches
 
 #: Words of a window.
 WINDOW = 10
@@ -100,16 +100,8 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-#: The automaton of this worker process; one at a time is kept.
-_LOADED: dict[tuple, Items] = {}
-
-
 def _loaded(sent, window: int) -> Items:
-    key = (window, hashlib.sha256(repr(sent.value).encode()).digest())
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Items(sent.value, window)
-    return _LOADED[key]
+    return kept((window, hashlib.sha256(repr(sent.value).encode()).digest()), lambda: Items(sent.value, window))
 
 
 class _ItemBlocks:
