@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with pigeonhole blocks.
+"""SimHash near-duplicate detection with pigeonhole blocks, and near copies by wider fingerprints in the same way.
 
 Two 64-bit fingerprints that differ in at most 3 bits agree on at least 3 of 6 blocks of
 bits, so the pair meets in one of the 20 tables keyed by 3 blocks (32 bits or so). Within a
@@ -319,10 +319,15 @@ def shingle_closeness(shingle: int, similarity: float):
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
 
-    Candidates share ``BAND`` neighbouring symbols of their shingle sketches, and their sketches
-    agree but for ``MARGIN``. The texts of each group of linked candidates are then compared by
-    their shingles themselves, which alone decides. Texts without words are copies of nothing; rows
-    without a doc_id are left out. component_id is the smallest doc_id of the group.
+    A text's fingerprint is its sketch of 128 symbols, split into 32 blocks of ``BAND``. Two that
+    differ in fewer symbols than there are blocks share a block for certain, others with the probability
+    given there. Texts that share a block are candidates, and linked if their fingerprints' Hamming
+    distance, in symbols, is within what ``similarity`` less ``MARGIN`` leaves. The texts of each
+    group of linked candidates are then compared by their shingles themselves, which alone decides.
+
+    Rows of one doc_id are one document, which is a near copy if one of its texts is. Texts without
+    words are copies of nothing and left out, as are rows without a doc_id. component_id is
+    the smallest doc_id of the group.
     """
 
     def work():

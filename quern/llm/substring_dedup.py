@@ -297,8 +297,9 @@ def _all_runs(pieces: DataFrame, window: int) -> DataFrame:
         parts.append(split.select("key", "content", "parent", "parent_content", "shift"))
         # equal parts are put together where they were made; keys of one document alone are dropped
         distinct = split.groupBy("key", "content").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("place").alias("place"), F.first("words").alias("words"))
-        kept = split.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
-        pieces = checkpointed(checkpointed(distinct).join(kept, "key", "left_semi"))
+        kept = checkpointed(split.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key"))
+        sent = F.broadcast(kept) if kept.count() <= FEW_KEYS else kept
+        pieces = checkpointed(distinct.join(sent, "key", "left_semi"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -242,6 +242,63 @@ def test_near_copies_in_large_keys(spark, monkeypatch, rows):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_near_copies_of_rows_with_one_id(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randint(0, 900)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (0, b + " tail"), (2, c), (2, None), (3, c.upper()), (None, c)]
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 2), (3, 2)]
+
+
+def test_near_copies_in_one_key_of_thousands(spark):
+    # 5,000 texts of one half, so that they share keys by the thousand, in pairs that are near copies
+    rng, texts = random.Random(13), []
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(80)]
+    for k in range(2500):
+        own = [f"x{k}_{i}" for i in range(40)]
+        texts += [" ".join(base + own), " ".join(base + own[:-6] + [f"y{k}_{i}" for i in range(4)])]
+    sets = [shingles(texts[i]) for i in (0, 1, 2)]
+    assert jaccard(sets[0], sets[1]) >= 0.8 > 0.6 > jaccard(sets[0], sets[2]) > 0.45
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(5000)}
+
+
+def test_near_copies_of_a_table_equal_brute_force(spark):
+    """All pairs of a table with a common shingle and a similarity of 0.8 at least are found, and no others."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    ids, sets = [i for i, _ in rows], [shingles(t or "") for _, t in rows]
+    worded = [bool((t or "").split()) for _, t in rows]
+    having: dict = {}
+    for k, own in enumerate(sets):
+        for x in own if worded[k] else ():
+            having.setdefault(x, []).append(k)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for k, own in enumerate(sets):
+        shared: dict = {}
+        for x in own if worded[k] else ():
+            for j in having[x] if len(having[x]) < 2000 else having[x][:0]:
+                if j < k:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                near += own != sets[j]
+                a, b = sorted((find(j), find(k)), key=lambda x: ids[x])
+                root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    expected = {ids[k]: ids[find(k)] for k in range(len(rows)) if worded[k]}
+    assert near > 30 and max(map(len, having.values())) < 2000
+    differing = sum(got[i] != expected[i] for i in expected)
+    assert got.keys() == expected.keys() and differing <= 0.02 * sum(i != c for i, c in expected.items()), differing
+
+
 @pytest.mark.parametrize("rows, chars", [(1024, 8_000_000), (7, 20_000)])
 def test_near_copies_by_shingles(spark, monkeypatch, rows, chars):
     texts = [t for edit in ("tail", "cut", "scattered") for low, high in ((0.74, 0.8), (0.8, 0.84)) for t in edited_pairs(edit, low, high, 50)]
