@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,23 +75,35 @@ class Sketcher:
             self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, m)], dtype=np.uint64) for m in (_MULTIPLIER, _INVERSE))
         return self.powers[:n], self.inverses[:n]
 
-    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Anchors, content hashes, second content hashes, starts, window counts and anchor places of a text."""
-        found = []
-        for at in range(0, max(0, len(words) - self.window + 1), BLOCK_WORDS):
-            anchor, content, second, start, n, place = self._block(words[at : at + BLOCK_WORDS + self.window - 1])
-            found.append((anchor, content, second, start + at, n, place))
+    def pieces(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """The pieces of all texts, given as words, in order, and before them the number of each one's text.
+
+        Short texts are worked on together and long ones in parts, so arrays have about ``BLOCK_WORDS``.
+        """
+        found, block, size = [], [], 0
+        for k, words in enumerate(texts):
+            for at in range(0, len(words) - self.window + 1, BLOCK_WORDS):
+                part = words[at : at + BLOCK_WORDS + self.window - 1]
+                if size and size + len(part) >= 1 << 20:  # places of anchors have 20 bits
+                    found.append(self._block(block))
+                    block, size = [], 0
+                block.append((k, at, part))
+                size += len(part)
+        if block:
+            found.append(self._block(block))
         if not found:
-            return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
         return tuple(map(np.concatenate, zip(*found)))
 
-    def _block(self, words: list[bytes]):
-        n = len(words)
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, n)
+    def _block(self, parts: list[tuple[int, int, list[bytes]]]):
+        """Text numbers, anchors, content hashes, second content hashes, starts, window counts and anchor places of parts (text, first word, words)."""
+        sizes = np.array([len(words) for _, _, words in parts])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        h = np.fromiter(map(self.hash.__getitem__, chain.from_iterable(words for _, _, words in parts)), np.uint64, n)
         power, inverse = self._powers(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(h * power[:-1], out=prefix[1:])
-        windows = n - self.window + 1
         # grams by doubling, then mixed so that their order is random
         g, width = h, 1
         for step in _GRAM_STEPS:
@@ -105,16 +118,23 @@ class Sketcher:
             least, span = np.minimum(least[:-span], least[span:]), 2 * span
         if span < across:
             least = np.minimum(least[: len(least) - (across - span)], least[across - span :])
-        chosen = (least & low).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-        count = np.diff(np.r_[start, windows])
+        # windows that lie in one part; their anchors do too, so a piece does
+        inside = np.ones(len(least), bool)
+        for end in ends[:-1].tolist():
+            inside[end - self.window + 1 : end] = False
+        window = np.flatnonzero(inside)
+        chosen = (least[window] & low).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        start, count = window[first], np.diff(np.r_[first, len(window)])
         end = start + count + self.window - 1
         content = (prefix[end] - prefix[start]) * inverse[start] + count.astype(np.uint64) * _GRAM_STEPS[1]
         content = (content ^ content >> np.uint64(32)) * _GRAM_STEPS[2]
-        h = np.fromiter(map(self.second.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(self.second.__getitem__, chain.from_iterable(words for _, _, words in parts)), np.uint64, n)
         np.cumsum(h * power[:-1], out=prefix[1:])
         second = (prefix[end] - prefix[start]) * inverse[start]
-        return g[chosen[start]], content, second, start, count, chosen[start] - start
+        part = np.searchsorted(ends, start, side="right")
+        shift = np.array([at for _, at, _ in parts]) - (ends - sizes)
+        return np.array([k for k, _, _ in parts])[part], g[chosen[first]], content, second, start + shift[part], count, chosen[first] - start
 
 
 _ARRAYS = "anchors array<long>, contents array<binary>, starts array<int>, counts array<int>, places array<int>"
@@ -127,29 +147,27 @@ def _sketched(docs: DataFrame, window: int) -> DataFrame:
         sketcher = Sketcher(window)
 
         def each(batch):
-            ids, keys, rows = [], [], []
-            for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = (t.as_py() or "").encode().split()
-                if len(words) >= window:
-                    ids.append(i)
-                    keys.append(k)
-                    rows.append(sketcher.pieces(words))
-            yield _arrays(ids, keys, rows)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                words = [(t.as_py() or "").encode().split() for t in rows.column(2)]
+                long = [k for k, w in enumerate(words) if len(w) >= window]
+                yield _arrays(rows.take(pa.array(long, pa.int64())), sketcher.pieces([words[k] for k in long]))
 
         return each
 
     return map_batches(docs.select("doc_id", "row", "text"), work, f"doc_id long, row long, {_ARRAYS}")
 
 
-def _arrays(ids: list, keys: list, rows: list) -> pa.RecordBatch:
-    offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
-    flat = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 6
+def _arrays(rows: pa.RecordBatch, pieces: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """The first two columns of some rows beside the arrays of their pieces."""
+    text, anchors, first, second, *numbers = pieces
+    offsets = pa.array(np.searchsorted(text, np.arange(rows.num_rows + 1)), pa.int32())
     # both content hashes as one key of 16 bytes
-    both = pa.py_buffer(np.stack(flat[1:3], 1).tobytes())
-    contents = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat[1]), [None, both]).cast(pa.binary())
-    columns = [pa.array(flat[0].view(np.int64)), contents, *(pa.array(c.astype(np.int32)) for c in flat[3:])]
+    both = pa.py_buffer(np.stack([first, second], 1).tobytes())
+    contents = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, both]).cast(pa.binary())
+    columns = [pa.array(anchors.view(np.int64)), contents, *(pa.array(c.astype(np.int32)) for c in numbers)]
     lists = [pa.ListArray.from_arrays(offsets, c) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *lists], ["doc_id", "row", "anchors", "contents", "starts", "counts", "places"])
+    return pa.RecordBatch.from_arrays([*rows.columns[:2], *lists], ["doc_id", "row", "anchors", "contents", "starts", "counts", "places"])
 
 
 def _exploded(sketched: DataFrame) -> DataFrame:

@@ -734,30 +734,45 @@ def test_equal_pieces_have_equal_words(spark):
     # pieces are merged by 128 bits; every merged one of a whole table is compared here, word by word
     sketcher, words_of = substring_dedup.Sketcher(50), {}
     merged = 0
-    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
-        words = text.encode().split()
-        for anchor, content, second, start, n, place in zip(*(x.tolist() for x in sketcher.pieces(words))):
-            own = words[start : start + n + 49]
-            merged += (content, second) in words_of
-            assert words_of.setdefault((content, second), (own, place)) == (own, place)
+    texts = [r[0].encode().split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for k, anchor, content, second, start, n, place in zip(*(x.tolist() for x in sketcher.pieces(texts))):
+        own = texts[k][start : start + n + 49]
+        merged += (content, second) in words_of
+        assert words_of.setdefault((content, second), (own, place)) == (own, place)
     assert merged > 100
 
 
+def test_pieces_do_not_depend_on_their_neighbours(monkeypatch):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randint(0, 30)}".encode() for _ in range(rng.choice([0, 3, 49, 50, 51, 200, 700]))] for _ in range(60)]
+    sketcher = substring_dedup.Sketcher(50)
+    together = list(zip(*(x.tolist() for x in sketcher.pieces(texts))))
+    alone = [(k, *row[1:]) for k, t in enumerate(texts) for row in zip(*(x.tolist() for x in sketcher.pieces([t])))]
+    assert together == alone and len(together) > 300
+    for k, t in enumerate(texts):  # every window is in one piece
+        windows = [i for row in together if row[0] == k for i in range(row[4], row[4] + row[5])]
+        assert windows == list(range(max(0, len(t) - 49)))
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 64)  # long texts in parts: the same windows and anchors, in more pieces
+    cut = list(zip(*(x.tolist() for x in sketcher.pieces(texts))))
+    anchors = lambda rows: {(k, start + j, anchor, place - j) for k, anchor, _, _, start, n, place in rows for j in range(n)}
+    assert len(cut) > len(together) and anchors(cut) == anchors(together)
+
+
 @pytest.mark.parametrize("crowd", [4000, 0])
 def test_substring_dedup_with_colliding_hashes(spark, monkeypatch, crowd):
     # x and y have one first hash: only the second tells the pieces apart
     import quern.llm.substring_dedup as module
 
-    def pieces(self, words, kept=module.Sketcher.pieces):
+    def pieces(self, texts, kept=module.Sketcher.pieces):
         for w in (b"x", b"y"):
             self.hash[w] = 7
-        return kept(self, words)
+        return kept(self, texts)
 
     monkeypatch.setattr(module.Sketcher, "pieces", pieces)
     sketcher = module.Sketcher(50)
     texts = [" ".join(w if i != 30 else z for i, w in enumerate(f"w{k}" for k in range(50))) for z in "xy"]
-    one, two = (sketcher.pieces(t.encode().split()) for t in texts)
-    assert one[1] == two[1] and one[2] != two[2]
+    one, two = (sketcher.pieces([t.encode().split()]) for t in texts)
+    assert one[2] == two[2] and one[3] != two[3]
     monkeypatch.undo()
     monkeypatch.setattr(substring_dedup, "ANCHOR_PIECES", crowd)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup(frame(spark, [*texts, texts[1]])).collect()}
