@@ -21,6 +21,8 @@ from quern.llm._spark import kept, map_batches
 WINDOW = 10
 #: Characters of items in one automaton (some hundred MB of nodes); more items take further automata.
 AUTOMATON_CHARS = 1 << 20
+#: Words of an item that are kept together; a longer one is cut, with an overlap, into parts that have the same windows.
+PART_WORDS = 8192
 
 #: Byte map: A-Z to a-z, separators to a space, the rest unchanged (bytes from 0x80 on belong to words).
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -104,11 +106,26 @@ def _loaded(sent, window: int) -> Items:
     return kept((window, hashlib.sha256(repr(sent.value).encode()).digest()), lambda: Items(sent.value, window))
 
 
+def item_parts(words: list[bytes], window: int) -> list[list[bytes]]:
+    """Parts of at most ``PART_WORDS`` words (and ``window`` more) whose windows are together those of all words."""
+    if len(words) <= PART_WORDS + window:
+        return [words] if words else []
+    return [words[i : i + PART_WORDS + window - 1] for i in range(0, len(words) - window + 1, PART_WORDS)]
+
+
 class _ItemBlocks:
-    """The items in blocks of about ``AUTOMATON_CHARS``, measured first and fetched one block at a time."""
+    """The items' parts in blocks of about ``AUTOMATON_CHARS``, measured first and fetched one block at a time."""
+
+    def __init__(self, items: DataFrame, window: int):
+        def work():
+            def each(batch):
+                parts = [(i, b" ".join(p).decode()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for p in item_parts(normal_words(t.as_py()), window)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.string())], ["item_id", "text"])
 
-    def __init__(self, items: DataFrame):
-        self.items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+            return each
+
+        items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+        self.items = map_batches(items, work, "item_id long, text string")
         size = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
         self.n = max(1, -(-int(size) // AUTOMATON_CHARS))
 
@@ -122,8 +139,10 @@ class _ItemBlocks:
         return sorted({(r[0], r[1]) for r in self.items.where(block == k).collect()}, key=repr)
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words long, hits array<struct<start, end>> in words, items array<long>) of every document.
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, characters: bool = False) -> DataFrame:
+    """(doc_id, n_words long, hits array<struct<start, end>>, items array<long>) of every document.
+
+    Hits are in words, or with ``characters`` in characters of the original text.
 
     ``docs`` has (doc_id, text), ``items`` (item_id, text). The items are measured first: up
     to ``AUTOMATON_CHARS`` they form one automaton that travels to the documents and nothing
@@ -138,15 +157,15 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<long>").alias("items"),
     )
-    blocks = _ItemBlocks(items)
+    blocks = _ItemBlocks(items, window)
     for k, own in enumerate(blocks):
         last = k == len(blocks) - 1
         sent = spark.sparkContext.broadcast(own)
-        df = map_batches(df, lambda sent=sent, last=last: _scanner(sent, window, last), schema.replace("text string, ", "") if last else schema)
+        df = map_batches(df, lambda sent=sent, last=last: _scanner(sent, window, last, characters), schema.replace("text string, ", "") if last else schema)
     return df
 
 
-def _scanner(sent, window: int, last: bool):
+def _scanner(sent, window: int, last: bool, characters: bool):
     items = _loaded(sent, window)
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
 
@@ -159,6 +178,9 @@ def _scanner(sent, window: int, last: bool):
             if before:
                 spans = merged([*((x["start"], x["end"]) for x in before), *spans])
             n.append(len(words))
+            if last and characters and spans:
+                places = word_spans(text.as_py())
+                spans = [(places[a][0], places[b - 1][1]) for a, b in spans]
             hits.append([{"start": a, "end": b} for a, b in spans])
             found.append(sorted(ids.union(known) - {None}))
         columns = [pa.array(x, k) for x, k in zip((n, hits, found), kinds)]
@@ -188,7 +210,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
     Items of up to ``AUTOMATON_CHARS`` filter the rows in place; more take one pass per block.
     """
     at = docs.columns.index("text")
-    for own in _ItemBlocks(items):
+    for own in _ItemBlocks(items, window):
         sent = docs.sparkSession.sparkContext.broadcast(own)
 
         def work(sent=sent):

@@ -386,6 +386,27 @@ def test_decontamination(spark, monkeypatch, chars):
     assert decontaminate.clean_documents(empty(spark, "doc_id long, text string"), bench).collect() == []
 
 
+@pytest.mark.parametrize("chars", [1 << 20, 300])
+def test_decontamination_offsets_and_long_items(spark, monkeypatch, chars):
+    rng = random.Random(7)
+    words = [f"wörd{i}" for i in range(400)]
+    items = [(1, " ".join(rng.choice(words) for _ in range(300))), (2, "Alpha, BETA; gamma")]
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", chars)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 16)
+    long = items[0][1].split()
+    for n in (0, 1, 9, 10, 15, 16, 25, 26, 27, 42, 300):
+        parts = decontaminate.item_parts(long[:n], 10)
+        windows = [tuple(p[i : i + 10]) for p in parts for i in range(max(1, len(p) - 9))]
+        assert sorted(windows) == sorted(tuple(long[:n][i : i + 10]) for i in range(max(1, n - 9) if n else 0)) and all(len(p) <= 26 for p in parts)
+    texts = [f"é {' - '.join(long[k : k + 12]).upper().replace('Ö', 'ö')}! end" for k in range(0, 288, 7)] + ["so alpha (beta) GAMMA.", "none", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    assert got == {i: plain_contamination(t, items) for i, t in enumerate(texts)}
+    spans = {r["doc_id"]: [texts[r["doc_id"]][h["start"] : h["end"]] for h in r["hits"]] for r in decontaminate.occurrences(frame(spark, texts), bench, characters=True).collect()}
+    assert spans[len(texts) - 3] == ["alpha (beta) GAMMA"] and spans[len(texts) - 1] == []
+    assert all(spans[i] == [t[2:-5]] for i, t in enumerate(texts[:-3]))
+
+
 @pytest.mark.parametrize("chars", [1 << 20, 20])
 def test_decontamination_with_items_without_an_id(spark, monkeypatch, chars):
     monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", chars)
