@@ -182,8 +182,10 @@ def thresholds(found: DataFrame) -> dict[int, int]:
     The histogram has at most encodings x length classes x bins rows; so does what returns.
     """
     counted: dict[int, dict[int, int]] = {}
-    for r in found.select(F.explode("runs").alias("r")).groupBy("r.class", "r.bin").agg(F.count("*").alias("n")).collect():
-        counted.setdefault(r["class"], {})[r["bin"]] = r["n"]
+    # the outer explode, as the other one filters by the runs first and so computes them twice
+    for r in found.select(F.explode_outer("runs").alias("r")).groupBy("r.class", "r.bin").agg(F.count("r").alias("n")).collect():
+        if r["n"]:
+            counted.setdefault(r["class"], {})[r["bin"]] = r["n"]
     return {kind: last for kind, bins in counted.items() if (last := discovered(bins, kind)) >= 0}
 
 
