@@ -31,6 +31,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt_anew(counted: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate's rows, one a key, dealt by another hash than the join on ``keys`` that follows.
+
+    So they reach the join through a shuffle of its own. Adaptive execution only splits hot keys of
+    a join whose sides both do; straight from the aggregate, all rows of a hot key would meet in one task.
+    """
+    return counted.repartition(F.xxhash64(*keys))
+
+
 _SHIPPED: set[str] = set()
 
 

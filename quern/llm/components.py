@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import checkpointed, forget
+from quern.llm._spark import checkpointed, dealt_anew, forget
 
 #: Rounds after which the computation is given up as faulty; n nodes need about log2(n) squared at worst.
 MAX_ROUNDS = 200
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links may repeat and run either way; self links are ignored. Each round replaces a
     node's links by links to its smallest neighbour (groupBy with map-side minimum, then a
-    join whose large side adaptive execution may split) and is written to the checkpoint
+    join whose large side adaptive execution splits where a node has many) and is written to the checkpoint
     folder, so a lost executor costs one round at most; the round before is deleted then. Nothing but two sums reaches the driver.
     """
     edges = checkpointed(
@@ -30,9 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("least", "u").alias("m"))
+        least = dealt_anew(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("least", "u").alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         last, edges = edges, checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
         forget(last)

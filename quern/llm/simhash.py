@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm._spark import checkpointed, map_batches, map_partitions, maybe_members, members
+from quern.llm._spark import checkpointed, dealt_anew, map_batches, map_partitions, maybe_members, members
 from quern.llm.components import components
 
 #: Bits that linked fingerprints may differ in; blocks of each split. Fixed by the pigeonhole argument above.
@@ -169,7 +169,7 @@ def links(nodes: DataFrame) -> DataFrame:
         if 0 not in level:
             keyed = keyed.distinct()  # several coarser keys lead to one finer key
         many = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = checkpointed(keyed.join(many, ["mask", "key"]).select("mask", "key", "node", "fp", "n"))
+        shared = checkpointed(keyed.join(dealt_anew(many, "mask", "key"), ["mask", "key"]).select("mask", "key", "node", "fp", "n"))
         small = shared if final else shared.where(F.col("n") <= BUCKET)
         small = small.select("mask", "key", "node", "fp")
         dealt = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
@@ -352,14 +352,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     nodes = checkpointed(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     keyed = map_partitions(nodes.select("node", "sketch"), keys, "node long, band int, key long")
     many = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt(keyed.join(many, ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / BLOCK_ROWS))
+    shared = dealt(keyed.join(dealt_anew(many, "band", "key"), ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / BLOCK_ROWS))
     met = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
     groups = checkpointed(components(map_partitions(met, cell_links(sketch_closeness(similarity - MARGIN)), "a long, b long")))
     possible = maybe_members(worded, "doc_id", members(groups, "node"))
     firsts = checkpointed(possible.join(groups, F.col("doc_id") == F.col("node")).select("component", "node", "text").distinct())
     sizes = firsts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))
-    met = dealt(firsts.join(sizes, "component"), ["component"], blocks, "text").repartition("cell").sortWithinPartitions("cell", "node")
+    met = dealt(firsts.join(dealt_anew(sizes, "component"), "component"), ["component"], blocks, "text").repartition("cell").sortWithinPartitions("cell", "node")
     found = components(map_partitions(met, cell_links(shingle_closeness(shingle, similarity)), "a long, b long"))
     labels = checkpointed(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
     return prints.select("doc_id", "same").join(labels, "same").select("doc_id", "component_id")
