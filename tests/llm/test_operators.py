@@ -527,7 +527,7 @@ def keys_and_names(encoding, n, keys, names, seed):
 
 
 #: Random keys found of 200 among 1,000 text-like names, at least, and names reported, at most: by encoding and length.
-POWER = {("digits", 30): 0.5, ("hex", 24): 0.7, ("HEX", 24): 0.7, ("HEX", 32): 0.9, ("base32", 41): 0.5, ("lower36", 33): 0.5, ("base62", 32): 0.7, ("base62", 41): 0.9, ("base64url", 41): 0.8, ("base64", 64): 0.97}
+POWER = {("digits", 30): 0.5, ("HEX", 32): 0.9, ("lower36", 33): 0.5, ("base62", 32): 0.7, ("base64url", 41): 0.8, ("base64", 64): 0.97}
 
 
 def test_battery_finds_keys_among_names(spark):
@@ -707,8 +707,7 @@ def test_substring_dedup(spark, monkeypatch, crowd, shard):
     assert got == plain_dedup(texts, 50)
 
 
-@pytest.mark.parametrize("window", [1, 3, 7, 8, 12])
-@pytest.mark.parametrize("crowd", [4000, 1])
+@pytest.mark.parametrize("window, crowd", [(1, 4000), (3, 1), (7, 4000), (12, 1)])
 def test_substring_dedup_of_any_window(spark, monkeypatch, window, crowd):
     rng = random.Random(window)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
