@@ -57,8 +57,8 @@ def salted_join(large: DataFrame, small: DataFrame, on: Sequence[str], salts: in
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat rows")
-    total = large.agg(F.count("*").alias("_total"))
-    hot = large.groupBy(*on).agg(F.count("*").alias("_n")).join(F.broadcast(total)).where(F.col("_n") * salts > F.col("_total")).select(*on, F.lit(salts).alias("_salts"))
+    total = large.agg(F.count("*")).scalar()
+    hot = large.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") * salts > total).select(*on, F.lit(salts).alias("_salts"))
     salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     dealt = large.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_salts")
     repeated = small.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
@@ -72,10 +72,9 @@ def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame
     ``right`` decide that, and an anti join the rest, so neither side is broadcast as a null-aware
     anti join must be.
     """
-    facts = right.agg(F.count("*").alias("_rows"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    rows, nulls = right.agg(F.count("*")).scalar(), right.agg(F.count_if(F.col(other).isNull())).scalar()
     keys = right.where(F.col(other).isNotNull()).select(F.col(other).alias("_other")).distinct()
-    kept = left.join(keys, F.col(key) == F.col("_other"), "left_anti").join(F.broadcast(facts))
-    return kept.where((F.col("_rows") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())).drop("_rows", "_nulls")
+    return left.join(keys, F.col(key) == F.col("_other"), "left_anti").where((rows == 0) | ((nulls == 0) & F.col(key).isNotNull()))
 
 
 def salted_aggregate(df: DataFrame, by: Sequence[str], salts: int, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:

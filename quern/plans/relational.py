@@ -98,7 +98,7 @@ def last_view_at_purchase(t):
     events = t("events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("view_value"))
-    return as_of_join(bought, views, ["user_id"], "ts", "ts", ["view_value"]).select("event_id", "view_value")
+    return as_of_join(bought, views, ["user_id"], "ts", "ts", ["view_value"], lambda t: F.to_date(t)).select("event_id", "view_value")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
