@@ -251,7 +251,7 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
 class Remembered(dict):
     """What is known of chunks, bounded by entries and by the chunks' characters.
 
-    ``add`` also takes what is too long to keep; ``settle`` drops that again, and everything once the
+    ``learn`` also takes what is too long to keep; ``settle`` drops that again, and everything once the
     bounds are passed, so it is called when nothing of a block is needed any more.
     """
 
@@ -259,12 +259,13 @@ class Remembered(dict):
         super().__init__()
         self.entries, self.bytes, self.held, self.long = entries, size, 0, []
 
-    def add(self, chunk: str, value) -> None:
-        # about what the chunk, its ids and its decoded bytes take
-        self.held += 200 + 6 * len(chunk)
-        if len(chunk) > CACHED_CHARS:
-            self.long.append(chunk)
-        self[chunk] = value
+    def learn(self, chunks: list[str], values: Iterable) -> None:
+        self.update(zip(chunks, values))
+        # about what the chunks, their ids and their decoded bytes take
+        sizes = list(map(len, chunks))
+        self.held += 200 * len(sizes) + 6 * sum(sizes)
+        if max(sizes, default=0) > CACHED_CHARS:
+            self.long += [c for c in chunks if len(c) > CACHED_CHARS]
 
     def settle(self) -> None:
         if len(self) > self.entries or self.held > self.bytes:
@@ -290,8 +291,8 @@ class ByteCodec:
         words = [[w.encode() for w in self.bpe.words(c)] for c in new]
         distinct = list({w for ws in words for w in ws})
         ids_of = dict(zip(distinct, self.bpe.merge(distinct)))
-        for chunk, ws in zip(new, words):
-            self.known.add(chunk, self.digest(ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]]))
+        ids = (ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]] for ws in words)
+        self.known.learn(new, map(self.digest, ids))
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """The digest of each text, its new chunks being merged together first."""
@@ -301,7 +302,7 @@ class ByteCodec:
             for k, part in enumerate(self.bpe.segments(text)):
                 if k % 2:
                     if part not in self.known:
-                        self.known.add(part, self.digest([self.bpe.special[part]]))
+                        self.known.learn([part], [self.digest([self.bpe.special[part]])])
                     own.append(part)
                 elif part:
                     own += chunks(part)

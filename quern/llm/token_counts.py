@@ -28,8 +28,7 @@ class Counter:
         words = [[w.encode() for w in self.bpe.words(c)] for c in new]
         rest = list({w for ws in words for w in ws} - self.whole)
         merged = dict(zip(rest, map(len, self.bpe.merge(rest))))
-        for chunk, ws in zip(new, words):
-            self.known.add(chunk, sum(merged.get(w, 1) for w in ws))
+        self.known.learn(new, (sum(merged.get(w, 1) for w in ws) for ws in words))
 
     def texts(self, texts: list[str]) -> Iterator[int]:
         runs: list[list[str]] = []

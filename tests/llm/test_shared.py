@@ -70,18 +70,15 @@ def test_index_is_smaller_than_its_suffix_order():
 
 def test_remembered_chunks_are_bounded():
     known = bpe.Remembered(entries=3, size=10_000)
-    for k, chunk in enumerate(["a", "b" * 2000, "c"]):
-        known.add(chunk, k)
+    known.learn(["a", "b" * 2000, "c"], range(3))
     assert known["b" * 2000] == 1
     known.held = 0
     known.settle()
     assert dict(known) == {"a": 0, "c": 2} and not known.long
-    for chunk in "defg":
-        known.add(chunk, 0)
+    known.learn(list("defg"), [0] * 4)
     known.settle()
     assert not known and not known.held
-    known.add("x" * 1000, 1)
-    known.add("y" * 1000, 1)
+    known.learn(["x" * 1000, "y" * 1000], [1, 1])
     known.settle()
     assert not known  # by size
 
