@@ -52,39 +52,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class Bpe:
-    """A vocabulary with its merge ranks, read from the bytes of a tokenizers ``.json`` file."""
-
-    def __init__(self, content: bytes):
-        d = json.loads(content)
-        model = d["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.pair_of = {(self.ids[a], self.ids[b]): (i, self.ids[a + b]) for i, (a, b) in enumerate(merges)}
-        self.special: dict[str, int] = {a["content"]: a["id"] for a in d["added_tokens"]}
-        longest = sorted(self.special, key=len, reverse=True)
-        self.special_split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.letters = byte_letters()
-        self.first_ids = np.array([self.ids[c] for c in self.letters], np.int32)
-        self.last_ids = np.array([self.ids[c + self.end] for c in self.letters], np.int32)
-        self._table({m: i for i, m in enumerate(merges)})
-        self.lower = bool(d["normalizer"])
-        self.pattern = _exact(WORD_PATTERN if self.lower else BYTE_PATTERN)
-        of_letter = {c: b for b, c in enumerate(self.letters)}
-        self.token_bytes: dict[int, bytes] = {}
-        for token, i in [*self.ids.items(), *self.special.items()]:
-            try:
-                self.token_bytes[i] = bytes(of_letter[c] for c in token)
-            except KeyError:  # not in the byte alphabet: decoders print it as it is
-                self.token_bytes[i] = token.encode()
-
-    def _table(self, ranks: dict[tuple[str, str], int]) -> None:
-        """Open-addressing table from a pair of symbol ids to its rank and merged id, for array lookups."""
-        ids = self.ids
-        pairs = [(ids[a], ids[b], r, ids[a + b]) for (a, b), r in ranks.items()]
-        left, right, rank, merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 4
-        self.bits = max(4, (4 * len(pairs)).bit_length())
+def by_length(lengths: np.ndarray) -> list[np.ndarray]:
+    """The places of equal lengths, those of length zero left out."""
+    order = np.argsort(lengths, kind="stable")
+    order = order[np.searchsorted(lengths[order], 1) :]
+    return np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []
+
+
+class Merges:
+    """Pairs of symbols that merge, with their ranks; ``pairs`` has (left, right): (rank, merged symbol)."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        self.pairs = pairs
+        rows = [(a, b, r, m) for (a, b), (r, m) in pairs.items()]
+        left, right, rank, merged = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
+        # an open-addressing table, for array lookups
+        self.bits = max(4, (4 * len(rows)).bit_length())
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.rank_of, self.merged_of = np.full(size, NO_RANK, np.int32), np.zeros(size, np.int32)
@@ -110,57 +93,44 @@ class Bpe:
         ranks = np.where(self.keys[at] == keys, self.rank_of[at], NO_RANK)
         return ranks.reshape(shape), self.merged_of[at].reshape(shape)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (its UTF-8 bytes).
+    def rows(self, parts: np.ndarray) -> list[list[int]]:
+        """What each row of symbols merges to; all rows have one length.
 
-        Words of one length are merged side by side: a contiguous array of parts and one of
-        adjacent ranks per word. In each round every word's least rank is found by a scan,
-        leftmost first, the boundary there is deleted, and the two ranks that touch the grown
-        part are looked up again. A word leaves when none of its pairs has a rank.
+        A contiguous array of parts and one of adjacent ranks per row. In each round every row's least rank
+        is found by a scan, leftmost first, the boundary there is deleted, and the two ranks that
+        touch the grown part are looked up again. A row leaves when none of its pairs has a rank.
         """
-        out: list[list[int]] = [[]] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
-        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-        for rows in np.split(order, cuts) if len(words) else []:
-            n = int(lengths[rows[0]])
-            if n > SCAN_PARTS:
-                for r in rows.tolist():
-                    out[r] = self._heap(words[r])
-                continue
-            if not n:
-                continue
-            raw = np.frombuffer(b"".join([words[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), n)
-            parts = self.first_ids[raw]
-            parts[:, -1] = self.last_ids[raw[:, -1]]
-            ranks, grown = self._look_up(parts[:, :-1], parts[:, 1:])
-            while True:
-                width = parts.shape[1]
-                least = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
-                line = np.arange(len(rows))
-                going = ranks[line, least] != NO_RANK if width > 1 else np.zeros(len(rows), bool)
-                done = ~going
-                for r, ids in zip(rows[done].tolist(), parts[done].tolist()):
-                    out[r] = ids
-                if not going.any():
-                    break
-                rows, parts, ranks, grown, least = rows[going], parts[going], ranks[going], grown[going], least[going]
-                line, at = np.arange(len(rows)), least[:, None]
-                new = grown[line, least]
-                columns = np.arange(width - 1)
-                parts = np.take_along_axis(parts, columns + (columns > at), 1)
-                parts[line, least] = new
-                columns = columns[:-1] + (columns[:-1] >= at)
-                ranks, grown = np.take_along_axis(ranks, columns, 1), np.take_along_axis(grown, columns, 1)
-                for side, rows_there in ((least - 1, least > 0), (least, least < width - 2)):
-                    l, c = line[rows_there], side[rows_there]
-                    ranks[l, c], grown[l, c] = self._look_up(parts[l, c], parts[l, c + 1])
+        if parts.shape[1] > SCAN_PARTS:
+            return [self._heap(row) for row in parts]
+        out: list[list[int]] = [[]] * len(parts)
+        rows = np.arange(len(parts))
+        ranks, grown = self._look_up(parts[:, :-1], parts[:, 1:])
+        while True:
+            width = parts.shape[1]
+            least = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+            line = np.arange(len(rows))
+            going = ranks[line, least] != NO_RANK if width > 1 else np.zeros(len(rows), bool)
+            done = ~going
+            for r, ids in zip(rows[done].tolist(), parts[done].tolist()):
+                out[r] = ids
+            if not going.any():
+                break
+            rows, parts, ranks, grown, least = rows[going], parts[going], ranks[going], grown[going], least[going]
+            line, at = np.arange(len(rows)), least[:, None]
+            new = grown[line, least]
+            columns = np.arange(width - 1)
+            parts = np.take_along_axis(parts, columns + (columns > at), 1)
+            parts[line, least] = new
+            columns = columns[:-1] + (columns[:-1] >= at)
+            ranks, grown = np.take_along_axis(ranks, columns, 1), np.take_along_axis(grown, columns, 1)
+            for side, rows_there in ((least - 1, least > 0), (least, least < width - 2)):
+                l, c = line[rows_there], side[rows_there]
+                ranks[l, c], grown[l, c] = self._look_up(parts[l, c], parts[l, c + 1])
         return out
 
-    def _heap(self, word: bytes) -> list[int]:
-        """The same merges for one long word in n log n: a heap of pairs over a linked list."""
-        symbols, n = self.first_ids[np.frombuffer(word, np.uint8)], len(word)
-        symbols[-1] = self.last_ids[word[-1]]
+    def _heap(self, symbols: np.ndarray) -> list[int]:
+        """The same merges for one long row in n log n: a heap of pairs over a linked list."""
+        n = len(symbols)
         first = self._look_up(symbols[:-1], symbols[1:])
         symbols = symbols.tolist()
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -168,7 +138,7 @@ class Bpe:
         heapq.heapify(heap)
 
         def offer(i: int, j: int) -> None:
-            at = self.pair_of.get((symbols[i], symbols[j]))
+            at = self.pairs.get((symbols[i], symbols[j]))
             if at:
                 heapq.heappush(heap, (at[0], i, symbols[i], symbols[j], at[1]))
 
@@ -186,6 +156,46 @@ class Bpe:
                 offer(before[i], i)
         return [s for s in symbols if s >= 0]
 
+
+class Bpe:
+    """A vocabulary with its merge ranks, read from the bytes of a tokenizers ``.json`` file."""
+
+    def __init__(self, content: bytes):
+        d = json.loads(content)
+        model = d["model"]
+        self.ids: dict[str, int] = model["vocab"]
+        self.end = model.get("end_of_word_suffix") or ""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merges = Merges({(self.ids[a], self.ids[b]): (i, self.ids[a + b]) for i, (a, b) in enumerate(merges)})
+        self.special: dict[str, int] = {a["content"]: a["id"] for a in d["added_tokens"]}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.special_split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.letters = byte_letters()
+        self.first_ids = np.array([self.ids[c] for c in self.letters], np.int32)
+        self.last_ids = np.array([self.ids[c + self.end] for c in self.letters], np.int32)
+        self.lower = bool(d["normalizer"])
+        self.pattern = _exact(WORD_PATTERN if self.lower else BYTE_PATTERN)
+        of_letter = {c: b for b, c in enumerate(self.letters)}
+        self.token_bytes: dict[int, bytes] = {}
+        for token, i in [*self.ids.items(), *self.special.items()]:
+            try:
+                self.token_bytes[i] = bytes(of_letter[c] for c in token)
+            except KeyError:  # not in the byte alphabet: decoders print it as it is
+                self.token_bytes[i] = token.encode()
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word (its UTF-8 bytes); words of one length are merged side by side."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for rows in by_length(lengths):
+            n = int(lengths[rows[0]])
+            raw = np.frombuffer(b"".join([words[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), n)
+            parts = self.first_ids[raw]
+            parts[:, -1] = self.last_ids[raw[:, -1]]
+            for r, ids in zip(rows.tolist(), self.merges.rows(parts)):
+                out[r] = ids
+        return out
+
     def whole_tokens(self) -> set[bytes]:
         """Words, as bytes, that are proven to merge to one single token.
 

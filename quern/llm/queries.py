@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, secret_scan, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
+from quern.llm import bpe, chat, decontaminate, prefix_trie, secret_scan, sentence_pieces, simhash, spelling, substring_dedup, token_counts, topk, toxicity, url_filters
 from quern.llm._spark import table
 
 
@@ -57,9 +57,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(turns.union(extra.select("id", "turn", "role", "text")))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op5_topk, op6_decontamination, op7_secrets, op8_toxicity, op9_substring_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_bpe, op4_simhash, op5_topk, op6_decontamination, op7_secrets, op8_toxicity, op9_substring_dedup, op10_chat_format, op11_sentence_pieces, op12_spelling, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.sql(), "op5_topk": topk.sql(), "op6_decontamination": decontaminate.sql(), "op9_substring_dedup": substring_dedup.sql(), "op10_chat_format": chat.sql()}
+    return {"op2_url_filters": url_filters.sql(), "op5_topk": topk.sql(), "op6_decontamination": decontaminate.sql(), "op9_substring_dedup": substring_dedup.sql(), "op10_chat_format": chat.sql(), "op12_spelling": spelling.sql(), "op13_prefix_trie": prefix_trie.sql()}
