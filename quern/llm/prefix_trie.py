@@ -8,11 +8,12 @@ rounds that double the distance each node reaches, so a trie of depth d takes lo
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.llm._spark import checkpointed, dealt_anew, forget, map_partitions
+from quern.llm._spark import checkpointed, dealt_anew, map_partitions
 
 #: First turns that come from another conversation: fewer than ``HEADS`` of them, from the conversation at the last multiple of ``EVERY``.
 HEADS, EVERY = 6, 100
@@ -156,25 +157,31 @@ def end_digests(steps: DataFrame) -> DataFrame:
 def subtree_sums(nodes: DataFrame, sums: list[str], deepest: int) -> DataFrame:
     """(node, *sums): each of the columns ``sums`` added up over every node's subtree, the node included.
 
-    ``nodes`` has (node, parent, depth). After round k a node has the sums of all that lie fewer than 2^k below it, and
-    points to the ancestor 2^k above. A round hands every node's sums to where it points, added up by that
-    ancestor before they are joined, and doubles the pointers. Pointers that end at the root or above are
-    known by depth alone, so a root or a first turn with a large part of all nodes below is no hot
-    key of the join. Each round is written to the checkpoint folder and the one before deleted.
+    ``nodes`` has (node, parent, depth). Before round k a node has the sums of all that lie fewer than 2^k below it, and
+    points to the ancestor 2^k above. A round hands the node's sums to where it points, added up by that
+    ancestor first, and doubles the pointers. Only nodes that still have an ancestor that far up take
+    part in the next round; what the others are given meanwhile is put aside and added at the end, so rounds shrink
+    and a long conversation among short ones costs rounds of its own nodes alone. Pointers that
+    end at the root are known by depth, so it is no key of a join. Each round is written to the checkpoint folder.
     """
-    state = checkpointed(nodes.select("node", F.col("parent").alias("above"), "depth", *sums))
-    reach = 1
-    while reach <= deepest:
-        given = dealt_anew(state.where("above is not null").groupBy("above").agg(*(F.sum(c).alias(f"{c}_below") for c in sums)).withColumnRenamed("above", "node"), "node")
-        further = state.where(F.col("depth") > 2 * reach).select("node", "above")
-        ahead = dealt_anew(state.where(F.col("depth") > reach).select(F.col("node").alias("above"), F.col("above").alias("next")), "above")
-        moved = further.join(ahead, "above").select("node", "next")
-        total = [(F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in sums]
+    state = checkpointed(nodes.select("node", F.col("parent").alias("above"), "depth", *sums, F.lit(True).alias("points")))
+    aside, reach = [], 1
+    while True:
+        going = F.col("points") & (F.col("depth") >= 2 * reach)
+        aside.append(state.where(~going).select("node", *sums))
+        if reach > deepest:
+            break
+        given = state.where(F.col("points") & (F.col("depth") >= reach)).groupBy(F.col("above").alias("node"))
+        given = given.agg((F.first("depth") - reach).alias("depth"), *(F.sum(c).alias(c) for c in sums))
+        added = dealt_anew(given.where(F.col("depth") >= 2 * reach).select("node", *(F.col(c).alias(f"{c}_below") for c in sums)), "node")
+        ahead = dealt_anew(state.where(F.col("points") & (F.col("depth") > reach)).select(F.col("node").alias("above"), F.col("above").alias("next")), "above")
+        moved = state.where(going).join(ahead, "above", "left").join(added, "node", "left")
         above = F.when(F.col("depth") == 2 * reach, _root()).otherwise(F.col("next")).alias("above")
-        last, state = state, checkpointed(state.join(given, "node", "left").join(moved, "node", "left").select("node", above, "depth", *total))
-        forget(last)
+        moved = moved.select("node", above, "depth", *((F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in sums), "points")
+        put = given.where(F.col("depth") < 2 * reach).select("node", F.lit(None).cast("binary").alias("above"), "depth", *sums, F.lit(False).alias("points"))
+        state = checkpointed(moved.unionByName(put))
         reach *= 2
-    return state.select("node", *sums)
+    return reduce(DataFrame.unionByName, aside).groupBy("node").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def trie(steps: DataFrame) -> DataFrame:
