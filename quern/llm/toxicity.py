@@ -10,6 +10,7 @@ labelled rows (``SAMPLE``) that are not held out.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -44,6 +45,7 @@ DIGIT, NUMERAL = 6.0, 4.0
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^=+«»“”„’…¿¡"
 _DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+_RUNS = re.compile(r"(.)\1*", re.S)
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*·](?:[^\W_]|[@$!|+])){2,}(?!\S)")
 
 #: Letters of the character model: a-z, then U+00DF to U+00FF; any other letter; 0 is a word's edge.
@@ -88,6 +90,13 @@ class CharacterModel:
         table[0, 0, 0] = 0.5  # runs of separators are no text
         self.cost = -np.log(table / table.sum(2, keepdims=True))
         self.nested = self.cost.tolist()
+        self._coded: dict[Choices, list[tuple[str, float, tuple[int, ...]]]] = {}
+
+    def coded(self, choices: Choices) -> list[tuple[str, float, tuple[int, ...]]]:
+        """Readings with their costs and the codes of their letters."""
+        if choices not in self._coded:
+            self._coded[choices] = [(out, price, tuple(map(self.code, out))) for out, price in choices]
+        return self._coded[choices]
 
     @staticmethod
     def code(c: str) -> int:
@@ -95,46 +104,60 @@ class CharacterModel:
         return o - 96 if 97 <= o <= 122 else o - 0xDF + 27 if 0xDF <= o <= 0xFF and o != 0xF7 else _OTHER if c.isalpha() else 0
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+#: What a run of equal characters may be read as: texts with their costs.
+Choices = tuple[tuple[str, float], ...]
+
+
+@functools.lru_cache(4096)
+def readings(c: str, run: int) -> Choices:
+    """What ``run`` times the lower-case character ``c`` may be read as."""
+    if c.isalpha():
+        return ((c * run, 0.0),) if run < 3 else ((c, 0.0), (c * 2, DOUBLED))
+    rare = DIGIT * c.isdigit()
+    options = [("", DROPPED + rare), (" ", BREAK + rare)]
+    for x in LEET.get(c, ""):
+        options.append((x, AS_LETTER))
+        if run > 1:
+            options.append((x * 2, AS_LETTER + DOUBLED * (run > 2)))
+    return tuple(options)
+
+
+def lattice(token: str) -> list[Choices]:
     """What each run of equal characters of a lower-case token may be read as, with costs."""
-    out: list[list[tuple[str, float]]] = []
-    i = 0
-    while i < len(token):
-        c, j = token[i], i
-        while j < len(token) and token[j] == c:
-            j += 1
-        run, i = j - i, j
-        if c.isalpha():
-            options = [(c * run, 0.0)] if run < 3 else [(c, 0.0), (c * 2, DOUBLED)]
-        else:
-            rare = DIGIT * c.isdigit()
-            options = [("", DROPPED + rare), (" ", BREAK + rare)]
-            for x in LEET.get(c, ""):
-                options.append((x, AS_LETTER))
-                if run > 1:
-                    options.append((x * 2, AS_LETTER + DOUBLED * (run > 2)))
-        out.append(options)
-    return out
-
-
-def viterbi(options: list[list[tuple[str, float]]], model: CharacterModel) -> tuple[float, str]:
-    """Cost and text of the cheapest reading of a lattice under the character model, from one word edge to the other."""
-    cost, code = model.nested, model.code
-    # state: the last two codes; value: cost and text so far
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # readings of three or more are those of three
+    return [readings(m[0][0], min(len(m[0]), 3)) for m in _RUNS.finditer(token)]
+
+
+def viterbi(options: list[Choices], model: CharacterModel) -> tuple[float, str]:
+    """Cost and text of the cheapest reading of a lattice under the character model, from one word edge to the other.
+
+    A state has its cost and its last reading with a link to the one before, so time and memory grow with the lattice's length.
+    """
+    cost, coded = model.nested, model.coded
+    # state: the last two codes; value: cost so far, and (what came before, last reading)
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in options:
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (paid, text) in best.items():
-            for out, price in choices:
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (paid, before) in best.items():
+            for out, price, codes in coded(choices):
                 x, y, total = a, b, paid + price
-                for ch in out:
-                    z = code(ch)
+                for z in codes:
                     total += cost[x][y][z]
                     x, y = y, z
                 if (x, y) not in step or total < step[x, y][0]:
-                    step[x, y] = (total, text + out)
+                    step[x, y] = (total, (before, out) if out else before)
         best = step
-    return min((paid + cost[a][b][0], text) for (a, b), (paid, text) in best.items())
+    ends = [(paid + cost[a][b][0], last) for (a, b), (paid, last) in best.items()]
+    least = min(paid for paid, _ in ends)
+    return least, min(_read_back(last) for paid, last in ends if paid == least)
+
+
+def _read_back(last: tuple | None) -> str:
+    out = []
+    while last is not None:
+        last, text = last
+        out.append(text)
+    return "".join(reversed(out))
 
 
 def word_features(word: str) -> list[str]:
@@ -160,20 +183,20 @@ class Restorer:
             return []
         if token.isdecimal():
             # a number, unless its letters make a likelier word; all of its digits are stand-ins then
-            price, text = viterbi([[x for x in choices if x[0].isalpha()] for choices in lattice(token)], self.model) if token.isascii() else (math.inf, "")
+            price, text = viterbi([tuple(x for x in choices if x[0].isalpha()) for choices in lattice(token)], self.model) if token.isascii() else (math.inf, "")
             return [text] if price < NUMERAL * len(token) else []
         return list(dict.fromkeys(self.read(lattice(token))))
 
-    def read(self, options: list[list[tuple[str, float]]]) -> list[str]:
+    def read(self, options: list[Choices]) -> list[str]:
         return viterbi(options, self.model)[1].split()
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of runs of single characters with a gap between each two."""
         found = []
         for m in _SPACED.finditer(text):
-            options: list[list[tuple[str, float]]] = []
+            options: list[Choices] = []
             for k, c in enumerate(m[0]):
-                options += [[("", 0.0), (" ", BREAK)]] if k % 2 else lattice(c)
+                options += [(("", 0.0), (" ", BREAK))] if k % 2 else lattice(c)
             found += self.read(options)
         return found
 
