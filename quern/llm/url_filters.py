@@ -19,7 +19,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import map_batches
+from quern.llm._spark import checkpointed, map_batches
 
 #: Characters of rules in one index; longer lists are applied in several passes.
 INDEX_CHARS = 8 << 20
@@ -40,13 +40,13 @@ _TO_LOWER = {c: c + 32 for c in range(65, 91)}
 _PARTS = re.compile(r"(?s).*?://([^/?#]*)([^?#]*)")
 
 
-def pattern_regex(pattern: str) -> str:
-    """The regular expression of a pattern (searched, not anchored)."""
+def pattern_regex(pattern: str, end: str = r"\Z") -> str:
+    """The regular expression of a pattern (searched, not anchored); ``end`` is how the engine spells the end of the text."""
     body = pattern.removeprefix("@@")
     head = "://([^/?#]*[.@-])?" if body.startswith("||") else "^" if body.startswith("|") else ""
     body = body.lstrip("|")
-    tail = "$" if body.endswith("|") else ""
-    spelled = {"*": ".*", "^": "([^a-z0-9]|$)"}
+    tail = end if body.endswith("|") else ""
+    spelled = {"*": ".*", "^": f"([^a-z0-9]|{end})"}
     return head + "".join(spelled.get(c) or re.escape(c) for c in body.rstrip("|")) + tail
 
 
@@ -161,7 +161,9 @@ def judge_urls(pages: DataFrame, hosts: dict[str, str] = HOST_RULES, patterns: S
         kept = {t: counts.get(t, 0) for t in {t for x in p for t in literal_tokens(x)} | {t for x, _ in h for t in _TOKEN.findall(x.partition("/")[0])}}
         sent = df.sparkSession.sparkContext.broadcast((h, p, kept))
         schema = "page_id long, host string, path string, rule string, verdict string" if last else state
-        df = map_batches(df, lambda sent=sent, last=last: _pass(sent, last), schema)
+        judged = map_batches(df, lambda sent=sent, last=last: _pass(sent, last), schema)
+        # a pass of its own, so that a task holds one index in one worker
+        df = judged if last else checkpointed(judged)
     return df
 
 
@@ -199,7 +201,7 @@ def sql() -> str:
     longest = sorted(HOST_RULES, key=len, reverse=True)
     rule = " ".join(f"WHEN regexp_matches(host || path, {quoted(host_regex(r))}, 's') THEN {quoted(r)}" for r in longest)
     action = " ".join(f"WHEN {quoted(r)} THEN {quoted(a)}" for r, a in HOST_RULES.items())
-    fits = [" OR ".join(f"regexp_matches(u, {quoted(pattern_regex(p))}, 's')" for p in PATTERNS if p.startswith("@@") == e) for e in (False, True)]
+    fits = [" OR ".join(f"regexp_matches(u, {quoted(pattern_regex(p, '$'))}, 's')" for p in PATTERNS if p.startswith("@@") == e) for e in (False, True)]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH parts AS (
