@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm._spark import kept, map_batches
+from quern.llm._spark import checkpointed, forget, kept, map_batches
 
 #: Words of a window.
 WINDOW = 10
@@ -114,7 +114,7 @@ def item_parts(words: list[bytes], window: int) -> list[list[bytes]]:
 
 
 class _ItemBlocks:
-    """The items' parts in blocks of about ``AUTOMATON_CHARS``, measured first and fetched one block at a time."""
+    """The distinct parts of the items in blocks of about ``AUTOMATON_CHARS``, written once, measured, and fetched one block at a time."""
 
     def __init__(self, items: DataFrame, window: int):
         def work():
@@ -125,7 +125,7 @@ class _ItemBlocks:
             return each
 
         items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-        self.items = map_batches(items, work, "item_id long, text string")
+        self.items = checkpointed(map_batches(items, work, "item_id long, text string").distinct())
         size = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
         self.n = max(1, -(-int(size) // AUTOMATON_CHARS))
 
@@ -136,7 +136,7 @@ class _ItemBlocks:
         if k >= self.n:
             raise IndexError(k)
         block = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n))
-        return sorted({(r[0], r[1]) for r in self.items.where(block == k).collect()}, key=repr)
+        return sorted(((r[0], r[1]) for r in self.items.where(block == k).collect()), key=repr)
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, characters: bool = False) -> DataFrame:
@@ -146,8 +146,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, charact
 
     ``docs`` has (doc_id, text), ``items`` (item_id, text). The items are measured first: up
     to ``AUTOMATON_CHARS`` they form one automaton that travels to the documents and nothing
-    is shuffled; beyond that, blocks of that size are scanned one after the other and the
-    intervals carried along. Items without words have no window; an item without an id hits
+    is shuffled; beyond that, blocks of that size are scanned one after the other, each in a job of its
+    own that writes the texts with the intervals so far, so a task has one worker with one automaton
+    at a time. Items without words have no window; an item without an id hits
     like any other and is not among the items named. Null and empty documents have no words and
     no hits; repeated items and windows count once.
     """
@@ -161,10 +162,19 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, charact
     for k, own in enumerate(blocks):
         last = k == len(blocks) - 1
         sent = spark.sparkContext.broadcast(own)
-        df = map_batches(df, lambda sent=sent, last=last: _scanner(sent, window, last, characters), schema.replace("text string, ", "") if last else schema)
+        scanned = map_batches(df, lambda sent=sent, last=last: _scanner(sent, window, last, characters), schema.replace("text string, ", "") if last else schema)
+        df = scanned if last else _written(scanned, df, k)
     return df
 
 
+def _written(scanned: DataFrame, before: DataFrame, k: int) -> DataFrame:
+    """``scanned`` from the checkpoint folder; what the block before wrote is deleted."""
+    out = checkpointed(scanned)
+    if k:
+        forget(before)
+    return out
+
+
 def _scanner(sent, window: int, last: bool, characters: bool):
     items = _loaded(sent, window)
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
@@ -207,10 +217,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of ``items``, all columns as they are.
 
-    Items of up to ``AUTOMATON_CHARS`` filter the rows in place; more take one pass per block.
+    Items of up to ``AUTOMATON_CHARS`` filter the rows in place; more take one pass per block, which writes the
+    rows that are left.
     """
     at = docs.columns.index("text")
-    for own in _ItemBlocks(items, window):
+    blocks = _ItemBlocks(items, window)
+    for k, own in enumerate(blocks):
         sent = docs.sparkSession.sparkContext.broadcast(own)
 
         def work(sent=sent):
@@ -222,7 +234,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
 
             return each
 
-        docs = map_batches(docs, work, docs.schema)
+        left = map_batches(docs, work, docs.schema)
+        docs = left if k == len(blocks) - 1 else _written(left, docs, k)
     return docs
 
 

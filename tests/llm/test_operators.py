@@ -88,7 +88,7 @@ def test_url_filters(spark):
     urls = [
         None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.NET/x?y#z", "http://example.net/en/1", "http://w.example.net/en", "http://example.com/de/1", "http://xexample.com/de/1",
         "http://a.org/fr/", "http://a.org/fr", "http://org/fr/x", "ftp://u@casino.com/", "http://my-casino-win.com/x", "http://casinos.com/", "http://a.com/x.exe", "http://a.com/x.exe?y",
-        "http://help.x.com/responsible-gaming/casino", "http://research.com/casino/", "http://casino.research.com/", "http://a.com/popup/x/ad/", "http://a/\n.net/", "http://a.net/", "http://a.net/",
+        "http://help.x.com/responsible-gaming/casino", "http://research.com/casino/", "http://casino.research.com/", "http://a.com/popup/x/ad/", "http://a/\n.net/", "http://a.net/", "http://a.net/", "http://a.com/b.exe\n", "http://a.com/b.exe", "http://casino\n", "http://" + "a" * 300_000 + ".casino.com/" + "b" * 300_000 + ".exe",
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     for limit in (url_filters.INDEX_CHARS, 40):  # one pass, and many
@@ -418,6 +418,24 @@ def test_decontamination_with_items_without_an_id(spark, monkeypatch, chars):
     assert {r["doc_id"] for r in decontaminate.clean_documents(frame(spark, texts), bench).collect()} == {3, 4}
 
 
+def test_many_items_take_one_worker_a_task(spark, monkeypatch):
+    """Twenty blocks of items: every plan has one Python stage, and items that repeat are collected once."""
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 100)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)]
+    bench = spark.createDataFrame(items * 50, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items] + [(99, "clean"), (100, None)], "doc_id long, text string")
+    plans, plain = [], decontaminate.checkpointed
+    monkeypatch.setattr(decontaminate, "checkpointed", lambda df: plans.append(df) or plain(df))
+    blocks = decontaminate._ItemBlocks(bench, 10)
+    assert len(blocks) >= 20 and sum(map(len, blocks)) == 30
+    got = decontaminate.contamination(docs, bench)
+    left = decontaminate.clean_documents(docs, bench)
+    for df in [*plans, got, left]:
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") <= 1
+    assert {(r["doc_id"], r["n_items"], r["n_hit"]) for r in got.collect()} == {(i, 1, 12) for i in range(30)} | {(99, 0, 0), (100, 0, 0)}
+    assert {r["doc_id"] for r in left.collect()} == {99, 100}
+
+
 def test_word_spans():
     text = "Éa Bc--dé 9\x00x"
     assert [text[a:b] for a, b in decontaminate.word_spans(text)] == ["Éa", "Bc", "dé", "9", "x"]
@@ -635,6 +653,17 @@ def test_viterbi_finds_the_cheapest_of_all_readings():
     assert toxicity.viterbi([], model)[1] == ""
 
 
+def test_viterbi_is_linear_in_a_token():
+    restorer = toxicity.Restorer(character_model())
+    rng, seconds = random.Random(4), []
+    for size in (100_000, 800_000):
+        token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(size))
+        began = time.process_time()
+        assert sum(map(len, restorer.words(token))) > size / 2
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 20 * seconds[0]
+
+
 def test_digits_alone_may_be_words():
     counts = character_model()
     restorer = toxicity.Restorer(counts)
