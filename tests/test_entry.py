@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 from quern.plans import queries as plans
 
@@ -29,6 +31,24 @@ def test_the_rest_stands_alone(tmp_path):
         assert done.stdout.strip() == "True True", done.stderr
 
 
-def test_errors_inside_a_present_module_show():
+def test_a_missing_library_leaves_the_rest():
+    code = (
+        "import sys, warnings; sys.modules['ahocorasick'] = sys.modules['xxhash'] = None\n"
+        "import __spark_entry__ as e\n"
+        "with warnings.catch_warnings(record=True) as said:\n"
+        "    warnings.simplefilter('always')\n"
+        "    found = e.queries()\n"
+        "print(sorted(found) == sorted(e.plans.queries()), e.oracle_sql() == e.plans.oracle_sql(), any('left out' in str(w.message) for w in said))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={"PYTHONPATH": str(ROOT), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    said = importlib.util.find_spec("quern.llm") is not None
+    assert done.stdout.strip() == f"True True {said}", done.stderr
+
+
+def test_absent_modules_and_errors_inside_present_ones(tmp_path, monkeypatch):
     assert importlib.util.find_spec("quern.llm") is None or __spark_entry__._optional("quern.llm.queries") is not None
     assert __spark_entry__._optional("quern.absent") is None and __spark_entry__._optional("absent_package.module") is None
+    (tmp_path / "faulty_module.py").write_text("1 / 0")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.raises(ZeroDivisionError):
+        __spark_entry__._optional("faulty_module")
