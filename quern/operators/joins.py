@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.operators.statistics import heavy_hitters
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], period: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of its key at or before its time; null where none is.
@@ -47,18 +49,40 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], ti
     return sliced.join(cut, [*by, "_slice"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(stop))).drop("_slice")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, start: str, stop: str, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of intervals [start, stop) of whole numbers, of equal ``by``, that share a point; columns ``l`` and ``r`` hold the rows.
+
+    Time is cut into slices of ``width``. Of two that overlap, the later start lies within the other interval. So each
+    interval goes to the slice of its start, and once to every slice it covers; a start meets the
+    intervals that cover its slice, and each pair is met once, where its later start lies (equal starts count for
+    the left one), however many slices the two share. Intervals that are empty or lack a bound overlap nothing.
+    """
+    def sides(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        there = rows.where(F.col(start) < F.col(stop)).select(*(F.col(c).alias(f"_{c}") for c in by), F.struct(*rows.columns).alias(name))
+        a, b = F.col(f"{name}.{start}"), F.col(f"{name}.{stop}")
+        first = F.floor(a / width)
+        return there.withColumn("_slice", first), there.withColumn("_slice", F.explode(F.sequence(first, F.floor((b - 1) / width))))
+
+    l_start, l_cover = sides(left, "l")
+    r_start, r_cover = sides(right, "r")
+    on = [*(f"_{c}" for c in by), "_slice"]
+    a, b = F.col(f"l.{start}"), F.col(f"r.{start}")
+    later_right = l_cover.join(r_start, on).where((b > a) & (b < F.col(f"l.{stop}")))
+    later_left = l_start.join(r_cover, on).where((a >= b) & (a < F.col(f"r.{stop}")))
+    return later_right.select("l", "r").unionByName(later_left.select("l", "r"))
+
+
 def salted_join(large: DataFrame, small: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
     """Equi-join in which each hot key of ``large`` is spread over ``salts`` tasks, the rows of ``small`` for it being repeated.
 
     Hot is a key with more than one row in ``salts``: fewer than ``salts`` keys, whatever the data, so
-    they are broadcast. For joins that adaptive splitting can't help (an aggregate follows on the same
+    they are broadcast; they are found by summaries of fixed size, without an aggregate by key. For joins that adaptive splitting can't help (an aggregate follows on the same
     key). Rows are spread by position, equal ones too; ``large`` must come in an order that a lost
     task's second run repeats, as files and checkpoints do. ``how``: inner, left, left_semi, left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat rows")
-    total = large.agg(F.count("*")).scalar()
-    hot = large.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") * salts > total).select(*on, F.lit(salts).alias("_salts"))
+    hot = heavy_hitters(large, on, salts).select(*on, F.lit(salts).alias("_salts"))
     salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     dealt = large.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_salts")
     repeated = small.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import formats, functions, relational, streams  # noqa: F401  (their queries register themselves)
+from quern.plans import formats, functions, relational, scale, streams  # noqa: F401  (their queries register themselves)
 from quern.plans.registry import PLANS, Plan, Tables
 
 
