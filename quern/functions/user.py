@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def scalar(f: Callable[..., pd.Series], kind: str) -> Callable[..., Column]:
@@ -38,7 +39,7 @@ def aggregate(
     ``start`` reduces a batch's rows of a group (the given columns) to a state, a tuple of numbers;
     ``merge`` joins two states, ``finish`` turns the last into the columns of ``result`` (a schema).
     Each task merges its own states group by group and passes one row per group on, of the by
-    columns and the state; only those are shuffled.
+    columns and the state; only those are shuffled. States travel as doubles, so whole numbers beyond 2^53 lose digits.
     """
     keys, names = list(by), list(columns)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
@@ -75,3 +76,28 @@ def table_function(f: Callable[..., Iterable[tuple]], schema: str):
             yield from f(*arguments)
 
     return F.udtf(Rows, returnType=schema)
+
+
+def steps_of(column: str, name: str = "step"):
+    """A table function over any table with a whole-number ``column``: its rows, and how far that moved since the row before.
+
+    It takes a table argument; ``PARTITION BY`` deals the rows and ``ORDER BY`` sorts them within a partition. Its result's schema is
+    found by analysis: the argument's, and a last column ``name``. One row of state a partition.
+    """
+
+    class Steps:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            if not table.isTable or column not in table.dataType.fieldNames():
+                raise ValueError(f"a table with the column {column} is needed")
+            return AnalyzeResult(schema=T.StructType([*table.dataType.fields, T.StructField(name, T.LongType())]))
+
+        def __init__(self):
+            self.last = None
+
+        def eval(self, row):
+            now = row[column]
+            yield (*row, None if now is None or self.last is None else now - self.last)
+            self.last = now if now is not None else self.last
+
+    return F.udtf(Steps)

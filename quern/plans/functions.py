@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quern.functions import user
+from quern.functions import user, variants
+from quern.functions.columns import seconds
 from quern.plans.registry import query
 
 
@@ -103,3 +104,37 @@ def array_sets(t):
         "p_partkey", F.array_join(F.array_sort(F.array_distinct(name)), "|").alias("words"), F.array_join(F.reverse(name), " ").alias("backwards"),
         F.array_contains(F.split("p_type", " "), "PROMO").alias("promo"), F.size(F.array_intersect(name, F.split(F.lower("p_type"), " "))).cast("long").alias("common"),
     )
+
+
+def _steps_sql(table, key, row, time):
+    return f"SELECT '{table}' AS source, {key} AS k, {row} AS row_id, s - lag(s) OVER (PARTITION BY {key} ORDER BY s, {row}) AS step FROM (SELECT {key}, {row}, epoch_us({time}) // 1000000 AS s FROM {table})"
+
+
+@query(_steps_sql("orders", "o_custkey", "o_orderkey", "o_orderdate") + " UNION ALL " + _steps_sql("events", "user_id", "event_id", "ts"))
+def table_argument(t):
+    """One table function over two tables of different schemas, each dealt and sorted by its own columns."""
+    steps = user.steps_of("s")
+    orders = t("orders").select("o_custkey", "o_orderkey", seconds("o_orderdate").alias("s"), "o_orderstatus")
+    events = t("events").select(seconds("ts").alias("s"), "event_id", "user_id")
+    found = steps(orders.asTable().partitionBy("o_custkey").orderBy("s", "o_orderkey")).select(F.lit("orders").alias("source"), F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("row_id"), "step")
+    return found.unionAll(steps(events.asTable().partitionBy("user_id").orderBy("s", "event_id")).select(F.lit("events").alias("source"), F.col("user_id").alias("k"), F.col("event_id").alias("row_id"), "step"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract(props, '$.missing')) AS missing,
+  replace(replace(replace(json_group_structure(CAST(props AS JSON))::VARCHAR, '{"k":"UBIGINT"}', 'OBJECT<k: BIGINT>'), ' ', ''), ':B', ': B') AS shape FROM events GROUP BY event_type""")
+def variant_props(t):
+    """JSON parsed once: typed paths, one that is not there, and the schema that all values share."""
+    events = variants.parsed(t("events").select("event_type", "props"), "props", "v")
+    typed = variants.shredded(events, "v", {"k": ("$.k", "long"), "missing": ("$.missing", "string")})
+    shapes = variants.schema_by(events, "v", ["event_type"])
+    return typed.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.count("missing").alias("missing")).join(shapes, "event_type")
+
+
+@query("""SELECT key, kind, count(*) AS n FROM (SELECT unnest(CASE WHEN event_type = 'click' THEN ['event', 'k', 'user'] ELSE ['event', 'k'] END) AS key,
+  unnest(CASE WHEN event_type = 'click' THEN ['STRING', 'BIGINT', 'BIGINT'] ELSE ['STRING', 'BIGINT'] END) AS kind FROM events) GROUP BY ALL""")
+def variant_fields(t):
+    """Objects of different fields in one column, taken apart field by field."""
+    user_of = F.when(F.col("event_type") == "click", F.col("user_id"))
+    made = t("events").select(F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_type").alias("event"), user_of.alias("user"))).alias("j"))
+    found = variants.fields(variants.parsed(made, "j", "v"), "v", [])
+    return found.groupBy("key", F.schema_of_variant("value").alias("kind")).agg(F.count("*").alias("n"))

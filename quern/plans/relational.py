@@ -384,8 +384,10 @@ def collected_sets(t):
     return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_size")).cast("array<string>").alias("s")).select("p_type", F.array_join("s", ",").alias("sizes"))
 
 
-@query("SELECT l_linestatus, true AS near FROM lineitem GROUP BY l_linestatus")
+@query("""SELECT l_linestatus, count(DISTINCT l_partkey) AS n, CAST(floor(count(DISTINCT l_partkey) * 0.94) AS BIGINT) AS low, CAST(ceil(count(DISTINCT l_partkey) * 1.06) AS BIGINT) AS high, true AS within
+  FROM lineitem GROUP BY l_linestatus""")
 def approximate_distinct(t):
-    """A sketch, whose value other engines don't share: whether it is within three standard errors of the exact count."""
+    """A sketch, whose value other engines don't share: the exact count, three standard errors about it, and whether the estimate lies within."""
     counts = t("lineitem").groupBy("l_linestatus").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"), F.countDistinct("l_partkey").alias("n"))
-    return counts.select("l_linestatus", (F.abs(F.col("about") - F.col("n")) <= 0.06 * F.col("n")).alias("near"))
+    band = counts.withColumns({"low": F.floor(F.col("n") * 0.94), "high": F.ceil(F.col("n") * 1.06)})
+    return band.select("l_linestatus", "n", "low", "high", F.col("about").between(F.col("low"), F.col("high")).alias("within"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quern.functions.columns import seconds
 from quern.plans.registry import query
 from quern.sources.shared import fresh_folder
-from quern.streaming import state, windows
+from quern.streaming import state, timers, windows
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -71,3 +71,12 @@ def stream_static_join(t):
     bought = windows.stream(t.spark, t.folder, "events").where("event_type = 'purchase'").select("event_id", "user_id")
     customers = t("customer").select("c_custkey", "c_mktsegment")
     return _written(bought.join(customers, F.col("user_id") == F.col("c_custkey")).select("event_id", "c_mktsegment"))
+
+
+@query("""SELECT user_id, event_id, epoch_us(ts) AS at FROM events c WHERE event_type = 'click' AND ts + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTES FROM events WHERE event_type IN ('click', 'purchase'))
+  AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR)""")
+def stream_timers(t):
+    """Clicks that no purchase followed within an hour, told by a timer once the watermark has passed that hour."""
+    wanted = _events(t).where("event_type in ('click', 'purchase')")
+    with timers.store(t.spark):
+        return _written(timers.unanswered(wanted, "user_id", "ts", "event_id", "event_type", "click", "purchase", 3600))
