@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quern.plans.registry import query
-from quern.sources import tables
+from quern.sources import segments, tables
 from quern.sources.shared import fresh_folder
 
 
@@ -75,3 +75,22 @@ def evolving_schema(t):
         columns += [new] if new else []
         tables.write(orders.where(F.col("o_orderstatus") == status).select(*columns), folder, mode="append")
     return tables.read(t.spark, folder, mergeSchema=True).select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
+@query("SELECT event_id, user_id, ts, event_type, value FROM events WHERE event_id >= (SELECT count(*) // 2 FROM events)")
+def own_source(t):
+    """Events written by ranges of their id to a source of its own, and read with a filter that skips half of the segments."""
+    folder, events = fresh_folder(t.spark, "segments"), t("events").select("event_id", "user_id", "ts", "event_type", "value")
+    segments.write(events.repartitionByRange(16, "event_id"), folder)
+    return segments.read(t.spark, folder).where(F.col("event_id") >= t("events").count() // 2)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type <> 'error'")
+def own_source_stream(t):
+    """The same source at both ends of a stream: one table is read as commits come, another is written batch by batch."""
+    folder, events = fresh_folder(t.spark, "segments"), t("events").select("event_id", "user_id", "event_type", "value")
+    for k in range(3):
+        segments.write(events.where(F.col("event_id") % 3 == k), f"{folder}/in")
+    kept = segments.stream(t.spark, f"{folder}/in").where("event_type <> 'error'").select("event_id", "user_id", "value")
+    kept.writeStream.format(segments.NAME).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return segments.read(t.spark, f"{folder}/out")
