@@ -9,6 +9,7 @@ free, so the size of a bucket is bounded whatever the data, and no link is lost.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -251,16 +252,19 @@ def _cells(batches):
         yield pa.Table.from_batches(held)
 
 
-def cell_links(closeness):
+def cell_links(closeness, sided: bool = False):
     """Links within sorted runs of (cell, node, ...): a spanning forest of the close pairs of each cell.
 
-    ``closeness(rows)`` gives the function of a place and an array of later places that tells which are close.
+    ``closeness(rows)`` gives the function of a place and an array of later places that tells which are close. With
+    ``sided`` the fourth column is 0 for rows that are linked already and need no look at each other.
     """
 
     def run(batches):
         a, b = [], []
         for rows in _cells(batches):
             node, root, close = rows.column(1).to_pylist(), np.arange(rows.num_rows), closeness(rows)
+            if sided and len(joined := np.flatnonzero(np.asarray(rows.column(3)) == 0)):
+                root[joined] = joined[0]
             for i in range(len(node) - 1):
                 # pairs that are joined already need no second look
                 later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
@@ -316,6 +320,91 @@ def shingle_closeness(shingle: int, similarity: float):
     return closeness
 
 
+def judged_by_center(shingle: int, similarity: float):
+    """(component, node, center, text, state) of sorted rows (cell, is_center, component, node, text), a cell's centre first.
+
+    ``state`` is 0 for texts within ``similarity`` of the centre, 1 for those that could be within it of such a text,
+    2 for others. The distance 1 - similarity of sets is a metric: what is near one that is near the centre is at most
+    twice as far from the centre. A task holds the shingles of one centre and one text.
+    """
+    digest = xxhash.xxh64_intdigest
+
+    def hashes(text):
+        joined = joined_shingles(text, shingle)
+        return np.fromiter((digest(x) for x in joined), np.uint64, len(joined))
+
+    def run(batches):
+        center, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            kept, centers, states = [], [], []
+            for k, (first, node, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4))):
+                if first:
+                    center, own = node, hashes(text.as_py())
+                    continue
+                other = hashes(text.as_py())
+                common = np.intersect1d(own, other).size
+                share = common / (own.size + other.size - common)
+                kept.append(k)
+                centers.append(center)
+                states.append(0 if share >= similarity - 1e-12 else 1 if share >= 2 * similarity - 1 - 1e-9 else 2)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), pa.array(centers, pa.int64()), rows.column(4), pa.array(states, pa.int32())], ["component", "node", "center", "text", "state"])
+
+    return run
+
+
+def close_texts(texts: DataFrame, shingle: int, similarity: float) -> list[DataFrame]:
+    """Tables of links (a long, b long) that join, within each component of (component, node, text), the texts of that similarity.
+
+    A component that fits a block is compared as a whole in one cell. Of a larger one every text is first compared with one
+    centre, the smallest node: those linked to it need no look at each other. Texts that could be near one of them
+    are compared with them, block by block, and all that were not linked are a smaller component of the next round. So a
+    component of near copies of one text is sent about once, not once for each of its blocks. Where a round links less
+    than an eighth of the rows, what is left is compared block against block.
+    """
+    found, left, before = [], texts, None
+    compare = shingle_closeness(shingle, similarity)
+
+    def cells(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*columns).repartition("cell").sortWithinPartitions("cell", "node")
+
+    def parts(n: str, chars: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("long")
+
+    def part(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(blocks))
+
+    while True:
+        sizes = left.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("node").alias("center"))
+        sizes = checkpointed(sizes.withColumn("blocks", parts("n", "chars")))
+        large = sizes.where("blocks > 1").agg(F.sum("n")).first()[0] or 0
+        grown = left.join(dealt_anew(sizes, "component"), "component")
+        if not large or before is not None and 8 * large > 7 * before:
+            met = dealt(grown.select("component", "node", "text", "blocks"), ["component"], F.col("blocks"), "text")
+            found.append(map_partitions(met.repartition("cell").sortWithinPartitions("cell", "node"), cell_links(compare), "a long, b long"))
+            return found
+        before = large
+        small = grown.where("blocks = 1").withColumn("cell", F.xxhash64("component"))
+        found.append(map_partitions(cells(small, "cell", "node", "text"), cell_links(compare), "a long, b long"))
+        first = F.col("node") == F.col("center")
+        every = F.when(first, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(part("blocks")))
+        spread = grown.where("blocks > 1").select("component", "node", "text", first.alias("is_center"), F.explode(every).alias("block"))
+        spread = spread.select(F.xxhash64("component", "block").alias("cell"), "is_center", "component", "node", "text")
+        spread = spread.repartition("cell").sortWithinPartitions("cell", "component", F.desc("is_center"), "node")
+        judged = checkpointed(map_partitions(spread, judged_by_center(shingle, similarity), "component long, node long, center long, text string, state int"))
+        found.append(judged.where("state = 0").select(F.col("center").alias("a"), F.col("node").alias("b")))
+        # texts near the centre's, against those that could be near them
+        sides = judged.where("state < 2").groupBy("component").agg(*(f(F.when(F.col("state") == k, x)).alias(f"{name}{k}") for k in (0, 1) for name, f, x in (("n", F.count, F.lit(1)), ("chars", F.sum, F.length("text")))))
+        sides = sides.where("n0 > 0 and n1 > 0").select("component", parts("n0", "chars0").alias("blocks0"), parts("n1", "chars1").alias("blocks1"))
+        both = judged.where("state < 2").join(dealt_anew(sides, "component"), "component")
+        linked, near = F.col("state") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks1") - 1)
+        pairs = F.when(linked, F.transform(near, lambda j: F.struct(part("blocks0").alias("i"), j.alias("j"))))
+        pairs = pairs.otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks0") - 1), lambda i: F.struct(i.alias("i"), part("blocks1").alias("j"))))
+        crossed = both.select("component", "node", "text", "state", F.explode(pairs).alias("c")).withColumn("cell", F.xxhash64("component", "c.i", "c.j"))
+        found.append(map_partitions(cells(crossed, "cell", "node", "text", "state"), cell_links(compare, sided=True), "a long, b long"))
+        left = judged.where("state > 0").select("component", "node", "text")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
 
@@ -357,9 +446,6 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     groups = checkpointed(components(map_partitions(met, cell_links(sketch_closeness(similarity - MARGIN)), "a long, b long")))
     possible = maybe_members(worded, "doc_id", members(groups, "node"))
     firsts = checkpointed(possible.join(groups, F.col("doc_id") == F.col("node")).select("component", "node", "text").distinct())
-    sizes = firsts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))
-    met = dealt(firsts.join(dealt_anew(sizes, "component"), "component"), ["component"], blocks, "text").repartition("cell").sortWithinPartitions("cell", "node")
-    found = components(map_partitions(met, cell_links(shingle_closeness(shingle, similarity)), "a long, b long"))
+    found = components(reduce(DataFrame.unionByName, close_texts(firsts, shingle, similarity)))
     labels = checkpointed(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")))
     return prints.select("doc_id", "same").join(labels, "same").select("doc_id", "component_id")
