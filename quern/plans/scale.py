@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quern.functions.columns import seconds
 from quern.operators.inequality import inequality_aggregate
 from quern.operators.joins import overlap_join, salted_join
+from quern.operators.patterns import either, match_rows, repeated, sequence, some
 from quern.operators.scans import running
 from quern.operators.sketches import merged, per_period
 from quern.operators.statistics import exact_percentiles, heavy_hitters
@@ -128,3 +129,32 @@ def sketches_by_day(t):
         F.abs(F.col("about_users") - F.col("users")).__le__(F.col("users") * 0.05).alias("users_near"),
         F.abs(F.col("rank") - 0.5).__le__(0.02).alias("median_near"), F.abs(F.col("about_both") - F.col("both")).__le__(F.col("both") * 0.05 + 2).alias("both_near"),
     )
+
+
+def _steps(t) -> tuple[DataFrame, dict]:
+    events = t("events").select("event_id", "user_id", "event_type", "ts", seconds("ts").alias("s"))
+    return events, {name: F.col("event_type") == name for name in ("view", "click", "signup", "purchase")}
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) // 1000000 AS s, row_number() OVER w AS rn, count(*) FILTER (event_type IS DISTINCT FROM 'view') OVER (w ROWS UNBOUNDED PRECEDING) AS others,
+    lag(event_type) OVER w AS b1, lag(event_type, 2) OVER w AS b2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id))
+  SELECT p.user_id, p.event_id, p.rn - min(v.rn) + 1 AS n_rows, arg_min(v.event_id, v.rn) AS first_event, min(v.s) AS started
+  FROM e p JOIN e v ON v.user_id IS NOT DISTINCT FROM p.user_id AND v.event_type = 'view' AND v.others = p.others - 2 AND p.s - v.s <= 86400
+  WHERE p.event_type = 'purchase' AND p.b1 = 'click' AND p.b2 = 'view' GROUP BY p.user_id, p.event_id, p.rn""")
+def purchases_after_views(t):
+    """Row pattern by user: views, a click and a purchase within a day, with as many of the views as the day holds."""
+    events, conditions = _steps(t)
+    pattern = sequence(some("view"), "click", "purchase")
+    found = match_rows(events, ["ts", "event_id"], pattern, conditions, ["user_id"], {"first_event": "event_id", "started": "s"}, within=("s", 86400))
+    return found.select("user_id", "event_id", "n_rows", "first_event", "started")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, event_id) AS rn FROM events),
+  m AS (SELECT *, max(rn) FILTER (event_type IS NULL OR event_type NOT IN ('click', 'signup')) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM e)
+  SELECT m.event_id, m.rn - v.rn + 1 AS n_rows, v.event_id AS first_event FROM m JOIN e v ON v.rn = m.at WHERE m.event_type = 'purchase' AND v.event_type = 'view'""")
+def shortest_paths_to_purchase(t):
+    """Row pattern over all events, without a key: a view, any clicks and signups, a purchase."""
+    events, conditions = _steps(t)
+    pattern = sequence("view", repeated(either("click", "signup")), "purchase")
+    found = match_rows(events, ["ts", "event_id"], pattern, conditions, at_start={"first_event": "event_id"}, longest=False)
+    return found.select("event_id", "n_rows", "first_event")
