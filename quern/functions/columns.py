@@ -14,5 +14,10 @@ def seconds(time: str) -> Column:
     return F.unix_timestamp(F.col(time).cast("timestamp"))
 
 
+def nearest_second(time: str) -> Column:
+    """The same rounded, halves to the even second, as DuckDB's ``epoch(time)::BIGINT`` gives it."""
+    return F.rint(F.unix_micros(F.col(time).cast("timestamp")) / 1e6).cast("long")
+
+
 def json_text(column: str, field: str) -> Column:
     return F.get_json_object(column, f"$.{field}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quern.functions.columns import json_text, revenue, seconds
+from quern.functions.columns import json_text, nearest_second, revenue, seconds
 from quern.operators.joins import as_of_join, interval_join, not_in, salted_join
 from quern.operators.ranking import top_k, top_k_per_group
 from quern.plans.registry import query
@@ -86,7 +86,7 @@ def theta_join(t):
 @query("""SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON e.user_id = p.user_id
   AND p.event_type = 'purchase' AND e.event_type = 'click' AND epoch(e.ts)::BIGINT >= epoch(p.ts)::BIGINT - 3600 AND epoch(e.ts)::BIGINT < epoch(p.ts)::BIGINT""")
 def clicks_before_purchase(t):
-    events = t("events").select("event_id", "user_id", "event_type", seconds("ts").alias("s"))
+    events = t("events").select("event_id", "user_id", "event_type", nearest_second("ts").alias("s"))
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "s")
     hours = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", (F.col("s") - 3600).alias("start"), F.col("s").alias("stop"))
     return interval_join(clicks, hours, ["user_id"], "s", "start", "stop", 3600).select("event_id", "purchase_id")
