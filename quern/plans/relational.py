@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quern.functions.columns import json_text, nearest_second, revenue, seconds
+from quern.functions.columns import json_text, nearest_second, revenue
 from quern.operators.joins import as_of_join, interval_join, not_in, salted_join
 from quern.operators.ranking import top_k, top_k_per_group
 from quern.plans.registry import query
@@ -195,7 +195,7 @@ def neighbours(t):
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS last_day FROM events""")
 def range_frame(t):
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)
-    return t("events").select("event_id", "user_id", seconds("ts").alias("s")).select("event_id", F.count("*").over(w).alias("last_day"))
+    return t("events").select("event_id", "user_id", nearest_second("ts").alias("s")).select("event_id", F.count("*").over(w).alias("last_day"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

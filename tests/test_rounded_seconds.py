@@ -36,3 +36,7 @@ def check(spark, folder, name):
 
 def test_clicks_before_purchase(spark, halves):
     check(spark, halves, "clicks_before_purchase")
+
+
+def test_range_frame(spark, halves):
+    check(spark, halves, "range_frame")
