@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.operators.scans import running
 from quern.operators.statistics import heavy_hitters
 
 
@@ -72,6 +73,28 @@ def overlap_join(left: DataFrame, right: DataFrame, start: str, stop: str, width
     return later_right.select("l", "r").unionByName(later_left.select("l", "r"))
 
 
+def overlap_totals(intervals: DataFrame, start: str, stop: str, count: str, shared: str) -> DataFrame:
+    """Each interval [start, stop) of whole numbers with how many of all ``intervals`` share a point with it, itself included, and
+    the sum of the lengths that it shares with them.
+
+    No pairs are made. What overlaps has begun before the stop and not ended by the start, and the lengths shared add up to the
+    number of intervals under way, summed over the interval's time. Both follow from running counts and sums over the distinct
+    bounds, a prefix scan; an interval looks up its two bounds there. Intervals that are empty or lack a bound are left out.
+    """
+    whole = intervals.where(F.col(start) < F.col(stop))
+    bounds = whole.select(F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("t"), F.lit(k).cast("long").alias("k")) for c, k in ((start, 1), (stop, -1))))).alias("b")).select("b.*")
+    # of each bound: what begins and ends there; the moments are counted from the first one, so that sums stay small
+    first = bounds.agg(F.min("t")).first()[0] or 0
+    at = bounds.groupBy("t").agg(F.count_if(F.col("k") > 0).alias("begun"), F.count_if(F.col("k") < 0).alias("ended"))
+    at = at.withColumn("moved", (F.col("begun") - F.col("ended")) * (F.col("t") - first))
+    # up to t the time under way is t times the number under way, less the sum of begins and plus that of ends
+    upto = running(at, ["t"], {"begins": "begun", "ends": "ended", "moves": "moved"})
+    upto = upto.select("t", "ends", (F.col("begins") - F.col("begun")).alias("before"), ((F.col("t") - first) * (F.col("begins") - F.col("ends")) - F.col("moves")).alias("under_way"))
+    a, b = (upto.select(F.col("t").alias(f"_{n}"), *(F.col(c).alias(f"_{n}_{c}") for c in columns)) for n, columns in (("a", ("ends", "under_way")), ("b", ("before", "under_way"))))
+    found = whole.join(a, F.col(start) == F.col("_a")).join(b, F.col(stop) == F.col("_b"))
+    return found.select(*intervals.columns, (F.col("_b_before") - F.col("_a_ends")).alias(count), (F.col("_b_under_way") - F.col("_a_under_way")).alias(shared))
+
+
 def salted_join(large: DataFrame, small: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
     """Equi-join in which each hot key of ``large`` is spread over ``salts`` tasks, the rows of ``small`` for it being repeated.
 

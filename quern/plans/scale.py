@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.functions.columns import seconds
 from quern.operators.inequality import inequality_aggregate
-from quern.operators.joins import overlap_join, salted_join
+from quern.operators.joins import overlap_totals, salted_join
 from quern.operators.patterns import either, match_rows, repeated, sequence, some
 from quern.operators.scans import running
 from quern.operators.sketches import merged, per_period
@@ -56,9 +56,10 @@ def overlapping_sessions(t):
     fresh = F.when(F.col("s") < F.lag("s").over(by_user) + 1800, 0).otherwise(1)
     marked = t("events").select("user_id", seconds("ts").alias("s")).withColumn("fresh", fresh).withColumn("k", F.sum("fresh").over(by_user))
     sessions = marked.groupBy("user_id", "k").agg(F.min("s").alias("start"), (F.max("s") + 1800).alias("stop")).drop("k")
-    pairs = overlap_join(sessions, sessions, "start", "stop", 3600).where("l.user_id <> r.user_id")
-    shared = F.least("l.stop", "r.stop") - F.greatest("l.start", "r.start")
-    return pairs.groupBy("l.user_id", "l.start").agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
+    # sessions of one user don't overlap, so of those that do only itself is no other user's; null is no user
+    totals = overlap_totals(sessions.where("user_id is not null"), "start", "stop", "n", "shared")
+    others = totals.select("user_id", "start", (F.col("n") - 1).alias("n"), (F.col("shared") - (F.col("stop") - F.col("start"))).alias("shared"))
+    return others.where("n > 0")
 
 
 @query("""SELECT a.o_orderkey, count(b.o_orderkey) AS n, CAST(coalesce(sum(b.o_custkey), 0) AS BIGINT) AS total
