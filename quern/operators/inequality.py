@@ -1,21 +1,57 @@
-"""Joins on two inequalities and no equal key, by sorted permutations and bit arrays over tiles."""
+"""Joins on two inequalities and no equal key, by strips of quantiles and a wavelet matrix in each."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-#: Rows of a tile, about, and tiles along one side of the grid at most.
-TILE_ROWS, MAX_SIDE = 8192, 64
+#: Rows of a strip, both sides together, about, and strips each way at most: then strips grow, and the table of tiles does not.
+TILE_ROWS, MAX_SIDE = 1 << 17, 512
 
 
-def _below(x: Column, cuts: list[float], strict: bool) -> Column:
-    """How many of the cuts are below ``x`` (or at most ``x``)."""
-    marks = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(marks, lambda c: (c < x) if strict else (c <= x)))
+def _cuts(quantiles: list[float]) -> np.ndarray:
+    """Cuts between strips. A value met by two quantiles or more gets a strip of its own, which can then be told by its cuts."""
+    cuts = set(quantiles) | {math.nextafter(c, math.inf) for c, d in zip(quantiles, quantiles[1:]) if c == d}
+    return np.array(sorted(cuts))
+
+
+def _single(cuts: np.ndarray) -> np.ndarray:
+    """Of each strip whether it holds one value only."""
+    return np.r_[False, np.nextafter(cuts[:-1], np.inf) == cuts[1:], False] if len(cuts) else np.zeros(1, bool)
+
+
+def _first_beyond(single: np.ndarray, strict: bool) -> np.ndarray:
+    """Of each strip the first one that is beyond it as a whole: the next, or a strip of equal values itself if these fulfil the condition."""
+    return np.arange(len(single)) + np.where(single & (not strict), 0, 1)
+
+
+def _beyond(x, y, v, lx, ly, strict_x: bool, strict_y: bool):
+    """How many right rows (x, y, v) are beyond each left row (lx, ly) both ways, and the sums of their v.
+
+    The right rows in descending order of x are an array of places in the order of y; a left row asks how many of its
+    first ones are at a place or after it. The array is dealt bit by bit, the highest first, and all left rows walk down
+    together, adding up the ones where their own bit is zero.
+    """
+    order = np.argsort(y, kind="stable")
+    x, y, v = x[order], y[order], v[order]
+    place = np.argsort(-x, kind="stable")
+    low, high = np.zeros(len(lx), np.int64), np.searchsorted(-x[place], -lx, "left" if strict_x else "right")
+    least = np.searchsorted(y, ly, "right" if strict_y else "left")
+    n, total = np.zeros(len(lx), np.int64), np.zeros(len(lx), np.int64)
+    for bit in reversed(range(len(y).bit_length())):
+        ones = place >> bit & 1
+        count, sums = np.r_[0, np.cumsum(ones)], np.r_[0, np.cumsum(np.where(ones, v[place], 0))]
+        here = (least >> bit & 1) == 0
+        n += np.where(here, count[high] - count[low], 0)
+        total += np.where(here, sums[high] - sums[low], 0)
+        zeros = len(place) - count[-1]
+        low, high = (np.where(here, at - count[at], zeros + count[at]) for at in (low, high))
+        place = np.concatenate([place[ones == 0], place[ones == 1]])
+    sums = np.r_[0, np.cumsum(v[place])]
+    return n + high - low, total + sums[high] - sums[low]
 
 
 def inequality_aggregate(left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], key: str, value: str) -> DataFrame:
@@ -24,99 +60,87 @@ def inequality_aggregate(left: DataFrame, right: DataFrame, first: tuple[str, st
     A condition is (left column, one of < <= > >=, right column), compared as doubles; rows with a null or NaN fulfil none.
     ``key`` tells left rows apart. Left rows without a partner have 0 and 0.
 
-    Both sides are cut into tiles by quantiles of the two columns. Two tiles whose ranges fulfil both conditions count as a
-    whole, by their totals; those whose ranges break one are never met; only tiles in one row or column of the grid are
-    compared. There the right rows are sorted by both columns; walking the left rows in the order of the first, a bit array
-    over the second order holds the right rows that fulfil the first condition, and a run of its bits those that fulfil both.
-    No pairs are written, and no plan has a nested loop. Totals of the tiles (``MAX_SIDE`` squared at most) reach the driver.
+    Both columns are cut into strips by quantiles of both sides. Right rows in a tile that is beyond a left row's both ways count as
+    a whole, by the tile's totals. Those of its own strip of the first column are compared in a task that has that strip, and those of its own
+    strip of the second, in strips beyond it of the first, in a task that has that one. So a row is sent to two strips at most,
+    and a strip of n rows costs n log n. A strip of one value needs no look: its rows fulfil a condition all or none.
+    No pairs are written, and no plan has a nested loop. Totals of the tiles (``MAX_SIDE`` squared or so) reach the driver.
     """
     (lx, op_x, rx), (ly, op_y, ry) = first, second
+    spark, strict_x, strict_y = left.sparkSession, len(op_x) == 1, len(op_y) == 1
 
-    def side(rows: DataFrame, x: str, y: str, *others: Column) -> DataFrame:
-        # a > is a < of the negated columns
-        signs = [F.lit(-1.0 if op[0] == ">" else 1.0) for op in (op_x, op_y)]
-        out = rows.select(*others, (F.col(x).cast("double") * signs[0]).alias("x"), (F.col(y).cast("double") * signs[1]).alias("y"))
-        return out.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-
-    strict_x, strict_y = len(op_x) == 1, len(op_y) == 1
-    l = side(left, lx, ly, F.col(key).alias("key"), F.lit(0).cast("long").alias("v"))
-    r = side(right, rx, ry, F.lit(None).cast(left.schema[key].dataType).alias("key"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("v"))
-    rows = right.count()
-    tiles = min(MAX_SIDE, max(1, round((rows / TILE_ROWS) ** 0.5)))
-    shares = [k / tiles for k in range(1, tiles)]
-    cuts = [sorted({float(c) for c in q}) for q in r.approxQuantile(["x", "y"], shares, 0.25 / tiles)] if shares and rows else [[], []]
-    # of two rows with different places the one of the smaller place is smaller for certain
-    place = [_below(F.col(c), own, strict=False).alias(f"_{c}") for c, own in zip("xy", cuts)]
-    l, r = (d.select("*", *place) for d in (l, r))
-    sides = [len(c) + 1 for c in cuts]
-    totals = np.zeros((2, sides[0] + 1, sides[1] + 1), np.int64)
-    for t in r.groupBy("_x", "_y").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect():
-        totals[:, t["_x"], t["_y"]] = t["n"], t["v"]
-    # of each left tile: right tiles beyond it in both directions
-    beyond = np.flip(np.flip(totals, (1, 2)).cumsum(1).cumsum(2), (1, 2))[:, 1:, 1:]
-    whole = F.broadcast(left.sparkSession.createDataFrame([(i, j, *map(int, beyond[:, i, j])) for i in range(sides[0]) for j in range(sides[1])], "_x int, _y int, whole_n long, whole_v long"))
-    counted = l.join(whole, ["_x", "_y"]).select("key", F.col("whole_n").alias("n"), F.col("whole_v").alias("total"))
-
-    # a cell is a left tile and a right tile of its column at or beyond its row, or of its row beyond its column
-    here = [F.struct(F.col("_x").alias("i"), F.col("_y").alias("j"))]
-    in_column = F.transform(F.sequence(F.col("_y"), F.lit(sides[1] - 1)), lambda j: F.struct(F.col("_x").alias("i"), j.alias("j")))
-    in_row = F.filter(F.transform(F.sequence(F.col("_x"), F.lit(sides[0] - 1)), lambda i: F.struct(i.alias("i"), F.col("_y").alias("j"))), lambda c: c["i"] > F.col("_x"))
-    to_cells = l.select("key", "v", "x", "y", F.lit(0).alias("side"), here[0].alias("a"), F.explode(F.concat(in_column, in_row)).alias("b"))
-    back_column = F.transform(F.sequence(F.lit(0), F.col("_y")), lambda j: F.struct(F.col("_x").alias("i"), j.alias("j")))
-    back_row = F.filter(F.transform(F.sequence(F.lit(0), F.col("_x")), lambda i: F.struct(i.alias("i"), F.col("_y").alias("j"))), lambda c: c["i"] < F.col("_x"))
-    from_cells = r.select("key", "v", "x", "y", F.lit(1).alias("side"), F.explode(F.concat(back_column, back_row)).alias("a"), here[0].alias("b"))
-    cells = to_cells.unionByName(from_cells).select(F.xxhash64("a.i", "a.j", "b.i", "b.j").alias("cell"), "a", "b", "side", "key", "x", "y", "v")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "a.i", "a.j", "b.i", "b.j", F.desc("side"))
-
-    def compare(batches):
-        def met(x, y, v, lx, ly):
-            """Counts and sums of the right rows (x, y, v) beyond each left row."""
-            order = np.argsort(y, kind="stable")  # the bit array's order
-            x, y, v = x[order], y[order], v[order]
-            by_x = np.argsort(-x, kind="stable")  # the largest first: they fulfil the first condition soonest
-            bits = np.zeros(len(y), bool)
-            sums = np.zeros(len(y), np.int64)
-            from_y = np.searchsorted(y, ly, "right" if strict_y else "left")
-            upto = np.searchsorted(-x[by_x], -lx, "left" if strict_x else "right")
-            n, total, done = np.zeros(len(lx), np.int64), np.zeros(len(lx), np.int64), 0
-            for i in np.argsort(upto, kind="stable").tolist():
-                new = by_x[done : upto[i]]
-                bits[new], sums[new] = True, v[new]
-                done = max(done, int(upto[i]))
-                n[i], total[i] = np.count_nonzero(bits[from_y[i] :]), sums[from_y[i] :].sum()
-            return n, total
-
-        cell, rights, lefts = None, [], []
-
-        def flush():
-            if lefts and rights:
-                x, y, v = (np.concatenate([r[k] for r in rights]) for k in range(3))
-                # left rows are compared piece by piece, so that only the right tile is held beside them
-                for keys, lx, ly in lefts:
-                    n, total = met(x, y, v, lx, ly)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(total)], ["key", "n", "total"])
+    def side(rows: DataFrame, x: str, y: str, which: int, own_key, own_value) -> DataFrame:
+        # a > is a < of the negated columns; adding zero makes a negative zero positive
+        columns = (F.col(c).cast("double") * F.lit(-1.0 if op[0] == ">" else 1.0) + 0.0 for c, op in ((x, op_x), (y, op_y)))
+        return rows.select(F.lit(which).alias("side"), own_key.alias("key"), *(c.alias(n) for c, n in zip(columns, "xy")), own_value.alias("v"))
 
+    kind = left.schema[key].dataType.simpleString()
+    l = side(left, lx, ly, 0, F.col(key), F.lit(0).cast("long"))
+    r = side(right, rx, ry, 1, F.lit(None).cast(left.schema[key].dataType), F.coalesce(F.col(value).cast("long"), F.lit(0)))
+    there = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    both = l.where(there).unionByName(r.where(there))
+    strips = min(MAX_SIDE, max(1, math.ceil(both.count() / TILE_ROWS)))
+    shares = [k / strips for k in range(1, strips)]
+    quantiles = both.approxQuantile(["x", "y"], shares, 0.25 / strips) if shares else [[], []]
+    cuts = [_cuts([float(c) for c in q]) for q in quantiles]
+    single = [_single(c) for c in cuts]
+    beyond = [_first_beyond(s, strict) for s, strict in zip(single, (strict_x, strict_y))]
+    sides = [len(s) for s in single]
+
+    def placed(batches):
+        """Each row with its strips, of two values of different strips the smaller in the lower one."""
         for batch in batches:
-            ids = [*zip(*(np.asarray(batch.column(k).field(f)).tolist() for k in (0, 1) for f in (0, 1)))]
-            side = np.asarray(batch.column(2))
-            at = 0
-            while at < len(ids):
-                end = at + 1
-                while end < len(ids) and ids[end] == ids[at] and side[end] == side[at]:
-                    end += 1
-                if ids[at] != cell:
-                    yield from flush()
-                    cell, rights, lefts = ids[at], [], []
-                own = batch.slice(at, end - at)
-                x, y, v = (np.asarray(own.column(k)) for k in (4, 5, 6))
-                if side[at]:
-                    rights.append((x, y, v))
-                else:
-                    lefts.append((own.column(3), x, y))
-                at = end
-        yield from flush()
+            columns = [batch.column(k) for k in range(batch.num_columns)]
+            i, j = (np.searchsorted(c, np.asarray(columns[k]), "right").astype(np.int32) for c, k in zip(cuts, (2, 3)))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(i), pa.array(j)], ["side", "key", "x", "y", "v", "i", "j"])
 
-    kind = left.schema[key].dataType.simpleString()
-    partial = cells.drop("cell").mapInArrow(compare, f"key {kind}, n long, total long")
-    every = left.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
-    return counted.unionByName(partial).unionByName(every).groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumnRenamed("key", key)
+    rows = both.mapInArrow(placed, f"side int, key {kind}, x double, y double, v long, i int, j int")
+    totals = np.zeros((2, sides[0] + 1, sides[1] + 1), np.int64)
+    for t in rows.where("side = 1").groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect():
+        totals[:, t["i"], t["j"]] = t["n"], t["v"]
+    after = np.flip(np.flip(totals, (1, 2)).cumsum(1).cumsum(2), (1, 2))
+    sent = spark.sparkContext.broadcast(after[:, beyond[0][:, None], beyond[1][None, :]])
+
+    def by_tiles(batches):
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
+            whole = ~(np.isnan(x) | np.isnan(y))
+            i, j = (np.searchsorted(c, np.where(whole, a, 0), "right") for c, a in zip(cuts, (x, y)))
+            n, total = (np.where(whole, a[i, j], 0) for a in sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(total)], ["key", "n", "total"])
+
+    # strips of the first column, then of the second
+    shared = F.array(*(F.when(~F.element_at(F.lit(s.tolist()), F.col(c) + 1), F.col(c) + base) for s, c, base in zip(single, "ij", (0, sides[0]))))
+    dealt = rows.withColumn("strip", F.explode(F.filter(shared, lambda s: s.isNotNull())))
+    dealt = dealt.select("strip", "side", "key", "x", "y", "v", "i").repartition("strip").sortWithinPartitions("strip", F.desc("side"))
+
+    def by_strips(batches):
+        def compared(strip, parts):
+            rows = pa.Table.from_batches(parts)
+            there, x, y, v, i = (rows.column(k).to_numpy() for k in (1, 3, 4, 5, 6))
+            l, r = there == 0, there == 1
+            if not l.any() or not r.any():
+                return
+            if strip < sides[0]:
+                n, total = _beyond(x[r], y[r], v[r], x[l], y[l], strict_x, strict_y)
+            else:
+                n, total = _beyond(i[r].astype(float), y[r], v[r], beyond[0][i[l]].astype(float), y[l], False, strict_y)
+            keys = rows.column(2).combine_chunks().filter(pa.array(l))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(total)], ["key", "n", "total"])
+
+        now, held = None, []
+        for batch in batches:
+            strip = np.asarray(batch.column(0))
+            starts = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]]).tolist() if len(strip) else []
+            for a, b in zip(starts, [*starts[1:], len(strip)]):
+                if held and strip[a] != now:
+                    yield from compared(now, held)
+                    held = []
+                now = strip[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from compared(now, held)
+
+    found = f"key {kind}, n long, total long"
+    counted = l.mapInArrow(by_tiles, found).unionByName(dealt.mapInArrow(by_strips, found))
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumnRenamed("key", key)
