@@ -225,6 +225,19 @@ def shingle_sketch(text: str | None, shingle: int) -> bytes:
     return least.astype(np.uint16).tobytes()
 
 
+def set_fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """The SimHash of a text's distinct word shingles, so that texts of one repeated line are not close to all others that repeat it."""
+    joined = joined_shingles(text, shingle)
+    return bit_majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in joined), np.uint64, len(joined)))
+
+
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) joining the nodes of (node, fp) whose fingerprints differ in at most ``DISTANCE`` bits: equal ones by their smallest node, that by ``links``."""
+    firsts = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.select("fp", "node").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(links(firsts.select(F.col("first").alias("node"), "fp")))
+
+
 def dealt(rows: DataFrame, group: list[str], blocks: Column, *columns: str) -> DataFrame:
     """``rows`` as (cell, node, columns), sorted by cell: every two rows of a group meet in a cell.
 
@@ -408,11 +421,12 @@ def close_texts(texts: DataFrame, shingle: int, similarity: float) -> list[DataF
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by similarity of word shingles: documents of one group are near copies.
 
-    A text's fingerprint is its sketch of 128 symbols, split into 32 blocks of ``BAND``. Two that
-    differ in fewer symbols than there are blocks share a block for certain, others with the probability
-    given there. Texts that share a block are candidates, and linked if their fingerprints' Hamming
-    distance, in symbols, is within what ``similarity`` less ``MARGIN`` leaves. The texts of each
-    group of linked candidates are then compared by their shingles themselves, which alone decides.
+    Candidates come from SimHash, as in ``near_duplicates``: 64-bit fingerprints of each text's distinct shingles, all pairs
+    within ``DISTANCE`` bits linked. Near copies further apart than that come from a sketch of 128 symbols, split into 32
+    blocks of ``BAND``. Two that differ in fewer symbols than there are blocks share a block for certain, others with
+    the probability given there. Texts that share a block are linked if their sketches' Hamming distance,
+    in symbols, is within what ``similarity`` less ``MARGIN`` leaves. The texts of each group that both kinds of
+    links make are then compared by their shingles themselves, which alone decides.
 
     Rows of one doc_id are one document, which is a near copy if one of its texts is. Texts without
     words are copies of nothing and left out, as are rows without a doc_id. component_id is
@@ -424,7 +438,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             texts = [t.as_py() for t in batch.column(1)]
             same = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
             sketches = [shingle_sketch(t, shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "same", "sketch"])
+            fps = np.fromiter((set_fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps), pa.array(sketches, pa.binary())], ["doc_id", "same", "fp", "sketch"])
 
         return each
 
@@ -437,13 +452,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     worded = texts.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    prints = checkpointed(map_batches(worded, work, "doc_id long, same binary, sketch binary"))
-    nodes = checkpointed(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+    prints = checkpointed(map_batches(worded, work, "doc_id long, same binary, fp long, sketch binary"))
+    nodes = checkpointed(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     keyed = map_partitions(nodes.select("node", "sketch"), keys, "node long, band int, key long")
     many = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = dealt(keyed.join(dealt_anew(many, "band", "key"), ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / BLOCK_ROWS))
     met = shared.join(nodes, "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
-    groups = checkpointed(components(map_partitions(met, cell_links(sketch_closeness(similarity - MARGIN)), "a long, b long")))
+    further = map_partitions(met, cell_links(sketch_closeness(similarity - MARGIN)), "a long, b long")
+    groups = checkpointed(components(fingerprint_links(nodes).unionByName(further)))
     possible = maybe_members(worded, "doc_id", members(groups, "node"))
     firsts = checkpointed(possible.join(groups, F.col("doc_id") == F.col("node")).select("component", "node", "text").distinct())
     found = components(reduce(DataFrame.unionByName, close_texts(firsts, shingle, similarity)))
